@@ -1,10 +1,30 @@
-"""The queries of all modules of the core, with the SQL of those that have one."""
+"""Registering queries, and collecting those of all modules of the core."""
 
 from __future__ import annotations
 
 import importlib
 
-MODULES = ["strataspark.operators.queries"]
+MODULES = [
+    "strataspark.operators.queries",
+    "strataspark.operators.lookups",
+    "strataspark.operators.graph",
+    "strataspark.operators.history",
+]
+
+
+def register(queries: dict, sqls: dict):
+    """A decorator that enters a query under its function's name, and its SQL if it has one."""
+
+    def with_sql(sql: str | None = None):
+        def enter(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                sqls[f.__name__] = sql
+            return f
+
+        return enter
+
+    return with_sql
 
 
 def collect(names: list[str]) -> tuple[dict, dict]:
