@@ -9,6 +9,7 @@ MODULES = [
     "strataspark.operators.lookups",
     "strataspark.operators.graph",
     "strataspark.operators.history",
+    "strataspark.operators.rollups",
 ]
 
 
