@@ -108,14 +108,27 @@ def shaped(value: object, kind: pa.DataType) -> object:
     return value if isinstance(value, int) and abs(value) < 2**63 else None
 
 
+def _regular(value: object, kind: pa.DataType) -> bool:
+    """Whether lists are lists of objects and nulls all the way down; Arrow would also take other sequences for objects."""
+    if value is None:
+        return True
+    if pa.types.is_list(kind):
+        return type(value) is list and all(x is None or _regular(x, kind.value_type) for x in value)
+    if type(value) is not dict:
+        return False
+    return all(_regular(value.get(f.name), f.type) for f in kind if pa.types.is_nested(f.type))
+
+
 def nested(payloads: list[str | None], step: int = 64) -> pa.StructArray:
     """Payloads as one nested array; whatever gives no complete JSON object is null."""
     records, parts = [_lists(decode(p)) for p in payloads], []
     for at in range(0, len(records), step):
         some = records[at : at + step]
         try:
+            if not all(_regular(r, RECORD) for r in some):
+                raise TypeError
             parts.append(pa.array(some, type=RECORD))
-        except (pa.ArrowInvalid, pa.ArrowTypeError, OverflowError, UnicodeEncodeError):
+        except (pa.ArrowInvalid, pa.ArrowTypeError, TypeError, OverflowError, UnicodeEncodeError):
             parts += [_one(r) for r in some]
     return pa.concat_arrays(parts) if parts else pa.array([], type=RECORD)
 
