@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Share of a window's mass that one exemplar must contain, and of the exemplar's that the window must.
 COVERED, MATCHED = 0.72, 0.5
+#: Terms of a window that may be any part of an exemplar.
+PART = 4
 #: The same for messages, of which the whole text must consist anyway and which name paths and parts of the site.
 MESSAGE_COVERED = 0.6
 #: Share of a window that the notices together must contain.
@@ -484,7 +486,8 @@ class Index:
                 scores[e] = scores.get(e, 0.0) + self.idf[t]
         best, label = 0.0, None
         for e, s in scores.items():
-            if s >= MATCHED * self.mass[e] and s / total > best:
+            part = len(known) >= PART and s >= 0.95 * total  # a piece of a long exemplar
+            if (part or s >= MATCHED * self.mass[e]) and s / total > best:
                 best, label = s / total, self.labels[e]
         enough = MESSAGE_COVERED if label in ("error", "notice") else COVERED
         if best < enough:
