@@ -7,6 +7,9 @@ the next step would otherwise recompute all steps before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,16 +71,29 @@ def callers(calls: DataFrame, targets: DataFrame, depth: int, method: str | None
     return out
 
 
+#: Steps of a round between two writes to the checkpoint folder: fewer jobs, plans of a bounded length.
+STEPS = 3
+
+
 def _trim(pairs: DataFrame) -> DataFrame:
     """Pairs whose ends both have an edge in and an edge out, over and over: what is left holds all cycles."""
     n = pairs.count()
     while n:
-        inside = pairs.select(F.col("src").alias("v")).distinct().intersect(pairs.select(F.col("dst").alias("v")).distinct())
-        pairs = cut(
-            pairs.join(inside.withColumnRenamed("v", "src"), "src", "left_semi")
-            .join(inside.withColumnRenamed("v", "dst"), "dst", "left_semi")
-            .select("src", "dst")
-        )
+        for _ in range(2):
+            inside = (
+                pairs.select(F.col("src").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i"))
+                .unionByName(pairs.select(F.col("dst").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+                .groupBy("v")
+                .agg(F.max("o").alias("o"), F.max("i").alias("i"))
+                .where((F.col("o") == 1) & (F.col("i") == 1))
+                .select("v")
+            )
+            pairs = (
+                pairs.join(inside.withColumnRenamed("v", "src"), "src", "left_semi")
+                .join(inside.withColumnRenamed("v", "dst"), "dst", "left_semi")
+                .select("src", "dst")
+            )
+        pairs = cut(pairs)
         left = pairs.count()
         if left == n:
             break
@@ -88,38 +104,102 @@ def _trim(pairs: DataFrame) -> DataFrame:
 def _spread(pairs: DataFrame, colors: DataFrame) -> DataFrame:
     """(v, color): the least color that reaches a vertex, by rounds of taking the least of the vertices before it."""
     while True:
-        told = pairs.join(colors, pairs["src"] == colors["v"]).select(F.col("dst").alias("v"), "color")
-        new = cut(colors.unionByName(told).groupBy("v").agg(F.min("color").alias("color")))
-        changed = new.join(colors, (new["v"] == colors["v"]) & (new["color"] != colors["color"]), "left_semi")
-        if changed.isEmpty():
-            return new
-        colors = new
-
-
-def components(pairs: DataFrame) -> DataFrame:
+        new = colors.select("v", "color", F.col("color").alias("before"))
+        for _ in range(STEPS):
+            told = pairs.join(new, pairs["src"] == new["v"]).select(F.col("dst").alias("v"), "color", F.lit(None).cast("string").alias("before"))
+            new = new.unionByName(told).groupBy("v").agg(F.min("color").alias("color"), F.max("before").alias("before"))
+        new = cut(new)
+        if new.where(F.col("color") != F.col("before")).isEmpty():
+            return new.select("v", "color")
+        colors = new.select("v", "color")
+
+
+def _confirm(inside: DataFrame) -> DataFrame:
+    """(v, color): the vertices of a color from which its root, the vertex of the color's own name, can be reached inside it."""
+    member = inside.select(F.col("color").alias("v"), F.col("color")).distinct().withColumn("new", F.lit(0))
+    while True:
+        grown = member.withColumn("new", F.lit(0))
+        for _ in range(STEPS):
+            back = inside.join(grown.select(F.col("v").alias("dst"), "color"), ["dst", "color"])
+            back = back.select(F.col("src").alias("v"), "color", F.lit(1).alias("new"))
+            grown = grown.unionByName(back).groupBy("v", "color").agg(F.min("new").alias("new"))
+        member = cut(grown)
+        if member.where(F.col("new") == 1).isEmpty():
+            return member.select("v", "color")
+
+
+#: Edges that one task takes whole (some 100 MB); a larger rest is worked on in rounds.
+LOCAL_EDGES = 500_000
+
+
+def _local_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strongly connected components of all edges of the task by one depth-first pass with low links, without recursion."""
+    after: dict[str, list[str]] = {}
+    for b in batches:
+        for a, c in zip(b["src"], b["dst"]):
+            after.setdefault(a, []).append(c)
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    place: dict[str, int] = {}  # where a vertex lies on the path
+    open_, path, rows = set(), [], []
+    for root in after:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        open_.add(root)
+        place[root] = len(path)
+        path.append(root)
+        work = [(root, iter(after[root]))]
+        while work:
+            v, rest = work[-1]
+            w = next(rest, None)
+            if w is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    members = path[place[v] :]
+                    del path[place[v] :]
+                    open_.difference_update(members)
+                    if len(members) > 1:
+                        least = min(members)
+                        rows += [(m, least) for m in members]
+            elif w not in order:
+                order[w] = low[w] = len(order)
+                open_.add(w)
+                place[w] = len(path)
+                path.append(w)
+                work.append((w, iter(after.get(w, ()))))
+            elif w in open_:
+                low[v] = min(low[v], order[w])
+    if rows:
+        yield pd.DataFrame(rows, columns=["key", "component"])
+
+
+def components(pairs: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(key, component): vertices on a cycle with the least vertex of their strongly connected component; self loops are none.
 
     Vertices that are on no cycle are trimmed. Of the rest every vertex takes
     the least vertex that reaches it as its color; a color's component is what
     reaches its root backwards inside the color. Components found are taken out
-    and the rest goes into the next round.
+    and the rest goes into the next round, until one task can take what is left.
+    An empty graph has none.
     """
     pairs = cut(pairs.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     found = None
     while True:
         pairs = _trim(pairs)
-        if pairs.isEmpty():
+        left = pairs.count()
+        if left <= local_edges:
+            if left:
+                part = pairs.coalesce(1).mapInPandas(_local_components, "key string, component string")
+                found = part if found is None else found.unionByName(part)
             break
-        vertices = pairs.select(F.col("src").alias("v")).unionByName(pairs.select(F.col("dst").alias("v"))).distinct()
+        vertices = pairs.select(F.col("src").alias("v")).distinct()
         colors = _spread(pairs, vertices.withColumn("color", F.col("v")))
         a, b = colors.selectExpr("v AS src", "color"), colors.selectExpr("v AS dst", "color AS color2")
         inside = cut(pairs.join(a, "src").join(b, "dst").where(F.col("color") == F.col("color2")).select("src", "dst", "color"))
-        member = inside.select(F.col("color").alias("v"), F.col("color")).distinct()
-        frontier = member
-        while not frontier.isEmpty():
-            back = inside.join(frontier.select(F.col("v").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("v"), "color")
-            frontier = cut(back.distinct().join(member, ["v", "color"], "left_anti"))
-            member = cut(member.unionByName(frontier))
+        member = _confirm(inside)
         part = member.select(F.col("v").alias("key"), F.col("color").alias("component"))
         found = part if found is None else found.unionByName(part)
         gone = member.select("v")

@@ -10,6 +10,7 @@ MODULES = [
     "strataspark.operators.graph",
     "strataspark.operators.history",
     "strataspark.operators.rollups",
+    "strataspark.operators.layers",
 ]
 
 
