@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions.text import plain
 from strataspark.operators import flatten
+from strataspark.operators.layers import TREE
 from strataspark.operators.orphans import orphans
 from strataspark.operators.skew import count_distinct_by, heavy_keys, union_all
 from strataspark.sources.tables import all_entities, table
@@ -168,3 +169,20 @@ SQL = {
           (SELECT 1 FROM e WHERE (a.scope IS NULL OR e.scope_key = a.scope) AND (a.entity IS NULL OR e.id = a.entity)
              AND NOT (a.scope IS NOT NULL AND e.scope_key IS NULL) AND NOT (a.entity IS NOT NULL AND e.id IS NULL))""",
 }
+
+_MISSING = f"""WITH {TREE}, life AS (SELECT {PLAIN.format('id')} AS k, first_seen_at AS f, removed_at AS r FROM entities UNION SELECT {PLAIN.format('id')}, first_seen_at, removed_at FROM shared_entities),
+    refs AS (SELECT 'relations' AS src_table, id AS record_id, 'target' AS ref_field, {_T} AS missing_id, observed_at AS t FROM relations
+      UNION ALL SELECT 'arch_index', index_id, 'entity_id', {PLAIN.format('entity_id')}, built_at FROM arch_index
+      UNION ALL SELECT 'arch_index', index_id, 'dependents', {PLAIN.format('x')}, built_at FROM (SELECT index_id, built_at, unnest(dependents) AS x FROM arch_index)
+      UNION ALL SELECT 'raw_docs', raw_id::VARCHAR, 'target_id', {PLAIN.format("json_extract_string(n, '$.targetId')")}, captured_at
+        FROM outgoing JOIN (SELECT DISTINCT raw_id, captured_at FROM raw_docs) USING (raw_id)),
+    missing AS (SELECT DISTINCT src_table, record_id, ref_field, missing_id, t FROM refs WHERE missing_id <> '' AND NOT EXISTS
+      (SELECT 1 FROM life WHERE k = missing_id AND f <= t AND (r IS NULL OR r > t)))"""
+SQL["p3_found"] = _MISSING + " SELECT DISTINCT src_table, record_id, ref_field, missing_id FROM missing"
+SQL["p3_monthly"] = _MISSING + """ SELECT src_table, ref_field, date_trunc('month', t)::DATE AS month, count(*) AS "references" FROM
+    (SELECT DISTINCT src_table, ref_field, date_trunc('month', t) AS t, record_id, missing_id FROM missing) GROUP BY 1, 2, 3"""
+SQL["p4_found"] = f"WITH {TREE} " + " UNION ".join(f"SELECT raw_id, '{k}' AS kind, path FROM {k}" for k in flatten.KINDS)
+for _k in flatten.KINDS:
+    _above = "parent_path" if _k in flatten.CHILDREN else "NULL::VARCHAR AS parent_path"
+    _fields = ", ".join(f"json_extract_string(n, '$.{f}')::{flatten.SQL_TYPES.get(f, 'varchar')} AS \"{c}\"" for c, f in flatten.COLUMNS[_k].items())
+    SQL[f"p4_flat_{_k}"] = f"WITH {TREE} SELECT DISTINCT raw_id, path, {_above}, {_fields} FROM {_k}"
