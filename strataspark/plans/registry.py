@@ -11,6 +11,8 @@ MODULES = [
     "strataspark.operators.history",
     "strataspark.operators.rollups",
     "strataspark.operators.layers",
+    "strataspark.operators.coverage",
+    "strataspark.operators.health",
 ]
 
 
