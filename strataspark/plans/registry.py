@@ -13,6 +13,7 @@ MODULES = [
     "strataspark.operators.layers",
     "strataspark.operators.coverage",
     "strataspark.operators.health",
+    "strataspark.functions.mining",
 ]
 
 
