@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.plans.storage import cut
@@ -28,6 +28,14 @@ BLOCK = 1024
 RUN = 1 << 20
 
 
+#: What stands for a basket and its scope: two 64-bit hashes. Among 10**10 baskets, that two are taken for one has a chance of 10**-19.
+BASKET = ["__b1", "__b2"]
+
+
+def _hashed(scope: str, basket: str) -> list[Column]:
+    return [F.xxhash64(scope, basket).alias(BASKET[0]), F.xxhash64(basket, F.lit(1), scope).alias(BASKET[1])]
+
+
 def _numbered(items: DataFrame) -> DataFrame:
     """Items with a number below 2**31 in column `no`.
 
@@ -110,13 +118,13 @@ def frequent_pairs(
     once, an empty table gives no rows, other columns are ignored.
     """
     rows = df.select(F.col(scope).alias("__s"), F.col(basket).alias("__b"), F.col(item).alias("__i")).dropna()
-    once = cut(rows.distinct())
-    totals = once.groupBy("__s", "__b").agg(F.lit(1).alias("one")).groupBy("__s").agg(F.count(F.lit(1)).alias("n_all"))
+    once = cut(rows.select("__s", *_hashed("__s", "__b"), "__i").distinct())
+    totals = once.groupBy("__s", *BASKET).agg(F.lit(1).alias("one")).groupBy("__s").agg(F.count(F.lit(1)).alias("n_all"))
     counts = once.groupBy("__s", "__i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     items = counts.join(totals, "__s").where(F.col("n") * F.lit(min_lift) <= F.col("n_all"))
     items = _numbered(items.select("__s", "__i", "n", "n_all"))
 
-    members = cut(once.join(items.select("__s", "__i", "no"), ["__s", "__i"]).select("__s", "__b", "no"))
+    members = cut(once.join(items.select("__s", "__i", "no"), ["__s", "__i"]).select(*BASKET, "no"))
     runs = _blocks(members, block).mapInArrow(_pair_runs, "code bigint, n bigint")
     merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_run_lengths, "code bigint, n_ab bigint")
     pairs = merged.where(F.col("n_ab") >= min_count)
@@ -150,16 +158,16 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
     A basket wider than `block` is split by hash, and each two of its parts make a row, so that no task gets it whole.
     """
     none = F.array().cast("array<bigint>")
-    lists = lambda rows: rows.groupBy("__s", "__b").agg(F.collect_list("no").alias("left")).select("left", none.alias("right"))
-    wide = members.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
+    lists = lambda rows: rows.groupBy(*BASKET).agg(F.collect_list("no").alias("left")).select("left", none.alias("right"))
+    wide = members.groupBy(*BASKET).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
     if wide.isEmpty():
         return lists(members)
     wide = wide.withColumn("parts", F.ceil(F.col("k") / block))
-    narrow = lists(members.join(wide, ["__s", "__b"], "left_anti"))
-    split = members.join(wide, ["__s", "__b"]).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")))
-    part = cut(split.groupBy("__s", "__b", "part").agg(F.collect_list("no").alias("nos")))
-    other = part.select("__s", "__b", F.col("part").alias("part2"), F.col("nos").alias("nos2"))
-    both = part.join(other, ["__s", "__b"]).where(F.col("part") <= F.col("part2"))
+    narrow = lists(members.join(wide, BASKET, "left_anti"))
+    split = members.join(wide, BASKET).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")))
+    part = cut(split.groupBy(*BASKET, "part").agg(F.collect_list("no").alias("nos")))
+    other = part.select(*BASKET, F.col("part").alias("part2"), F.col("nos").alias("nos2"))
+    both = part.join(other, BASKET).where(F.col("part") <= F.col("part2"))
     return narrow.unionByName(
         both.select(F.col("nos").alias("left"), F.when(F.col("part") < F.col("part2"), F.col("nos2")).otherwise(none).alias("right"))
     )
