@@ -400,7 +400,7 @@ _CODE = re.compile(
     r"|\w\(\w*\) \{|:= |%[dsv]\b.*%[dsv]\b|^\s*\"[\w\- ]+\":"
 )
 _MARKUP = re.compile(r"^[\s>#*|/\-•]+|\*\*|__(?=[a-z])|(?<=[a-z])__")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|(?<=\.\.\.)\s*")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[^\W\d_A-Z]{2}[.!?])(?=[^\W\d_a-z][^\W\d_A-Z])|(?<=[。！？])|(?<=\.\.\.)\s*")
 _WORD = re.compile(r"[^\W_]+|\x00slot")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
 _NAME = re.compile(r"[A-Za-z]?[a-z]+(?:[A-Z][a-z0-9]+)+")

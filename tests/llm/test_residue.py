@@ -11,7 +11,7 @@ CASES = {
     ],
     "filler": [
         "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", CONTENT + "\n\nText goes here. Replace this text with your own.", "# Notes\n\nItem one\nBullet text here",
-        "Osdist cram morest osdist rantim estmisu cram.", "# X\n\n123 ccc aaa ccc ccc aaa ccc 456 aaa 123 123 ccc bbb aaa bbb", "ここに本文が入ります。", CONTENT + "\n\nPlatzhaltertext, bitte ersetzen.",
+        "Osdist cram morest osdist rantim estmisu cram.", "# X\n\n123 ccc aaa ccc ccc aaa ccc 456 aaa 123 123 ccc bbb aaa bbb", "ここに本文が入ります。", CONTENT + "\n\nPlatzhaltertext, bitte ersetzen.", "Platzhaltertext, bitte ersetzen.Hier steht später der Text dieses Abschnitts. Platzhaltertext, bitte ersetzen.",
     ],
     "announcement": ["Coming soon. We are still writing this page.", CONTENT + "\n\nContent will be added here.", "内容待补充。"],
     "error": [
