@@ -31,6 +31,11 @@ def p1_monthly(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.estimates(monthly, QUANTILES, [*GROUP, "month"])
 
 
+def p1_daily(spark: SparkSession, d: str) -> DataFrame:
+    """The sketches of single run dates, to be kept and joined into any longer period."""
+    return quantiles.sketches(_scores(spark, d), [*GROUP, "run_date"], "mean_score")
+
+
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     """Results that count, per model and format, with the exact extremes: what the sketches must agree with."""
     return _scores(spark, d).groupBy(*GROUP).agg(
@@ -114,7 +119,7 @@ def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_percentiles, p1_monthly, p1_counts, p5_found, p5_ranked, p6_found, p6_scored, p7_ids, p7_decoded,
+        p1_percentiles, p1_monthly, p1_daily, p1_counts, p5_found, p5_ranked, p6_found, p6_scored, p7_ids, p7_decoded,
         p8_found, p8_reparameterised, p9_found, p9_reasons,
     )
 }
