@@ -183,3 +183,40 @@ def literal_dispersion(spark: SparkSession, d: str) -> DataFrame:
     """Values of discriminator types that are compared in several files."""
     t = _texts(spark, d)
     return across_modules(dispersion(discriminators(t), comparisons(t)))
+
+
+# --- projects of several modules -------------------------------------------------
+
+
+def cross_module(modules: DataFrame, declared: DataFrame) -> DataFrame:
+    """(module, target): dependencies between the modules of a workspace. `modules` has (module, artifact), `declared` (module, dependency)."""
+    a = modules.select(F.col("module").alias("target"), F.col("artifact").alias("dependency"))
+    return declared.join(a, "dependency").where(F.col("module") != F.col("target")).select("module", "target").distinct()
+
+
+#: Frameworks and the beginnings of the imports that show them (fixed values).
+FRAMEWORKS = {"gin": "github.com/gin-gonic/gin", "echo": "github.com/labstack/echo", "chi": "github.com/go-chi/chi", "grpc": "google.golang.org/grpc", "cobra": "github.com/spf13/cobra", "net/http": "net/http"}
+
+
+def frameworks(imports: DataFrame, column: str = "path") -> DataFrame:
+    """Imports with the framework they belong to; the rest is left out."""
+    out = F.lit(None).cast("string")
+    for name, prefix in FRAMEWORKS.items():
+        out = F.when((F.col(column) == prefix) | F.startswith(column, F.lit(prefix + "/")), name).otherwise(out)
+    return imports.withColumn("framework", out).where(F.col("framework").isNotNull())
+
+
+def module_graph(imports: DataFrame) -> DataFrame:
+    """(source, target, strength, names): imports between modules, how many there are and which different names they bring. `imports` has (source, target, name)."""
+    return imports.where(F.col("source") != F.col("target")).groupBy("source", "target").agg(F.count(F.lit(1)).alias("strength"), F.sort_array(F.collect_set("name")).alias("names"))
+
+
+def without_generics(kind: Column) -> Column:
+    """A type's name without what stands in its angle brackets."""
+    return F.trim(F.split(kind, "<")[0])
+
+
+def label(name: Column, width: int = 40) -> Column:
+    """A directory as a label: words with capitals, cut to a width."""
+    words = F.initcap(F.regexp_replace(name, r"[-_./]+", " "))
+    return F.when(F.length(words) > width, F.concat(F.substring(words, 1, width - 1), F.lit("…"))).otherwise(words)

@@ -164,3 +164,32 @@ def coverage_issues(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN sum(cases) > 0 THEN round(sum(skips)::DOUBLE / sum(cases), 6) ELSE 0 END AS skip_ratio, count(*) FILTER (WHERE test_type = 'debug') AS debug_files FROM tf GROUP BY 1""")
 def coverage_metrics(spark: SparkSession, d: str) -> DataFrame:
     return test_metrics(_tests(spark, d), ["scope_key"])
+
+
+# --- tests and what they import -------------------------------------------------
+
+
+def by_import(imports: DataFrame, entities: DataFrame) -> DataFrame:
+    """(test_id, key): entities that tests import. `imports` has (test_id, imported), `entities` (key, package, file).
+
+    An import names an entity, a package, a file, a directory of files or a
+    file without its extension; each of these is an equi join, so nothing is
+    compared with everything.
+    """
+    i = imports.select("test_id", F.regexp_replace("imported", r"^\./|/$", "").alias("x")).where(F.col("imported").isNotNull()).distinct()
+    e = entities.select("key", "package", "file", F.regexp_replace("file", r"\.\w+$", "").alias("bare"), dirname(F.col("file")).alias("dir"))
+    above = e.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda k: F.array_join(F.slice(F.split("dir", "/"), 1, k), "/"))).alias("x"))
+    branches = [e.select("key", F.col(c).alias("x")) for c in ("key", "package", "file", "bare")] + [above.where(F.col("x") != ".")]
+    out = None
+    for b in branches:
+        part = i.join(b.where(F.col("x") != ""), "x").select("test_id", "key")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def details(links: DataFrame, tests: DataFrame) -> DataFrame:
+    """(key, found, tests): the tests of every linked entity that exist, and whether any does. `links` has (key, test_ids ARRAY), `tests` (test_id)."""
+    each = links.select("key", F.explode_outer("test_ids").alias("test_id"))
+    known = each.join(tests.select("test_id", F.lit(1).alias("there")).distinct(), "test_id", "left")
+    g = known.groupBy("key").agg(F.sort_array(F.collect_set(F.when(F.col("there").isNotNull(), F.col("test_id")))).alias("tests"))
+    return g.select("key", (F.size("tests") > 0).alias("found"), "tests")

@@ -353,3 +353,37 @@ def inferred_ratio(spark: SparkSession, d: str) -> DataFrame:
     inferred = F.col("inference_source").isNotNull() & (F.col("inference_source") != "explicit")
     r = relations(spark, d)
     return r.agg(F.round(F.coalesce(F.avg(F.when(inferred, 1.0).otherwise(0.0)), F.lit(0.0)), 2).alias("ratio"), F.count(F.lit(1)).alias("relations"))
+
+
+# --- cycles seen from their edges --------------------------------------------
+
+
+def cycle_edges(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, dst, component): pairs whose ends lie in the same component; self loops are none."""
+    a, b = members.select(F.col("key").alias("src"), "component"), members.select(F.col("key").alias("dst"), F.col("component").alias("c2"))
+    inside = pairs.select("src", "dst").where(F.col("src") != F.col("dst")).distinct().join(a, "src").join(b, "dst")
+    return inside.where(F.col("component") == F.col("c2")).drop("c2")
+
+
+def severity(members: DataFrame) -> DataFrame:
+    """(component, size, severity): a cycle of two is a warning, a longer one an error."""
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.withColumn("severity", F.when(F.col("size") == 2, "warning").otherwise("error"))
+
+
+def has_cycle(pairs: DataFrame) -> bool:
+    """Whether there is a cycle of at least two vertices."""
+    return not components(pairs).isEmpty()
+
+
+@query(f"""WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT DISTINCT e.src, e.dst, a.component FROM edge e JOIN cyc a ON a.key = e.src JOIN cyc b ON b.key = e.dst AND b.component = a.component WHERE e.src <> e.dst""")
+def edges_in_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between entities of the same cycle."""
+    e = edges(spark, d)
+    return cycle_edges(e, components(e))
+
+
+@query(f"WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT component, count(*) AS size, CASE WHEN count(*) = 2 THEN 'warning' ELSE 'error' END AS severity FROM cyc GROUP BY 1")
+def cycle_severities(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles with their severity."""
+    return severity(scc(spark, d))

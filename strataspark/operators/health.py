@@ -249,3 +249,90 @@ def split_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels that a fixed partition of the embeddings splits."""
     e = table(spark, d, "embeddings").select(F.col("label").alias("package"), F.pmod("vec_id", F.lit(3)).alias("cluster"))
     return split_packages(e)
+
+
+# --- choosing clusters, what clusters say, and gates ---------------------------
+
+
+def silhouette(assigned: DataFrame, column: str, cluster: str = "cluster") -> float:
+    """The mean silhouette by squared Euclidean distance, from the clusters' moments and without pairs of points; needs two clusters."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    v = assigned.withColumn("__v", array_to_vector(F.col(column).cast("array<double>")))
+    return ClusteringEvaluator(featuresCol="__v", predictionCol=cluster).evaluate(v)
+
+
+def choose_clusters(rows: DataFrame, column: str, around: int, seed: int = 1) -> tuple[int, float, DataFrame]:
+    """The number of clusters from max(2, around - 2) to around + 3 of the best silhouette, that silhouette, and the rows with `cluster`."""
+    best = None
+    for k in range(max(2, around - 2), around + 4):
+        c = clusters(rows, column, k, seed)
+        if c.select("cluster").distinct().count() < 2:
+            continue
+        s = silhouette(c, column)
+        if best is None or s > best[1]:
+            best = (k, s, c)
+    if best is None:
+        raise ValueError("the vectors make no two clusters")
+    return best
+
+
+def normalized(a: DataFrame, vertices: int) -> DataFrame:
+    """(src, dst, z, zero_z): the entries of the matrix as z-scores of their columns, and that of the column's zeros; 0 where nothing varies."""
+    s = column_statistics(a, vertices)
+    z = lambda w: F.when(F.col("sd") > 0, (w - F.col("mean")) / F.col("sd")).otherwise(0.0)
+    return a.join(s, "dst").select("src", "dst", z(F.col("w")).alias("z"), z(F.lit(0.0)).alias("zero_z"))
+
+
+def fusions(assigned: DataFrame, package: str = "package", cluster: str = "cluster", share: float = 0.25) -> DataFrame:
+    """(cluster, packages): clusters of which at least two packages hold `share` each."""
+    return split_packages(assigned, cluster, package, share).withColumnRenamed("parts", "packages")
+
+
+def cluster_summaries(assigned: DataFrame, package: str = "package", cluster: str = "cluster") -> DataFrame:
+    """(cluster, size, packages, dominant): of equal packages the first by name is dominant."""
+    cells = assigned.groupBy(cluster, package).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(cluster).orderBy(F.desc("n"), package)
+    top = cells.withColumn("r", F.row_number().over(order))
+    return top.groupBy(cluster).agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("packages"), F.max(F.when(F.col("r") == 1, F.col(package))).alias("dominant"))
+
+
+def align(before: DataFrame, after: DataFrame, key: str = "key") -> DataFrame:
+    """(key, status): shared, added or removed between two lists of entities; repeated ones count once."""
+    a, b = before.select(key, F.lit(1).alias("a")).distinct(), after.select(key, F.lit(1).alias("b")).distinct()
+    status = F.when(F.col("b").isNull(), "removed").when(F.col("a").isNull(), "added").otherwise("shared")
+    return a.join(b, key, "full").select(key, status.alias("status"))
+
+
+def drift_exit_code(valid: bool, baseline: bool, levels: list[str], gate: str = "critical") -> int:
+    """2 for a commit that does not exist, 0 without a baseline, 1 where any level reaches the gate, else 0."""
+    order = ["stable", "moderate", "significant", "critical"]
+    if not valid:
+        return 2
+    return int(baseline and any(order.index(x) >= order.index(gate) for x in levels))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT lower(trim(id, ' ' || chr(9))) AS key, first_seen_at AS f, removed_at AS r FROM entities WHERE id IS NOT NULL),
+      a AS (SELECT DISTINCT key FROM e WHERE f <= TIMESTAMP '2025-01-01' AND (r IS NULL OR r > TIMESTAMP '2025-01-01')), b AS (SELECT DISTINCT key FROM e WHERE f <= TIMESTAMP '{_SPLIT}' AND (r IS NULL OR r > TIMESTAMP '{_SPLIT}'))
+    SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'removed' WHEN a.key IS NULL THEN 'added' ELSE 'shared' END AS status FROM a FULL JOIN b ON a.key = b.key""")
+def entity_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Entities shared by two days, added and removed between them."""
+    from strataspark.functions.text import plain
+
+    e = table(spark, d, "entities").where(F.col("id").isNotNull()).select(plain("id").alias("key"), "first_seen_at", "removed_at")
+
+    def on(day: str) -> DataFrame:
+        t = F.lit(day).cast("timestamp_ntz")
+        return e.where((F.col("first_seen_at") <= t) & (F.col("removed_at").isNull() | (F.col("removed_at") > t)))
+
+    return align(on("2025-01-01"), on(_SPLIT))
+
+
+@query("""WITH c AS (SELECT vec_id % 7 AS cluster, label AS package, count(*) AS n FROM embeddings GROUP BY 1, 2),
+      x AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, package) AS r FROM c)
+    SELECT cluster, sum(n)::BIGINT AS size, count(*) AS packages, max(CASE WHEN r = 1 THEN package END) AS dominant FROM x GROUP BY 1""")
+def partition_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """What the parts of a fixed partition of the embeddings hold."""
+    e = table(spark, d, "embeddings").select(F.col("label").alias("package"), F.pmod("vec_id", F.lit(7)).alias("cluster"))
+    return cluster_summaries(e)

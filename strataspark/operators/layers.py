@@ -200,3 +200,76 @@ def implicit_interfaces(spark: SparkSession, d: str) -> DataFrame:
     """Structs and classes of a record with all methods of one of its interfaces."""
     e = layer(spark, d, "entity")
     return implicit_implementations(e.where(F.col("entity_type").isin("struct", "class")), e.where(F.col("entity_type") == "interface"), layer(spark, d, "method"))
+
+
+# --- methods that come by embedding, and uses of concrete types ---------------
+
+
+def promoted_methods(own: DataFrame, embeds: DataFrame, depth: int = 5) -> DataFrame:
+    """(type, method, level): method sets with embedding. `own` has (type, method), `embeds` (type, embedded).
+
+    A method of a shallower level hides deeper ones of its name; one that comes
+    from two embedded types of the same level is ambiguous and left out. Types
+    on an embedding cycle promote nothing.
+    """
+    from strataspark.operators.graph import components
+
+    pairs = embeds.select(F.col("type").alias("src"), F.col("embedded").alias("dst")).where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
+    cyclic = components(pairs).select(F.col("key").alias("src")).unionByName(pairs.where(F.col("src") == F.col("dst")).select("src")).distinct()
+    pairs = pairs.join(cyclic, "src", "left_anti")
+    mine = own.select("type", "method").where(F.col("method").isNotNull()).distinct()
+    path = pairs.select(F.col("src").alias("type"), F.col("dst").alias("via"), F.lit(1).alias("level"))
+    ways = path
+    for level in range(2, depth + 1):
+        path = path.join(pairs.select(F.col("src").alias("via"), "dst"), "via").select("type", F.col("dst").alias("via"), F.lit(level).alias("level"))
+        ways = ways.unionByName(path)
+    sources = ways.groupBy("type", "via").agg(F.min("level").alias("level"))
+    offered = sources.join(mine.withColumnRenamed("type", "via"), "via").select("type", "method", "level")
+    every = mine.withColumn("level", F.lit(0)).unionByName(offered)
+    least = every.groupBy("type", "method").agg(F.min("level").alias("level"))
+    once = every.groupBy("type", "method", "level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
+    return least.join(once, ["type", "method", "level"]).select("type", "method", "level")
+
+
+def field_uses(fields: DataFrame, imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(owner, target): what the types of fields refer to.
+
+    `fields` has (owner, package, type_text), `imports` (package, alias, path),
+    `nodes` (id, package, name). Pointers, slices and maps are stripped; a
+    qualified name goes through the package's import of that alias, else an
+    import whose path ends in it; a bare name stays in the package.
+    """
+    bare = F.regexp_replace("type_text", r"^(?:\*|\[\d*\]|map\[[^\]]*\]|chan\s+|<-)+", "")
+    f = fields.select("owner", "package", F.regexp_extract(bare, r"^(?:(\w+)\.)?(\w+)", 1).alias("qualifier"), F.regexp_extract(bare, r"^(?:(\w+)\.)?(\w+)", 2).alias("name"))
+    i = imports.select("package", F.coalesce("alias", F.element_at(F.split("path", "/"), -1)).alias("qualifier"), "path").distinct()
+    first = i.groupBy("package", "qualifier").agg(F.min("path").alias("path"))
+    r = f.join(first, ["package", "qualifier"], "left")
+    home = F.when(F.col("qualifier") == "", F.col("package")).otherwise(F.col("path"))
+    r = r.select("owner", home.alias("package"), "name").where(F.col("package").isNotNull())
+    return r.join(nodes.select(F.col("id").alias("target"), "package", "name"), ["package", "name"]).select("owner", "target").distinct()
+
+
+def concrete_risks(uses: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Uses of concrete types of other packages: (owner, target, from_package, to_package). `nodes` has (id, package, node_type)."""
+    a = nodes.select(F.col("id").alias("owner"), F.col("package").alias("from_package"))
+    b = nodes.select(F.col("id").alias("target"), F.col("package").alias("to_package"), "node_type")
+    return uses.join(a, "owner").join(b, "target").where((F.col("from_package") != F.col("to_package")) & (F.col("node_type") != "interface")).select("owner", "target", "from_package", "to_package")
+
+
+def hotspots(nodes: DataFrame) -> DataFrame:
+    """Nodes with more than 10 methods or a fan-in over 5; missing figures are none."""
+    return nodes.where((F.coalesce("methods", F.lit(0)) > 10) | (F.coalesce("fan_in", F.lit(0)) > 5))
+
+
+def lifecycles(spawns: DataFrame, functions: DataFrame) -> DataFrame:
+    """(id, has_context, has_cancel, orphan) of goroutines: whether what they run takes a context or can be stopped.
+
+    `spawns` has (id, target), `functions` (name, params ARRAY, body). A target
+    that is not known is no orphan: nothing can be said of it.
+    """
+    context = F.coalesce(F.exists("params", lambda p: F.contains(p, F.lit("context.Context"))), F.lit(False))
+    stop = F.coalesce(F.col("body").rlike(r"(?i)ctx\.Done\(|<-\s*[\w.]*(?:done|stop|quit|exit|cancel)\w*"), F.lit(False))
+    f = functions.groupBy(F.col("name").alias("target")).agg(F.max(context).alias("has_context"), F.max(stop).alias("has_cancel"))
+    j = spawns.select("id", "target").join(f, "target", "left")
+    orphan = F.coalesce(~F.col("has_context") & ~F.col("has_cancel"), F.lit(False))
+    return j.select("id", F.coalesce("has_context", F.lit(False)).alias("has_context"), F.coalesce("has_cancel", F.lit(False)).alias("has_cancel"), orphan.alias("orphan"))

@@ -365,3 +365,65 @@ def index_files(spark: SparkSession, d: str) -> DataFrame:
     """The file of every indexed entity by the newest build of its scope."""
     a = table(spark, d, "arch_index").withColumn("key", plain("entity_id")).where(F.col("key") != "")
     return a.groupBy("scope_key", "key").agg(F.max_by("file", F.struct("built_at", "index_id")).alias("file"))
+
+
+# --- trees, layers and series of packages --------------------------------------
+
+
+def package_tree(packages: DataFrame, column: str = "package") -> DataFrame:
+    """(package, parent, virtual): packages under their longest proper prefix in the tree; prefixes of at least two packages are in it too."""
+    p = F.split(column, "/")
+    real = packages.select(F.col(column).alias("package")).where(F.col(column) != "").distinct()
+    up = lambda df, c: df.select("*", F.explode(F.when(F.size(F.split(c, "/")) > 1, F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/")) - 1), lambda k: F.array_join(F.slice(F.split(c, "/"), 1, k), "/")))).alias("prefix"))
+    shared = up(real, "package").groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2).select(F.col("prefix").alias("package"))
+    nodes = real.withColumn("virtual", F.lit(False)).unionByName(shared.join(real, "package", "left_anti").withColumn("virtual", F.lit(True)))
+    above = up(nodes.select("package"), "package").join(nodes.select(F.col("package").alias("prefix")), "prefix")
+    parent = above.groupBy("package").agg(F.max_by("prefix", F.length("prefix")).alias("parent"))
+    return nodes.join(parent, "package", "left").select("package", "parent", "virtual")
+
+
+def connectivity(es: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(scope_key, vertices, edges, isolated, density): how connected the graph of every scope is; density of ordered pairs, 0 for a single vertex."""
+    v = vertices.groupBy("scope_key").agg(F.count(F.lit(1)).alias("vertices"))
+    e = es.where(F.col("src") != F.col("dst")).select("scope_key", "src", "dst").distinct().groupBy("scope_key").agg(F.count(F.lit(1)).alias("edges"))
+    lone = vertices.join(degrees(es).select("key"), "key", "left_anti").groupBy("scope_key").agg(F.count(F.lit(1)).alias("isolated"))
+    j = v.join(e, "scope_key", "left").join(lone, "scope_key", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("edges", "isolated")})
+    pairs = F.col("vertices") * (F.col("vertices") - 1)
+    return j.withColumn("density", F.round(F.when(pairs > 0, F.col("edges") / pairs).otherwise(0.0), 6))
+
+
+def package_trend(history: DataFrame, package: str) -> DataFrame:
+    """(timestamp, fan_in, fan_out, cycles, entities) of one package, from rows (timestamp, packages ARRAY<STRUCT>); snapshots without it are left out."""
+    x = history.select("timestamp", F.explode("packages").alias("p")).where(F.col("p.name") == package)
+    return x.select("timestamp", F.col("p.fanIn").alias("fan_in"), F.col("p.fanOut").alias("fan_out"), F.col("p.cycleCount").alias("cycles"), F.col("p.entityCount").alias("entities"))
+
+
+@query(f"""WITH {ENT}, r AS (SELECT DISTINCT regexp_replace(source_location.file, '/[^/]*$', '') AS package FROM ent WHERE contains(source_location.file, '/')),
+      u AS (SELECT package, array_to_string(string_split(package, '/')[1:k], '/') AS prefix FROM (SELECT package, unnest(range(1, len(string_split(package, '/')))) AS k FROM r)),
+      n AS (SELECT package, false AS virtual FROM r UNION ALL SELECT prefix, true FROM u WHERE prefix NOT IN (SELECT package FROM r) GROUP BY 1 HAVING count(*) >= 2),
+      nu AS (SELECT package, array_to_string(string_split(package, '/')[1:k], '/') AS prefix FROM (SELECT package, unnest(range(1, len(string_split(package, '/')))) AS k FROM n))
+    SELECT n.package, (SELECT arg_max(prefix, length(prefix)) FROM nu WHERE nu.package = n.package AND prefix IN (SELECT package FROM n)) AS parent, virtual FROM n""")
+def directory_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The directories of the entities as a tree."""
+    f = current_entities(spark, d).where(F.contains("source_location.file", F.lit("/"))).select(dirname(F.col("source_location.file")).alias("package"))
+    return package_tree(f)
+
+
+@query(f"""WITH {EDGE}, v AS (SELECT scope_key, count(*) AS vertices FROM ent GROUP BY 1), e AS (SELECT scope_key, count(*) AS edges FROM (SELECT DISTINCT scope_key, src, dst FROM edge WHERE src <> dst) GROUP BY 1),
+      l AS (SELECT scope_key, count(*) AS isolated FROM ent WHERE key NOT IN (SELECT src FROM edge UNION SELECT dst FROM edge) GROUP BY 1)
+    SELECT v.scope_key, vertices, coalesce(edges, 0) AS edges, coalesce(isolated, 0) AS isolated, round(CASE WHEN vertices > 1 THEN coalesce(edges, 0)::DOUBLE / (vertices * (vertices - 1)) ELSE 0 END, 6) AS density
+    FROM v LEFT JOIN e USING (scope_key) LEFT JOIN l USING (scope_key)""")
+def scope_connectivity(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices, edges, isolated vertices and density of every scope."""
+    return connectivity(edges(spark, d), current_entities(spark, d).select("key", "scope_key"))
+
+
+@query(f"""WITH {EDGE}, l AS (SELECT key, CASE WHEN source_location.file LIKE 'src/core/%' THEN 'kernel' WHEN source_location.file LIKE 'src/api/%' THEN 'surface' WHEN source_location.file LIKE 'src/%' THEN 'source'
+      WHEN source_location.file LIKE 'lib/%' THEN 'library' END AS layer FROM ent)
+    SELECT a.layer AS source, b.layer AS target, count(*) AS n FROM edge JOIN l a ON a.key = src JOIN l b ON b.key = dst WHERE a.layer <> b.layer GROUP BY 1, 2""")
+def layer_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between different layers."""
+    e = longest_prefix(current_entities(spark, d).select("key", F.col("source_location.file").alias("file")), _LAYERS, "file").where(F.col("layer").isNotNull())
+    a, b = e.select(F.col("key").alias("src"), F.col("layer").alias("source")), e.select(F.col("key").alias("dst"), F.col("layer").alias("target"))
+    j = edges(spark, d).select("src", "dst").join(a, "src").join(b, "dst").where(F.col("source") != F.col("target"))
+    return j.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
