@@ -1,9 +1,11 @@
 """The first N items of every group, in one fixed order.
 
-Every part of a group has a local N-th best row. At least N rows of the group
-are as good, so it is a lower bound of the group's first N, and so is the best
-of the bounds of all parts. Rows worse than it are dropped where they lie; only
-the survivors, at most N per part, are brought together and ranked.
+A group that holds much of the data is split into parts. Every part has a local
+N-th best row; at least N rows of the group are as good, so it is a lower bound
+of the group's first N, and so is the best of the bounds of all parts. Rows
+worse than it are dropped where they lie; only the survivors, at most N per
+part, are brought together and ranked. A group that is not split is one part
+whose ranks are final.
 """
 
 from __future__ import annotations
@@ -11,21 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts into which the items of a group are split by hash, so that no group is one task's work.
-PARTS = 32
+from strataspark.operators.skew import heavy_keys, is_heavy
 
+#: Parts into which the items of a large group are split by hash, and the share of the rows from which a group is large.
+PARTS, LARGE = 32, 0.002
 
-def latest(df: DataFrame, group: str, item: str, score: str, version: str, parts: int = PARTS) -> DataFrame:
-    """(group, item, score, __part): of each item of a group the row of the newest version, of equal versions the highest score.
+
+def latest(df: DataFrame, group: str, item: str, score: str, version: str, parts: int = PARTS, large: list | None = None) -> DataFrame:
+    """(__g, __part, __i, __s): of each item of a group the row of the newest version, of equal versions the highest score.
 
     Rows without a score are dropped first, so that a null in the newest row
-    lets the one before count. A null version is older than any other. The
-    frame is left distributed by group and part, so that ranking the parts
-    needs no further shuffle.
+    lets the one before count. A null version is older than any other. Large
+    groups and the null group are split into parts 0, 1, ...; the part of all
+    others is -1. The frame is left distributed by group and part, so that
+    ranking the parts needs no further shuffle.
     """
+    split = F.col(group).isNull() | is_heavy(F.col(group), large or [])
     rows = df.where(F.col(score).isNotNull()).select(
         F.col(group).alias("__g"), F.col(item).alias("__i"), F.col(score).alias("__s"), F.col(version).alias("__v"),
-        F.pmod(F.xxhash64(item), F.lit(parts)).alias("__part"),
+        F.when(split, F.pmod(F.xxhash64(item), F.lit(parts))).otherwise(F.lit(-1)).alias("__part"),
     )
     newest = (
         rows.repartition("__g", "__part")
@@ -35,32 +41,36 @@ def latest(df: DataFrame, group: str, item: str, score: str, version: str, parts
     return newest.select("__g", "__part", "__i", F.col("__m.__s").alias("__s"))
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, n: int, version: str, parts: int = PARTS) -> DataFrame:
+def top_n(
+    df: DataFrame, group: str, item: str, score: str, n: int, version: str, parts: int = PARTS, share: float = LARGE, sample: float = 0.1
+) -> DataFrame:
     """(group, item, score, rank): the first n items of every group by score descending, then item ascending by bytes.
 
     Smaller groups give all their items. Rows with a null group form a group,
     rows with a null item an item that comes first among equal scores; an
-    empty table gives no rows. Other columns of `df` are ignored.
+    empty table gives no rows. Other columns of `df` are ignored. Groups with
+    `share` of a sample of the rows are split; that decides only where rows are
+    ranked.
     """
     if n < 1:
         raise ValueError("n must be positive")
-    rows = latest(df, group, item, score, version, parts)
+    large = heavy_keys(df.select(F.col(group).alias("__g")), "__g", share, sample)
     best_first = [F.desc("__s"), F.asc("__i")]
+    rows = latest(df, group, item, score, version, parts, large)
     local = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__g", "__part").orderBy(*best_first)))
     local = local.where(F.col("__r") <= n)
+    whole = local.where(F.col("__part") == -1).select("__g", "__i", "__s", F.col("__r").alias("rank"))
+    split = local.where(F.col("__part") >= 0)
     # The N-th best rows of the parts; the best of them bounds the group. Only parts with N rows have one.
-    bounds = local.where(F.col("__r") == n).groupBy("__g").agg(
+    bounds = split.where(F.col("__r") == n).groupBy("__g").agg(
         F.max("__s").alias("__bs"), F.min_by("__i", F.struct((-F.col("__s")).alias("s"), F.col("__i").alias("i"))).alias("__bi")
     )
-    near = local.join(bounds.withColumnRenamed("__g", "__bg"), F.col("__g").eqNullSafe(F.col("__bg")), "left")
+    near = split.join(bounds.withColumnRenamed("__g", "__bg"), F.col("__g").eqNullSafe(F.col("__bg")), "left")
     kept = near.where(
         F.col("__bs").isNull()
         | (F.col("__s") > F.col("__bs"))
         | ((F.col("__s") == F.col("__bs")) & (F.col("__i").isNull() | F.col("__bi").isNotNull() & (F.col("__i") <= F.col("__bi"))))
     )
     rank = F.row_number().over(Window.partitionBy("__g").orderBy(*best_first))
-    return (
-        kept.withColumn("rank", rank)
-        .where(F.col("rank") <= n)
-        .select(F.col("__g").alias(group), F.col("__i").alias(item), F.col("__s").alias(score), "rank")
-    )
+    ranked = kept.withColumn("rank", rank).where(F.col("rank") <= n).select("__g", "__i", "__s", "rank")
+    return whole.unionByName(ranked).select(F.col("__g").alias(group), F.col("__i").alias(item), F.col("__s").alias(score), "rank")

@@ -23,8 +23,8 @@ def test_equals_brute_force(spark):
     items = [None, "", "a", "B", "b", "é", "中", *[f"i{k}" for k in range(60)]]
     rows = [(rng.choice(["hot"] * 8 + ["x", "y", None]), rng.choice(items), rng.choice([None, 1, 1, 2, 3, 9]), rng.choice([None, 1, 2, 2]), 1, "clash") for _ in range(1500)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
-    for n, parts in ((1, 4), (5, 1), (5, 8), (500, 3)):
-        got = {tuple(r) for r in top_n(df, "g", "item", "n", n, "v", parts).collect()}
+    for n, parts, share in ((1, 4, 0.3), (5, 1, 0.3), (5, 8, 0.01), (5, 8, 1.0), (500, 3, 0.3)):
+        got = {tuple(r) for r in top_n(df, "g", "item", "n", n, "v", parts, share, 1.0).collect()}
         assert got == brute(rows, n)
 
 
