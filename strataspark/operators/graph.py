@@ -39,7 +39,7 @@ def reachable(pairs: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
     Starts with a null key reach nothing; cycles end by themselves.
     """
-    pairs = pairs.select("src", "dst").distinct()
+    pairs = cut(pairs.select("src", "dst").distinct())  # every level reads them again
     begun = starts.select("key").where(F.col("key").isNotNull()).distinct().withColumn("depth", F.lit(0))
     seen, frontier = begun, begun
     for level in range(1, clamp(depth) + 1):
@@ -57,6 +57,7 @@ def callers(calls: DataFrame, targets: DataFrame, depth: int, method: str | None
     A method name limits the first level only. The same caller can come again
     on a deeper level, once per level and method.
     """
+    calls = cut(calls.select("src", "dst", "source_method", "target_method").distinct())  # every level reads them again
     frontier = targets.select(F.col("key").alias("dst")).distinct()
     out = None
     for level in range(1, clamp(depth) + 1):

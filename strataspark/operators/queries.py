@@ -10,6 +10,7 @@ from strataspark.operators import flatten
 from strataspark.operators.layers import TREE
 from strataspark.operators.orphans import orphans
 from strataspark.operators.skew import count_distinct_by, heavy_keys, union_all
+from strataspark.plans.parallel import spread
 from strataspark.sources.tables import all_entities, table
 
 #: Share of all distinct pairs from which a target is heavy (fixed by the task).
@@ -124,12 +125,12 @@ def p3_composite(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """One row per object nested in the payloads."""
-    return flatten.found(table(spark, d, "raw_docs")).distinct()
+    return flatten.found(spread(table(spark, d, "raw_docs").select("raw_id", "payload"))).distinct()
 
 
 def _flat(kind: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return flatten.flat(table(spark, d, "raw_docs"), kind).distinct()
+        return flatten.flat(spread(table(spark, d, "raw_docs").select("raw_id", "payload")), kind).distinct()
 
     query.__doc__ = f"The flat table of kind {kind}."
     return query
