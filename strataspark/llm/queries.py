@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions.text import plain
 from strataspark.llm import leaks, pairs, quantiles, residue, tokenize, topn
+from strataspark.plans.parallel import spread
 from strataspark.sources.tables import table
 
 QUANTILES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -84,9 +85,13 @@ def p6_scored(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
-    return tokenize.encode(table(spark, d, "documents"), "doc_id", "text")
+    return tokenize.encode(_documents(spark, d), "doc_id", "text")
 
 
 def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
@@ -96,24 +101,23 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share a run of words with the passage of an evaluation item."""
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.leaks(_documents(spark, d), table(spark, d, "eval_items"))
 
 
 def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
     """Documents that follow the template of an item's passage, with its own or other fillings of the slots."""
-    return leaks.reparameterised(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.reparameterised(_documents(spark, d), table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are template residue, filler, error pages or notices."""
-    return residue.residue(table(spark, d, "documents")).select("doc_id")
+    return residue.residue(_documents(spark, d)).select("doc_id")
 
 
 def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Number of residue documents by reason and source."""
-    docs = table(spark, d, "documents")
-    found = residue.residue(docs)
-    return found.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("documents"))
+    found = residue.residue(_documents(spark, d))
+    return found.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("documents"))
 
 
 QUERIES = {
