@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.functions.text import plain
+from strataspark.plans.ship import ship
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table below a folder; scans prune columns and push filters as the plan asks."""
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
