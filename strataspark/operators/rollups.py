@@ -84,7 +84,8 @@ def newest(snapshots: DataFrame, n: int = 2) -> DataFrame:
 
 def unpivot(s: DataFrame, *keys: str) -> DataFrame:
     """(keys, metric, value): the metrics of snapshots as rows; missing values stay null."""
-    return s.select(*keys, *(F.col(m).cast("double") for m in METRICS)).unpivot(list(keys), METRICS, "metric", "value")
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS])
+    return s.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.metric", "x.value")
 
 
 def diff(snapshots: DataFrame) -> DataFrame:
