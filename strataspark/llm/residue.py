@@ -375,7 +375,7 @@ SLOTS = [
     r"(?<![\w$])\$[A-Z]+(?:_[A-Z]+)*\$(?!\w)",
     r"(?<![\w%])%[A-Z]+(?:_[A-Z]+)*%(?!\w)",
     r"(?<![\w}])\{\d{1,2}\}(?!\w)",
-    r"(?i:\[(?:your|insert|enter|add|fill in|replace with|type|name of|hier|bitte|ihr|ihre|insérer|insérez|votre|à compléter|inserte|insertar|su|tu|escriba|indique|complete)\b[^\]\n]{0,60}\])",
+    r"(?i:\[(?:your|insert|enter|add|fill in|replace with|type|name of|hier|bitte|ihr|ihre|insérer|insérez|votre|à compléter|inserte|insertar|su|tu|escriba|indique|complete)\b[^\]\n]{0,60}\])(?!\()",
     r"(?i:<(?:your|insert|enter|ihr|ihre|votre|su|tu)[-_ ][\w\- ]{1,60}>)",
     r"(?<!\w)(?i:TBD|TODO|TBA)\s*\([^)\n]{1,60}\)",
     r"[【［〔\[][^】］〕\]\n]{0,40}(?:待补充|待填写|请输入|请填写|在此填写|此处填写|填写|ここに|入力してください|を入力|を記入|記入してください|未定)[^】］〕\]\n]{0,40}[】］〕\]]",

@@ -25,7 +25,7 @@ CASES = {
     ],
     None: [
         None, "", " \n\t", "　", CONTENT, "In the report template the slot `{{owner}}` is replaced by CacheStore before the file is written.", "Usage:\n\n```\nscan --name ${NAME} <your-name>\n```",
-        "const key = `${scope}.${name}`;", "We removed the lorem ipsum fixtures from the tests of CacheStore, because build times doubled.", 'The page "Please enable JavaScript" is what the crawler stored for 7 links, so CacheStore drops those by status.',
+        "const key = `${scope}.${name}`;", "See [add a module](docs/add.md) before the next release of the core package.", "We removed the lorem ipsum fixtures from the tests of CacheStore, because build times doubled.", 'The page "Please enable JavaScript" is what the crawler stored for 7 links, so CacheStore drops those by status.',
         "When the server answers `404 Not Found`, CacheStore retries 3 times and then logs the id 5f3a.\n\n" + CONTENT, "The HTML viewer of CacheStore needs JavaScript, the SVG export does not; readers without scripts get the static file.",
         "2025-01-01 WARN [api] 502 Bad Gateway, retry 3 of 5 after the cluster map was rebuilt", "x" * 200_000, "Sans mesure, il n’est pas possible de vérifier la couverture.", "由于缓存层过期，history模块需要重新构建缓存层。",
     ],
