@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.functions.text import package_name
+from strataspark.functions.text import package_name, plain
 from strataspark.plans.registry import register
 from strataspark.plans.storage import cut
 from strataspark.sources.graph import EDGE, REL, edges, relations
-from strataspark.sources.tables import current_entities
+from strataspark.sources.tables import current_entities, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -243,7 +243,7 @@ def _starts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_walk("dst", "src", _SHARED, 3))
 def dependents(spark: SparkSession, d: str) -> DataFrame:
-    """Entities that depend on the shared ones of a few packages, up to 3 steps away."""
+    """Entities that depend on those whose id begins with `commonlib.s`, up to 3 steps away; shared_dependents takes all shared ones."""
     return reachable(edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), _starts(spark, d), 3)
 
 
@@ -261,11 +261,38 @@ def dependencies(spark: SparkSession, d: str) -> DataFrame:
       l2 AS (SELECT DISTINCT c.src, c.source_method FROM c JOIN (SELECT DISTINCT src FROM l1) f ON f.src = c.dst)
     SELECT src AS source, source_method, 1 AS depth FROM l1 UNION ALL SELECT src, source_method, 2 FROM l2""")
 def find_callers(spark: SparkSession, d: str) -> DataFrame:
-    """Callers of the shared entities, two levels."""
+    """Callers of the entities whose id begins with `commonlib.s`, two levels; shared_callers takes all shared ones."""
     calls = edges(spark, d).where(F.col("rel_type") == "call").select("src", "dst", "source_method", "target_method")
     return callers(calls, _starts(spark, d), 2)
 
 
+_SHARED_SQL = "starts AS (SELECT key FROM ent WHERE key IN (SELECT lower(trim(id, ' ' || chr(9))) FROM shared_entities WHERE id IS NOT NULL))"
+
+
+def shared_starts(spark: SparkSession, d: str) -> DataFrame:
+    """(key): the current entities whose plain id is one of shared_entities."""
+    shared = table(spark, d, "shared_entities").select(plain("id").alias("key"))
+    return current_entities(spark, d).select("key").join(shared, "key", "left_semi")
+
+
+@query(f"""WITH RECURSIVE {EDGE}, {_SHARED_SQL},
+      walk(key, depth) AS (SELECT key, 0 FROM starts UNION SELECT edge.src, walk.depth + 1 FROM walk JOIN edge ON edge.dst = walk.key WHERE walk.depth < 3)
+    SELECT key, min(depth) AS depth FROM walk WHERE key NOT IN (SELECT key FROM starts) GROUP BY 1""")
+def shared_dependents(spark: SparkSession, d: str) -> DataFrame:
+    """Entities that depend on any shared entity, up to 3 steps away."""
+    return reachable(edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), shared_starts(spark, d), 3)
+
+
+@query(f"""WITH {EDGE}, {_SHARED_SQL}, c AS (SELECT DISTINCT src, dst, source_method FROM edge WHERE rel_type = 'call'),
+      l1 AS (SELECT DISTINCT src, source_method FROM c WHERE dst IN (SELECT key FROM starts)),
+      l2 AS (SELECT DISTINCT c.src, c.source_method FROM c JOIN (SELECT DISTINCT src FROM l1) f ON f.src = c.dst)
+    SELECT src AS source, source_method, 1 AS depth FROM l1 UNION ALL SELECT src, source_method, 2 FROM l2""")
+def shared_callers(spark: SparkSession, d: str) -> DataFrame:
+    """Callers of all shared entities, two levels."""
+    calls = edges(spark, d).where(F.col("rel_type") == "call").select("src", "dst", "source_method", "target_method")
+    return callers(calls, shared_starts(spark, d), 2)
+
+
 _CLOSURE = """one AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst),
       reach(src, dst) AS (SELECT src, dst FROM one UNION SELECT reach.src, one.dst FROM reach JOIN one ON one.src = reach.dst),
       scc AS (SELECT a.src AS key, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),

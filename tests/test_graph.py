@@ -66,3 +66,23 @@ def test_callers_may_recur_on_deeper_levels(spark):
 def test_degrees_count_edges(spark):
     got = {r.key: (r.in_degree, r.out_degree) for r in degrees(edges(spark, [("a", "b"), ("a", "b"), ("b", "b")])).collect()}
     assert got == {"a": (0, 2), "b": (3, 1)}
+
+
+def test_all_shared_entities_are_starts(spark, data):
+    from strataspark.operators import graph as g
+    from strataspark.sources.graph import edges as resolved
+
+    starts = {r.key for r in g.shared_starts(spark, data).collect()}
+    assert {"commonlib.core.sessionplanner3", "commonlib.mcp.tokenplanner11"} <= starts
+    es = [(r.src, r.dst, r.rel_type, r.source_method) for r in resolved(spark, data).collect()]
+    depth, frontier = {}, starts
+    for level in (1, 2, 3):
+        frontier = {a for a, b, _, _ in es if b in frontier} - starts - set(depth)
+        depth |= {k: level for k in frontier}
+    assert {r.key: r.depth for r in g.shared_dependents(spark, data).collect()} == depth
+    want, frontier = [], starts
+    for level in (1, 2):
+        hits = {(a, m) for a, b, t, m in es if t == "call" and b in frontier}
+        want += [(a, m, level) for a, m in hits]
+        frontier = {a for a, _ in hits}
+    assert sorted(map(tuple, g.shared_callers(spark, data).collect()), key=str) == sorted(want, key=str)
