@@ -49,6 +49,10 @@ def column_statistics(a: DataFrame, vertices: int) -> DataFrame:
     return a.groupBy("dst").agg(mean.alias("mean"), F.sqrt(var).alias("sd"))
 
 
+#: Sums of a row and a direction that one task of a projection holds (some 100 MB).
+SUMS = 1_000_000
+
+
 def target_dimension(n: int, epsilon: float = 0.3) -> int:
     """Dimensions that keep distances of n points within a factor of 1 +- epsilon."""
     return math.ceil(4 * math.log(n) / epsilon**2) if n > 1 else 1
@@ -211,9 +215,17 @@ def adjacency_empty_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def projected_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the adjacency on random directions, and how far the projection keeps their squared lengths."""
-    a = adjacency(edges(spark, d))
-    p = project(a, 64)
+    """Rows of the adjacency on as many random directions as their number of entities asks for, and how far the projection keeps their squared lengths.
+
+    All of a row lies in one partition, so its directions are summed up where
+    they are made and only the adjacency is shuffled.
+    """
+    from strataspark.sources.tables import current_entities
+
+    n = current_entities(spark, d).count()
+    k = target_dimension(n)
+    a = adjacency(edges(spark, d)).repartition(math.ceil((n + 1) * k / SUMS), "src")
+    p = project(a, k)
     kept = p.groupBy("src").agg(F.sum(F.col("x") * F.col("x")).alias("projected"))
     true = a.groupBy("src").agg(F.sum(F.col("w") * F.col("w")).alias("length"))
     return true.join(kept, "src", "left").select("src", "length", F.coalesce("projected", F.lit(0.0)).alias("projected"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions import text as tx
 from strataspark.operators import coverage, health, history, layers, lookups, rollups
+from strataspark.sources.graph import edges as resolved_edges
 
 
 def value(spark, expr, **cols):
@@ -181,3 +182,15 @@ def test_dimension_and_clusters(spark):
     assert sorted((r.package, r.purity, r.coverage, r.score) for r in scored) == [("p", 1.0, 1.0, 1.0), ("q", 1.0, 1.0, 1.0)]
     split = spark.createDataFrame([("p", 0), ("p", 1), ("q", 1), ("q", 1)], "package string, cluster int")
     assert [(r.package, r.parts) for r in health.split_packages(split).collect()] == [("p", 2)]
+
+
+def test_projected_rows_keep_their_lengths(spark, data):
+    """No more squared lengths leave 1 +- 0.3 than the tail bound of as many directions as the entities ask for allows."""
+    from strataspark.sources.tables import current_entities
+
+    k = health.target_dimension(current_entities(spark, data).count())
+    rows = health.projected_rows(spark, data).collect()
+    assert len(rows) == health.adjacency(resolved_edges(spark, data)).select("src").distinct().count() > 0
+    outside = sum(not 0.7 <= r.projected / r.length <= 1.3 for r in rows)
+    assert outside <= 2 * math.exp(-k * (0.3**2 / 4 - 0.3**3 / 6)) * len(rows)
+    assert all(abs(r.projected * k / 3 - round(r.projected * k / 3)) < 1e-6 for r in rows if r.length == 1)
