@@ -31,7 +31,7 @@ COVERED, MATCHED = 0.72, 0.5
 PART = 4
 #: The same for messages, of which the whole text must consist anyway and which name paths and parts of the site.
 MESSAGE_COVERED = 0.6
-#: Share of a window that the notices together must contain.
+#: Share of a window that the notices together, or the lines of stock Latin together, must contain.
 MIXED = 0.85
 #: Weight of a term that no exemplar has, as a share of that of a term no document has.
 UNKNOWN = 0.7
@@ -40,12 +40,50 @@ PARAGRAPH = 0.8
 #: Share of a text's words that may lie outside of messages and navigation.
 REST = 0.12
 
-# Labelled exemplars, one a line; a variant of a phrase needs no line of its own where typed terms cover it.
+# Labelled exemplars, one a line, of which those of stock Latin are filler too; a variant of a phrase needs no line of its own where typed terms cover it.
 EXEMPLARS = {
-    "filler": """
+    "latin": """
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
 Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
 Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Curabitur pretium tincidunt lacus.
+Nulla gravida orci a odio.
+Nullam varius, turpis et commodo pharetra, est eros bibendum elit, nec luctus magna felis sollicitudin mauris.
+Integer in mauris eu nibh euismod gravida.
+Duis ac tellus et risus vulputate vehicula.
+Donec lobortis risus a elit.
+Etiam tempor.
+Ut ullamcorper, ligula eu tempor congue, eros est euismod turpis, id tincidunt sapien risus a quam.
+Maecenas fermentum consequat mi.
+Donec fermentum.
+Pellentesque malesuada nulla a mi.
+Duis sapien sem, aliquet nec, commodo eget, consequat quis, neque.
+Aliquam faucibus, elit ut dictum aliquet, felis nisl adipiscing sapien, sed malesuada diam lacus eget erat.
+Cras mollis scelerisque nunc.
+Nullam arcu.
+Aliquam consequat.
+Curabitur augue lorem, dapibus quis, laoreet et, pretium ac, nisi.
+Aenean magna nisl, mollis quis, molestie eu, feugiat in, orci.
+In hac habitasse platea dictumst.
+Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas.
+Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae.
+Vestibulum tortor quam, feugiat vitae, ultricies eget, tempor sit amet, ante.
+Donec eu libero sit amet quam egestas semper.
+Aenean ultricies mi vitae est.
+Mauris placerat eleifend leo.
+Quisque sit amet est et sapien ullamcorper pharetra.
+Vivamus sagittis lacus vel augue laoreet rutrum faucibus dolor auctor.
+Cum sociis natoque penatibus et magnis dis parturient montes, nascetur ridiculus mus.
+Phasellus viverra nulla ut metus varius laoreet.
+Fusce dapibus, tellus ac cursus commodo, tortor mauris condimentum nibh, ut fermentum massa justo sit amet risus.
+Morbi leo risus, porta ac consectetur ac, vestibulum at eros.
+Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam, eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo.
+Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores eos qui ratione voluptatem sequi nesciunt.
+Neque porro quisquam est, qui dolorem ipsum quia dolor sit amet, consectetur, adipisci velit, sed quia non numquam eius modi tempora incidunt ut labore et dolore magnam aliquam quaerat voluptatem.
+At vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum deleniti atque corrupti quos dolores et quas molestias excepturi sint occaecati cupiditate non provident.
+""",
+    "filler": """
 Item one
 Item two
 Item three
@@ -461,7 +499,7 @@ class Index:
             for line in lines.strip().split("\n"):
                 ts = frozenset(terms(line))
                 if ts:
-                    self.labels.append(label)
+                    self.labels.append("filler" if label == "latin" else label)
                     self.exemplars.append(ts)
         self.unknown = UNKNOWN * math.log(2 + documents)
         vocabulary = {t for e in self.exemplars for t in e}
@@ -471,6 +509,7 @@ class Index:
             for t in e:
                 self.postings.setdefault(t, []).append(i)
         self.mass = [sum(self.idf[t] for t in e) for e in self.exemplars]
+        self.latin = {t for line in EXEMPLARS["latin"].strip().split("\n") for t in terms(line)}
         self.notices = {t for label, e in zip(self.labels, self.exemplars) if label == "notice" for t in e}
 
     def coverage(self, ts: list[str]) -> tuple[str | None, float]:
@@ -491,6 +530,10 @@ class Index:
                 best, label = s / total, self.labels[e]
         enough = MESSAGE_COVERED if label in ("error", "notice") else COVERED
         if best < enough:
+            # stock Latin mixes its words freely
+            latin = [t for t in known if t in self.latin]
+            if len(latin) >= PART and sum(self.idf[t] for t in latin) >= MIXED * total:
+                return "filler", sum(self.idf[t] for t in latin) / total
             # notices are put together from few phrases: a window that names scripts may mix those of several exemplars
             mixed = sum(self.idf[t] for t in known if t in self.notices) / total
             return ("notice", mixed) if "\x00script" in distinct and mixed >= MIXED else (None, best)

@@ -51,3 +51,19 @@ def test_frequencies_count_texts(spark):
     df = spark.createDataFrame([("page lorem lorem",), ("lorem",), (None,)], "text string")
     n, f = rs.frequencies(df, "text")
     assert n == 3 and f["lorem"] == 2 and f["\x00page"] == 1
+
+
+LOREM = (
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. "
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+)
+STOCK_LATIN = [
+    LOREM, CONTENT + "\n\n" + LOREM, "Tempor magna lorem velit aliqua, nostrud dolor commodo ipsum. Officia sunt ullamco pariatur, tincidunt veniam laborum elit.",
+    "Curabitur pretium tincidunt lacus, nulla gravida orci a odio.",
+]
+NO_LATIN = ["Nous avons mis en place un index et il est lu par le cache, et non par le module.", "El módulo no guarda la lista en el índice, sino que a la vez la lee.", 'The fixture begins with "Lorem ipsum dolor sit amet" and is read by CacheStore before each test of the parser.']
+
+
+@pytest.mark.parametrize("reason,text", [("filler", t) for t in STOCK_LATIN] + [(None, t) for t in NO_LATIN])
+def test_stock_latin(reason, text):
+    assert rs.judge(text, INDEX) == reason
