@@ -384,6 +384,42 @@ Previous | Next
 Skip to content
 All rights reserved
 v1.2
+""",
+    "slot": """
+{{title}}
+Hello {{name}},
+Dear {{name}},
+Regards, {{name}}
+{owner}
+# {owner}
+TBD: {owner}
+Hello {name}
+Hi {name}
+Dear {name}
+Regards {name}
+Title: {title}
+Name: {name}
+Owner: {owner}
+Author: {author}
+Written by {author}
+Reviewer: {reviewer}
+Reviewed by {reviewer}
+Approved by {reviewer}
+Maintainer: {owner}
+Team: {team}
+Contact: {email}
+Email: {email}
+Date: {date}
+Due date: {date}
+Deadline: {date}
+Release date: {date}
+Last updated: {date}
+Version: {version}
+Status: {status}
+Priority: {priority}
+License: {license}
+Summary: {summary}
+Description: {description}
 """,
     "talk": """
 Sample text in the examples is now generated from real packages, and the placeholder check looks for the slot.
@@ -402,8 +438,8 @@ The template variable is filled in by the build; an unknown placeholder is an er
 
 #: Notations of a slot that waits to be filled in (fixed values).
 SLOTS = [
-    r"\{\{\s*[\w.\- |]{1,60}\}\}",
-    r"\{%\s*[\w.\- ]{1,60}%\}",
+    r"\{\{[#/^>&!~\s-]*[\w.$@][\w.\- |'\"(),:=@$/~]{0,60}\}\}",
+    r"\{%-?\s*[\w.\- '\"()|,=!<>]{1,80}%\}",
     r"<%=?\s*[\w.\- ]{1,60}%>",
     r"[$#]\{[\w.\- ]{1,60}\}",
     r"\[\[[\w.\- ]{1,60}\]\]",
@@ -414,11 +450,16 @@ SLOTS = [
     r"(?<![\w%])%[A-Z]+(?:_[A-Z]+)*%(?!\w)",
     r"(?<![\w}])\{\d{1,2}\}(?!\w)",
     r"(?i:\[(?:your|insert|enter|add|fill in|replace with|type|name of|hier|bitte|ihr|ihre|insérer|insérez|votre|à compléter|inserte|insertar|su|tu|escriba|indique|complete)\b[^\]\n]{0,60}\])(?!\()",
+    r"(?i:\[(?:your|insert|enter|add|fill in|replace with|type|name of)\b[^\]\n]{0,60}\])\((?:\.\.\.|…|#|(?i:url|link|your[-_ ][\w-]+))?\)",
+    r"\[(?:[A-Z]\w+ ){0,3}(?:Name|Title|Date|Address|Number|Email|Company|Phone|Author|Owner|Version|Description)\](?![(\[:])",
+    r"<(?:[A-Z]\w+ ){1,3}(?:Name|Title|Date|Address|Number|Email|Company|Phone|Author|Owner|Version|Description)>",
     r"(?i:<(?:your|insert|enter|ihr|ihre|votre|su|tu)[-_ ][\w\- ]{1,60}>)",
     r"(?<!\w)(?i:TBD|TODO|TBA)\s*\([^)\n]{1,60}\)",
     r"[【［〔\[][^】］〕\]\n]{0,40}(?:待补充|待填写|请输入|请填写|在此填写|此处填写|填写|ここに|入力してください|を入力|を記入|記入してください|未定)[^】］〕\]\n]{0,40}[】］〕\]]",
 ]
 SLOT = re.compile("|".join(SLOTS))
+#: What is a slot only where its window is like an exemplar: the name of a field in single braces, a bare mark of what is to come.
+OPEN_SLOT = re.compile(r"(?<![\w$}{%#@])\{[a-z]\w{1,40}\}(?![\w}])|(?<!\w)(?:TBD|TBA|TODO|FIXME)(?!\w)")
 
 #: Syllables of made-up Latin and what a word of it ends in (fixed values).
 _SYLLABLES = "a bus ca cam car cas ci cra de di dis do dolor dor e ela el est fen gra i ip ira it la lo lor mi mo mor na ni nim nos o os per pli po pos qui quo ra ran re rem sed si su sum sur ta tat te ti tir tra u ul um ut ve vel ven ver vi"
@@ -439,7 +480,8 @@ _CODE = re.compile(
 )
 _MARKUP = re.compile(r"^[\s>#*|/\-•]+|\*\*|__(?=[a-z])|(?<=[a-z])__")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[^\W\d_A-Z]{2}[.!?])(?=[^\W\d_a-z][^\W\d_A-Z])|(?<=[。！？])|(?<=\.\.\.)\s*")
-_WORD = re.compile(r"[^\W_]+|\x00slot")
+_WORD = re.compile(r"[^\W_]+|\x00(?:slot|open)")
+_TYPED = ("\x00slot", "\x00open")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
 _NAME = re.compile(r"[A-Za-z]?[a-z]+(?:[A-Z][a-z0-9]+)+")
 _ID = re.compile(r"(?=.*\d)[0-9a-f]{6,}$")
@@ -465,7 +507,7 @@ def terms(window: str) -> list[str]:
     out = []
     window = _PATH.sub(" ", _OPEN.sub("JavaScript", window))
     for w in _WORD.findall(window):
-        if w == "\x00slot":
+        if w in _TYPED:
             out.append(w)
             continue
         if not w.isascii() and _CJK.search(w):
@@ -490,17 +532,28 @@ def terms(window: str) -> list[str]:
     return out
 
 
+def typed_slots(line: str) -> str:
+    """A line with its slots replaced by their types."""
+    return OPEN_SLOT.sub(" \x00open ", SLOT.sub(" \x00slot ", line))
+
+
+def _exemplars() -> Iterator[tuple[str, frozenset]]:
+    """(label, terms) of every exemplar that has terms."""
+    for label, lines in EXEMPLARS.items():
+        for line in lines.strip().split("\n"):
+            ts = frozenset(terms(typed_slots(line) if label == "slot" else line))
+            if ts:
+                yield label, ts
+
+
 class Index:
     """The inverted index of the exemplars, with weights from the corpus' document frequencies."""
 
     def __init__(self, documents: int, frequency: dict[str, int]):
         self.labels, self.exemplars = [], []
-        for label, lines in EXEMPLARS.items():
-            for line in lines.strip().split("\n"):
-                ts = frozenset(terms(line))
-                if ts:
-                    self.labels.append("filler" if label == "latin" else label)
-                    self.exemplars.append(ts)
+        for label, ts in _exemplars():
+            self.labels.append("filler" if label == "latin" else label)
+            self.exemplars.append(ts)
         self.unknown = UNKNOWN * math.log(2 + documents)
         vocabulary = {t for e in self.exemplars for t in e}
         self.idf = {t: math.log(1 + (1 + documents) / (1 + frequency.get(t, 0))) for t in vocabulary}
@@ -525,6 +578,8 @@ class Index:
                 scores[e] = scores.get(e, 0.0) + self.idf[t]
         best, label = 0.0, None
         for e, s in scores.items():
+            if self.labels[e] == "slot" and not distinct.intersection(_TYPED):
+                continue
             part = len(known) >= PART and s >= 0.95 * total  # a piece of a long exemplar
             if (part or s >= MATCHED * self.mass[e]) and s / total > best:
                 best, label = s / total, self.labels[e]
@@ -540,8 +595,20 @@ class Index:
         return label, best
 
 
+    def slotted(self, ts: list[str]) -> bool:
+        """Whether a window with a slot is one of unfilled text: an exemplar that holds its type of slot lies in it, or contains it, and none of talk does."""
+        distinct = set(ts)
+        if self.coverage([t for t in ts if t not in _TYPED])[0] == "talk":
+            return False
+        if "\x00slot" not in distinct:
+            return self.coverage(ts)[0] == "slot"
+        return any(
+            self.labels[e] == "slot" and sum(self.idf[t] for t in self.exemplars[e] & distinct) >= self.mass[e] for e in self.postings.get("\x00slot", ())
+        )
+
+
 def vocabulary() -> frozenset:
-    return frozenset(t for lines in EXEMPLARS.values() for line in lines.strip().split("\n") for t in terms(line))
+    return frozenset(t for _, ts in _exemplars() for t in ts)
 
 
 def _gibberish(line: str) -> bool:
@@ -581,8 +648,8 @@ def judge(text: str | None, index: Index) -> str | None:
     for line, code in passages(text):
         if not line:
             continue
-        typed = line if code else SLOT.sub(" \x00slot ", line)
-        slot = "\x00slot" in typed
+        typed = line if code else typed_slots(line)
+        slot = any(t in typed for t in _TYPED)
         if not slot and _gibberish(line):
             return "filler"
         if _FRAME.match(line):
@@ -596,10 +663,10 @@ def judge(text: str | None, index: Index) -> str | None:
             ts = terms(window)
             if not ts:
                 continue
-            label, _ = index.coverage([t for t in ts if t != "\x00slot"])
-            n = len(ts)
-            if "\x00slot" in ts and label != "talk":
+            if any(t in ts for t in _TYPED) and index.slotted(ts):
                 return "slot"
+            label, _ = index.coverage([t for t in ts if t not in _TYPED])
+            n = len(ts)
             words_of_line += n
             if label in ("filler", "announcement"):
                 filler += n

@@ -67,3 +67,24 @@ NO_LATIN = ["Nous avons mis en place un index et il est lu par le cache, et non
 @pytest.mark.parametrize("reason,text", [("filler", t) for t in STOCK_LATIN] + [(None, t) for t in NO_LATIN])
 def test_stock_latin(reason, text):
     assert rs.judge(text, INDEX) == reason
+
+
+OPEN_SLOTS = [
+    "{owner}", "# {title}\n\n" + CONTENT, "Owner: {owner}", "Hello [Company Name],\n\nthe report is ready.", "Written for <Project Name> in spring.", "{{#if x}}" + CONTENT + "{{/if}}", "Owner is {{ a | default('b') }} today.",
+    "Owner: TBD", CONTENT + "\n\nRelease date: TBD", "[Insert title](...)",
+]
+NO_SLOTS = [
+    "The format string {owner} stays as it is, because CacheStore reads the names first.", "The TBD list of the core package was emptied after the last release.", "See [Insert a node](docs/insert.md) before the next release of the core package.",
+    "The owner of the core package reviews it.", "`{owner}` and `{{#if x}}` are read by CacheStore.", "See [Company Name](docs/name.md) and [1] before the next release.", CONTENT + " {a}", "Return a List<Class Name of package> here.",
+]
+
+
+@pytest.mark.parametrize("reason,text", [("slot", t) for t in OPEN_SLOTS] + [(None, t) for t in NO_SLOTS])
+def test_open_slots(reason, text):
+    assert rs.judge(text, INDEX) == reason
+
+
+def test_slots_are_decided_by_exemplars(monkeypatch):
+    monkeypatch.setitem(rs.EXEMPLARS, "slot", "")
+    bare = rs.Index(1000, {})
+    assert [rs.judge(t, bare) for t in OPEN_SLOTS] == [None] * len(OPEN_SLOTS)
