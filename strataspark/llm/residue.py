@@ -473,7 +473,9 @@ _FUNCTION_WORDS = frozenset(
 
 _FENCE = re.compile(r"(```|~~~).*?(?:\1|\Z)", re.S)
 _INLINE = re.compile(r"`[^`\n]+`")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
+_TAG = re.compile(r"(?<!<)</?[A-Za-z][^<>\n]*>")
+_HTML = re.compile(r"(?<!<)<(?:!doctype\s+html|html|head|body|title|h[1-6]|noscript)\b[^<>]*>", re.I)
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
 _CODE = re.compile(
     r"[;{]\s*$|=>|^\s*(?:const|let|var|return|import|export|from \S+ import|def |class |func |package |public |private |async |await |if \(|if !|for \(|for _|while \(|archscan |\$ |npm |git |[})\]]+[,;]?$)"
     r"|\w\(\w*\) \{|:= |%[dsv]\b.*%[dsv]\b|^\s*\"[\w\- ]+\":"
@@ -630,11 +632,13 @@ def _gibberish(line: str) -> bool:
 def passages(text: str) -> Iterator[tuple[str, bool]]:
     """(line, code): the lines of a text without fenced code and markup, and whether a line is code."""
     text = _FENCE.sub("\n", text)
-    html = "<html" in text[:400].lower() or "<noscript" in text.lower()
+    html = bool(_HTML.search(_INLINE.sub(" ", text)))
+    if html:
+        text = _COMMENT.sub(lambda m: m[0] if SLOT.search(m[0]) else " ", text)
     for raw in text.splitlines():
         line = _INLINE.sub(" quoted ", raw)
         if html:
-            line = _TAG.sub(" . ", line)
+            line = _TAG.sub(lambda m: m[0] if SLOT.fullmatch(m[0]) else " . ", line)
         code = bool(_CODE.search(line))
         yield _MARKUP.sub("", unicodedata.normalize("NFKC", line)).strip(), code
 

@@ -88,3 +88,16 @@ def test_slots_are_decided_by_exemplars(monkeypatch):
     monkeypatch.setitem(rs.EXEMPLARS, "slot", "")
     bare = rs.Index(1000, {})
     assert [rs.judge(t, bare) for t in OPEN_SLOTS] == [None] * len(OPEN_SLOTS)
+
+
+PAGE = "<html><head><title>404 Not Found</title></head><body><h1>404 Not Found</h1></body></html>"
+MARKUP = {
+    "error": ["<!-- " + "made by the proxy " * 30 + "-->\n" + PAGE, " \n" * 300 + PAGE, "<head><title>404 Not Found</title></head>\n<h1>404 Not Found</h1>", "<h2>502 Bad Gateway</h2>\n<p>The server could not answer your request.</p>"],
+    "slot": ["<h1>Report</h1>\n\n<p>Ask <your-name> for details.</p>", "<h1>Report</h1>\n<!-- {{title}} -->", CONTENT + " Details are in <<title>>.", "<h1>Report</h1>\n\nDetails are in <<title>>."],
+    None: ["<h1>CacheStore</h1>\n\n" + CONTENT, "A page with `<h1>404 Not Found</h1>` is dropped by CacheStore before the cycle count."],
+}
+
+
+@pytest.mark.parametrize("reason,text", [(r, t) for r, ts in MARKUP.items() for t in ts])
+def test_markup_anywhere(reason, text):
+    assert rs.judge(text, INDEX) == reason
