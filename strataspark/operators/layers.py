@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataspark.operators import flatten
 from strataspark.plans.registry import register
+from strataspark.plans.storage import cut
 from strataspark.sources.tables import table
 
 QUERIES: dict = {}
@@ -205,7 +206,7 @@ def implicit_interfaces(spark: SparkSession, d: str) -> DataFrame:
 # --- methods that come by embedding, and uses of concrete types ---------------
 
 
-def promoted_methods(own: DataFrame, embeds: DataFrame, depth: int = 5) -> DataFrame:
+def promoted_methods(own: DataFrame, embeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(type, method, level): method sets with embedding. `own` has (type, method), `embeds` (type, embedded).
 
     A method of a shallower level hides deeper ones of its name; one that comes
@@ -220,8 +221,13 @@ def promoted_methods(own: DataFrame, embeds: DataFrame, depth: int = 5) -> DataF
     mine = own.select("type", "method").where(F.col("method").isNotNull()).distinct()
     path = pairs.select(F.col("src").alias("type"), F.col("dst").alias("via"), F.lit(1).alias("level"))
     ways = path
-    for level in range(2, depth + 1):
+    level = 1
+    while depth is None or level < depth:  # ends by itself: the types left are on no cycle
+        level += 1
         path = path.join(pairs.select(F.col("src").alias("via"), "dst"), "via").select("type", F.col("dst").alias("via"), F.lit(level).alias("level"))
+        path = cut(path.distinct())
+        if path.isEmpty():
+            break
         ways = ways.unionByName(path)
     sources = ways.groupBy("type", "via").agg(F.min("level").alias("level"))
     offered = sources.join(mine.withColumnRenamed("type", "via"), "via").select("type", "method", "level")

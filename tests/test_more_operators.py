@@ -97,3 +97,11 @@ def test_projects(spark):
     assert [tuple(r) for r in mining.module_graph(g).collect()] == [("a", "b", 3, ["x", "y"])]
     t = frame(spark, [("Map<string, number>", "data-store/core_parts")], "t string, n string")
     assert tuple(t.select(mining.without_generics(F.col("t")), mining.label(F.col("n")), mining.label(F.col("n"), 6)).collect()[0]) == ("Map", "Data Store Core Parts", "Data …")
+
+
+def test_methods_are_promoted_from_any_depth(spark):
+    from strataspark.operators.layers import promoted_methods
+
+    own = spark.createDataFrame([("t8", "run")], "type string, method string")
+    embeds = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(8)], "type string, embedded string")
+    assert {tuple(r) for r in promoted_methods(own, embeds).collect()} == {(f"t{i}", "run", 8 - i) for i in range(9)}
