@@ -222,6 +222,6 @@ class Engine:
         return current_entities(self.spark, self.root).where(F.col("scope_key").isNotNull()).groupBy(F.col("scope_key").alias("key")).agg(F.count(F.lit(1)).alias("entities"))
 
     def with_scope(self, wanted: str | None) -> Engine:
-        """The same for a scope by its key or a part of it."""
-        known = [{"key": r.key, "label": r.key} for r in self.scopes().where(F.contains("key", F.lit(wanted or ""))).limit(1000).collect()]
+        """The same for a scope by its key or a part of it; two matches, an exact key first, decide as all would."""
+        known = [{"key": r.key, "label": r.key} for r in self.scopes().where(F.contains("key", F.lit(wanted or ""))).orderBy(F.col("key") != F.lit(wanted or ""), "key").limit(2).collect()]
         return Engine(self.spark, self.root, resolve(known, wanted))

@@ -43,3 +43,14 @@ def test_scopes_and_drift(engine):
     assert engine.test_patterns(["pytest", "unheard"]) == {"pytest": ["assert "], "unheard": []}
     with pytest.raises(ValueError):
         engine.check([])
+
+
+def test_an_exact_scope_is_found_among_many(spark, data):
+    class Many(Engine):
+        def scopes(self):
+            return spark.range(3000).selectExpr("concat('scope', 9999 - id) AS key", "id AS entities").unionByName(spark.createDataFrame([("scope", 1)], "key string, entities bigint"))
+
+    assert Many(spark, data).with_scope("scope").scope == "scope"
+    assert Many(spark, data).with_scope("e7123").scope == "scope7123"
+    with pytest.raises(KeyError):
+        Many(spark, data).with_scope("scope9")
