@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.functions.text import plain
@@ -18,20 +18,42 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.valid_scores(table(spark, d, "task_results"), plain)
 
 
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of every model and format over all run dates, out of those of single dates."""
+    daily = quantiles.partial_sketches(_scores(spark, d), [*GROUP, "run_date"], "mean_score")
+    return quantiles.merge_sketches(daily.drop("run_date"), GROUP)
+
+
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of every model and format over all run dates, out of the sketches of single dates."""
-    daily = quantiles.sketches(_scores(spark, d), [*GROUP, "run_date"], "mean_score")
-    whole = quantiles.merge_sketches(daily.drop("run_date"), GROUP)
-    return quantiles.estimates(whole, QUANTILES, GROUP)
+    return quantiles.estimates(_whole(spark, d), QUANTILES, GROUP)
 
 
 def p1_monthly(spark: SparkSession, d: str) -> DataFrame:
     """The same per month, joined from the sketches of its dates."""
-    daily = quantiles.sketches(_scores(spark, d), [*GROUP, "run_date"], "mean_score")
+    daily = quantiles.partial_sketches(_scores(spark, d), [*GROUP, "run_date"], "mean_score")
     monthly = quantiles.merge_sketches(daily.withColumn("month", F.trunc("run_date", "month")).drop("run_date"), [*GROUP, "month"])
     return quantiles.estimates(monthly, QUANTILES, [*GROUP, "month"])
 
 
+def p1_rank_error(spark: SparkSession, d: str) -> DataFrame:
+    """(model, format_name, percentile, within): whether the exact rank of every estimate is off by less than the stated limit."""
+    told = p1_percentiles(spark, d)
+    names = [quantiles.column(q) for q in QUANTILES]
+    rows = _scores(spark, d).select(*GROUP, "mean_score").join(told.drop("n"), GROUP)
+    below = [F.count_if(F.col("mean_score") < F.col(c)).alias(f"{c}_lt") for c in names]
+    upto = [F.count_if(F.col("mean_score") <= F.col(c)).alias(f"{c}_le") for c in names]
+    ranks = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *below, *upto)
+
+    def within(q: float, c: str) -> Column:
+        rank = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n")))
+        off = F.greatest(F.col(f"{c}_lt") + 1 - rank, rank - F.col(f"{c}_le"), F.lit(0))
+        return off - 1 <= quantiles.LIMIT * F.least(rank, F.col("n") - rank + 1)
+
+    each = F.array(*[F.struct(F.lit(c).alias("percentile"), within(q, c).alias("within")) for q, c in zip(QUANTILES, names)])
+    return ranks.select(*GROUP, F.explode(each).alias("x")).select(*GROUP, "x.percentile", "x.within")
+
+
 def p1_daily(spark: SparkSession, d: str) -> DataFrame:
     """The sketches of single run dates, to be kept and joined into any longer period."""
     return quantiles.sketches(_scores(spark, d), [*GROUP, "run_date"], "mean_score")
@@ -123,7 +145,7 @@ def p9_reasons(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_percentiles, p1_monthly, p1_daily, p1_counts, p5_found, p5_ranked, p6_found, p6_scored, p7_ids, p7_decoded,
+        p1_percentiles, p1_monthly, p1_daily, p1_counts, p1_rank_error, p5_found, p5_ranked, p6_found, p6_scored, p7_ids, p7_decoded,
         p8_found, p8_reparameterised, p9_found, p9_reasons,
     )
 }
@@ -148,15 +170,17 @@ _TOGETHER = """
                JOIN a ON a.scope_key = p.scope_key WHERE n_ab * n_all >= 4 * i.n * j.n)
 """
 
-SQL = {
-    "p1_counts": f"""
+_VALID = f"""
         WITH r AS (SELECT result_id, {_TRIM.format('model')} AS model, {_TRIM.format('format_name')} AS format_name, mean_score,
                      row_number() OVER (PARTITION BY result_id ORDER BY ingested_at NULLS FIRST, run_date NULLS FIRST,
                        {_TRIM.format('model')}, {_TRIM.format('format_name')}, mean_score) AS rn
                    FROM task_results WHERE {_TRIM.format('model')} <> '' AND {_TRIM.format('format_name')} <> ''
-                     AND mean_score IS NOT NULL AND NOT isnan(mean_score) AND mean_score BETWEEN 0 AND 1)
-        SELECT model, format_name, count(*) AS n, min(mean_score) AS least, max(mean_score) AS most
-        FROM r WHERE rn = 1 OR result_id IS NULL GROUP BY 1, 2""",
+                     AND mean_score IS NOT NULL AND NOT isnan(mean_score) AND mean_score BETWEEN 0 AND 1)"""
+
+SQL = {
+    "p1_counts": _VALID + "SELECT model, format_name, count(*) AS n, min(mean_score) AS least, max(mean_score) AS most FROM r WHERE rn = 1 OR result_id IS NULL GROUP BY 1, 2",
+    "p1_rank_error": _VALID + f"""SELECT DISTINCT model, format_name, percentile, true AS within
+        FROM r, (SELECT unnest({[quantiles.column(q) for q in QUANTILES]}) AS percentile) WHERE rn = 1 OR result_id IS NULL""",
     "p5_found": f"SELECT 'contributor' AS kind, target, item FROM ({_OWN}) WHERE rank <= 5 UNION ALL SELECT 'neighbor', target, item FROM ({_NEAR}) WHERE rank <= 10",
     "p5_ranked": f"SELECT target, item AS neighbor, n AS joint_change_count, rank FROM ({_NEAR}) WHERE rank <= 10",
     "p6_found": _TOGETHER + "SELECT scope_key, path_a, path_b FROM r",

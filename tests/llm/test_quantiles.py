@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from strataspark.functions.text import plain
-from strataspark.llm.quantiles import Sketch, estimates, merge_sketches, sketches, valid_scores
+from strataspark.llm.quantiles import Sketch, _seed, estimates, merge_sketches, sketches, valid_scores
 
 QS = [1e-4, 0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 0.9999]
 
@@ -21,6 +21,46 @@ def worst(values, sketch):
     return out
 
 
+@pytest.mark.parametrize("parts,size", [(2000, 256), (5000, 193), (1000, 1000)])
+@pytest.mark.parametrize("lie", ["strided", "sorted", "random", "alike"])
+@pytest.mark.parametrize("at_once", [1, 40])
+def test_error_limit_over_many_parts(parts, size, lie, at_once):
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        x = np.sort(rng.random(parts * size))
+        if lie == "alike":  # every part holds nearly the same values
+            x = np.sort(np.tile(x[::parts], parts) + np.arange(parts).repeat(size) * 1e-12)
+        cut = np.split(rng.permutation(x) if lie == "random" else x, parts) if lie in ("sorted", "random") else [x[i::parts] for i in range(parts)]
+        whole, waiting = Sketch(), []
+        for i, part in enumerate(cut):
+            s = Sketch(seed=_seed(i, ("g",), part))
+            s.add(part)
+            waiting.append(s)
+            if len(waiting) == at_once:
+                whole.merge(*waiting)
+                waiting = []
+        whole.merge(*waiting)
+        assert whole.n == len(x)
+        assert worst(x, whole) < 0.02  # stated: 0.05
+
+
+def test_equal_parts_draw_differently():
+    x = np.arange(256.0)
+    a, b = Sketch(seed=_seed(0, ("g",), x)), Sketch(seed=_seed(1, ("g",), x))
+    assert a.low.seed != b.low.seed and a.low.seed != a.high.seed
+
+
+def test_pack_keeps_everything():
+    for n in (0, 5, 100_000):
+        s = Sketch(seed=7)
+        s.add(np.random.default_rng(n).random(n))
+        t = Sketch.unpack(s.pack())
+        assert t.pack() == s.pack() and t.low.times == s.low.times and all((p == q).all() for p, q in zip(t.high.levels, s.high.levels))
+        more = np.random.default_rng(1).random(5000)
+        s.add(more), t.add(more)
+        assert s.pack() == t.pack()
+
+
 @pytest.mark.parametrize("name", ["uniform", "sorted", "reversed", "ties", "one", "two_ends"])
 def test_error_limit_over_merged_parts(name):
     rng = np.random.default_rng(4)
