@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.operators import flatten
+from strataspark.plans.parallel import spread
 from strataspark.plans.registry import register
 from strataspark.plans.storage import cut
 from strataspark.sources.tables import table
@@ -22,7 +23,7 @@ GOD_LIMITS = {"fan_in": 5, "structs": 20, "functions": 50, "file_count": 20}
 
 def layer(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """The objects of one kind, redelivered records once."""
-    return flatten.flat(table(spark, root, "raw_docs"), kind).distinct()
+    return flatten.flat(spread(table(spark, root, "raw_docs").select("raw_id", "payload")), kind).distinct()
 
 
 def fans(nodes: DataFrame, edges: DataFrame, distinct: bool = False) -> DataFrame:
@@ -100,12 +101,6 @@ TREE = ", ".join(
 _S = "json_extract_string(n, '$.{}')"
 
 
-@query("WITH " + TREE + " " + " UNION ".join(f"SELECT raw_id, '{k}' AS kind, path FROM {k}" for k in flatten.KINDS))
-def layer_objects(spark: SparkSession, d: str) -> DataFrame:
-    """All nested objects of the raw records."""
-    return flatten.found(table(spark, d, "raw_docs")).distinct()
-
-
 _N = f"pn AS (SELECT DISTINCT raw_id, path, {_S.format('id')} AS id, {_S.format('name')} AS name, {_S.format('fileCount')}::BIGINT AS file_count, {_S.format('stats.structs')}::BIGINT AS structs, {_S.format('stats.functions')}::BIGINT AS functions FROM package_node)"
 _E = f"pe AS (SELECT DISTINCT raw_id, path, {_S.format('source')} AS source, {_S.format('target')} AS target, {_S.format('strength')}::BIGINT AS strength FROM package_edge)"
 _F = """fi AS (SELECT raw_id, target AS id, count(*) AS fan_in FROM pe GROUP BY 1, 2), fo AS (SELECT raw_id, source AS id, count(*) AS fan_out FROM pe GROUP BY 1, 2),

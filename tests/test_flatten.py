@@ -1,6 +1,7 @@
 import json
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,12 +11,11 @@ from strataspark.operators import flatten
 
 def brute(payload):
     """All objects of a payload by walking it."""
-    for _ in range(8):
-        if isinstance(payload, str):
-            try:
-                payload = json.loads(payload.removeprefix("﻿"))
-            except ValueError:
-                return
+    while isinstance(payload, str):
+        try:
+            payload = json.loads(payload.removeprefix("﻿"))
+        except ValueError:
+            return
     if not isinstance(payload, dict):
         return
     sub = lambda v, k: v.get(k) if isinstance(v, dict) else None
@@ -34,17 +34,22 @@ def brute(payload):
         for o, _ in each(x.get("outgoing"), e + "."):
             yield "outgoing", o
     layers = sub(sub(sub(payload, "extensions"), "goAtlas"), "layers")
-    for kind, (layer, field) in flatten.LAYERS.items():
-        for c, x in each(sub(sub(layers, layer), field)):
+    for kind, at in flatten.TOP.items():
+        if kind == "entity":
+            continue
+        for c, x in each(sub(sub(layers, at[-2]), at[-1])):
             yield kind, c
             if kind == "call_chain":
                 for k, _ in each(x.get("calls"), c + "."):
                     yield "call_edge", k
 
 
-def operator(payloads):
+ALL_FIELDS = {k: tuple(f) for k, f in flatten.FIELDS.items()}
+
+
+def operator(payloads, wanted=flatten.NO_FIELDS):
     out = []
-    for kind, lv in flatten.levels(payloads, pa.array(range(len(payloads)))).items():
+    for kind, lv in flatten.levels(payloads, pa.array(range(len(payloads)), pa.int64()), flatten.Shape(wanted)).items():
         out += zip(lv.record.to_pylist(), [kind] * len(lv.path), lv.path.to_pylist())
     return sorted(out)
 
@@ -54,12 +59,40 @@ ODD = [
     '﻿{"entities": [null, {"methods": [null, {"params": [null, {}]}], "outgoing": [{}, null, 5, "x", [{}]]}]}',
     json.dumps('﻿{"entities": [{"id": 3, "name": true, "outgoing": {"targetId": 9}}]}'), json.dumps(json.dumps({"entities": [{}]})),
     '{"entities": [{"id": "\\ud800", "name": "ok"}]}', '{"entities": 5, "extensions": {"goAtlas": {"layers": {"package": {"nodes": [{"fileCount": "many"}], "edges": {"strength": 1e400}}, "flow": {"callChains": [{"calls": [null, {"confidence": 1}]}, null]}}}}}',
+    '{"entities": [{}]}{"entities": [{}]}', '{"entities": [{}]}}\n{"p": {"entities": [{}]}', '{"entities": [{}], "entities": [{}, {}]}', '{"entities": [{"id": "a\nb"}]}', ' \n{"entities":\n [{}\n]}\n', '{"entities": [{"id": "x", "id": "y"}]}',
+    '{"entities": [{"name": NaN}]}', '{"extensions": {"goAtlas": {"layers": {"package": {"nodes": [{"fileCount": 1.5}, {"fileCount": 99999999999999999999}, {"stats": [1]}]}}}}}', '{"extensions": []}', '{"entities": [[{}]]}', '{"entities": [{"id": "methods\\": {"}]}',
     '{"extensions": {"goAtlas": {"layers": {"package": [], "capability": {"nodes": {"exported": true}}, "goroutine": {"nodes": [{"location": {"line": 3}}]}}}}} ', '{"entities": []} x',
 ]
 
 
-def test_odd_payloads_equal_brute_force():
-    assert operator(ODD) == sorted((i, k, p) for i, t in enumerate(ODD) for k, p in brute(t))
+def nest(depth, text='{"entities": [{}]}'):
+    for _ in range(depth):
+        text = json.dumps(text)
+    return text
+
+
+@pytest.mark.parametrize("wanted", [flatten.NO_FIELDS, ALL_FIELDS])
+def test_odd_payloads_equal_brute_force(wanted):
+    assert operator(ODD, wanted) == sorted((i, k, p) for i, t in enumerate(ODD) for k, p in brute(t))
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 12])
+def test_any_number_of_wrappings(depth):
+    assert operator([nest(depth)]) == [(0, "entity", "0")]
+
+
+def test_order_and_paths_by_either_way():
+    good, lone, broken = '{"entities": [{"id": "%d", "methods": [{}]}]}', '{"entities": [{"id": "%d", "methods": {}}]}', '{"entities": [{"id": "%d"}'
+    payloads = [(good, lone, broken)[i * i % 3 if i % 7 else 2] % i for i in range(300)]
+    lv = flatten.levels(payloads, pa.array(range(300), pa.int64()), flatten.Shape(ALL_FIELDS))["entity"]
+    assert [str(r) for r in lv.record.to_pylist()] == pc.struct_field(lv.objects, "id").to_pylist()
+    assert len(lv.path) == sum(p.endswith("]}") for p in payloads)
+
+
+def test_regular_payloads_are_not_decoded_in_python(monkeypatch):
+    monkeypatch.setattr(flatten, "decode", lambda p: pytest.fail("decoded"))
+    payload = json.dumps({"entities": [{"id": "a", "x": 1, "methods": [{"name": "m", "params": [None, {"name": "p"}]}], "outgoing": None}], "extensions": {"goAtlas": {"layers": {"flow": {"callChains": [{"calls": [{"from": "a"}]}]}}}}})
+    assert len(operator([payload] * 40, ALL_FIELDS)) == 40 * 5
 
 
 leaf = st.none() | st.booleans() | st.integers(-5, 5) | st.text(max_size=3)
