@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataspark.functions.pair_codes import count_pairs, hashed, numbered
 from strataspark.functions.text import package_path
 from strataspark.plans.registry import register
+from strataspark.plans.storage import cut
 from strataspark.sources.tables import commit_files
 
 QUERIES: dict = {}
@@ -58,21 +60,16 @@ def cochange(changes: DataFrame, min_joint: int = 1) -> DataFrame:
     """(scope_key, target, neighbor, joint, strength, window_coverage): files that change in the same commit, in both directions.
 
     strength is the share of the commits of either that are commits of both,
-    window_coverage that of the target's own.
+    window_coverage that of the target's own. A commit of very many files is
+    paired in blocks, over all tasks.
     """
-    c = changes.select("scope_key", "sha", "path")
+    c = changes.select("scope_key", "sha", "path").dropna()
     counts = c.groupBy("scope_key", "path").agg(F.count(F.lit(1)).alias("n"))
-    other = c.select("scope_key", "sha", F.col("path").alias("path2"))
-    joint = (
-        c.join(other, ["scope_key", "sha"])
-        .where(F.col("path") < F.col("path2"))
-        .groupBy("scope_key", "path", "path2")
-        .agg(F.count(F.lit(1)).alias("joint"))
-        .where(F.col("joint") >= min_joint)
-    )
-    both = joint.join(counts.withColumnRenamed("n", "na"), ["scope_key", "path"]).join(
-        counts.select("scope_key", F.col("path").alias("path2"), F.col("n").alias("nb")), ["scope_key", "path2"]
-    )
+    files = numbered(counts)
+    members = cut(c.join(files.select("scope_key", "path", "no"), ["scope_key", "path"]).select(*hashed("scope_key", "sha"), "no"))
+    a = files.select(F.col("no").alias("no_a"), "scope_key", "path", F.col("n").alias("na"))
+    b = files.select(F.col("no").alias("no_b"), F.col("path").alias("path2"), F.col("n").alias("nb"))
+    both = count_pairs(members).withColumnRenamed("n_ab", "joint").where(F.col("joint") >= min_joint).join(a, "no_a").join(b, "no_b")
     way = lambda a, b, own: both.select(
         "scope_key", F.col(a).alias("target"), F.col(b).alias("neighbor"), "joint",
         (F.col("joint") / (F.col("na") + F.col("nb") - F.col("joint"))).alias("strength"),
@@ -117,13 +114,13 @@ def file_risk(changes: DataFrame, as_of: str = AS_OF) -> DataFrame:
     m = file_metrics(changes)
     owner = contributors(changes, FILE).where(F.col("rank") == 1).select(*FILE, (F.col("commits") / F.col("total")).alias("share"))
     breadth = nearest(cochange(changes)).groupBy("scope_key", F.col("target").alias("path")).agg(F.count(F.lit(1)).alias("neighbors"))
-    w = Window.partitionBy("scope_key")
-    log_share = lambda c: F.when(F.max(c).over(w) > 0, F.log1p(c) / F.log1p(F.max(c).over(w))).otherwise(0.0)
+    most = m.groupBy("scope_key").agg(F.max("commit_count").alias("most_commits"), F.max("author_count").alias("most_authors"))
+    log_share = lambda c, top: F.when(F.col(top) > 0, F.log1p(c) / F.log1p(top)).otherwise(0.0)
     days = F.greatest(F.lit(0), F.datediff(F.lit(as_of).cast("date"), "last_changed_at"))
-    rows = m.join(owner, FILE).join(breadth, FILE, "left").select(
+    rows = m.join(owner, FILE).join(breadth, FILE, "left").join(most, "scope_key").select(
         *FILE,
-        log_share("commit_count").alias("churn"),
-        log_share("author_count").alias("author_count"),
+        log_share("commit_count", "most_commits").alias("churn"),
+        log_share("author_count", "most_authors").alias("author_count"),
         (1 - F.col("share")).alias("owner_concentration"),
         F.least(F.coalesce("neighbors", F.lit(0)) / NEIGHBORS, F.lit(1.0)).alias("cochange_breadth"),
         recency(days).alias("recency"),
@@ -175,7 +172,7 @@ def parse_log(logs: DataFrame, text: str = "value") -> DataFrame:
     blocks = logs.select(F.explode(F.split(text, "COMMIT_START")).alias("block"))
     lines = F.filter(F.split("block", r"\r?\n"), lambda x: F.trim(x) != "")
     b = blocks.select(lines.alias("l")).where(F.size("l") >= 3)
-    b = b.select(F.trim(F.col("l")[0]).alias("sha"), F.trim(F.col("l")[1]).alias("author_email"), F.trim(F.col("l")[2]).alias("day"), F.explode(F.slice("l", 4, 1_000_000)).alias("line"))
+    b = b.select(F.trim(F.col("l")[0]).alias("sha"), F.trim(F.col("l")[1]).alias("author_email"), F.trim(F.col("l")[2]).alias("day"), F.explode(F.expr("slice(l, 4, greatest(size(l) - 3, 0))")).alias("line"))
     b = b.where((F.length("sha") >= 7) & F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t.+$"))
     part = lambda i: F.regexp_extract("line", r"^(\d+|-)\t(\d+|-)\t(.+)$", i)
     number = lambda i: F.when(part(i) == "-", F.lit(0)).otherwise(F.expr("0") + part(i).try_cast("bigint"))
