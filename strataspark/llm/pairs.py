@@ -1,9 +1,8 @@
 """Items that appear together much more often than chance.
 
-Items get a number of 31 bits, a pair becomes one 64-bit code. Each task makes
-the codes of its baskets in runs, sorts a run, and counts equal neighbours; the
-shorter runs are sorted again by the shuffle's external sort (spilled sorted
-runs, merged) and counted to the end. No pair of texts is ever shuffled.
+Pairs are packed into 64-bit codes, sorted in runs, merged by the shuffle's
+external sort and counted by run lengths (`functions/pair_codes.py`); odds
+ratios with a continuity correction follow from the counts.
 
 Before that, items that cannot be in any case are left out, which loses
 nothing: with n(a,b) >= s, both items are in s baskets at least; with
@@ -13,96 +12,12 @@ more than N / l baskets. So the item that is nearly everywhere makes no pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataspark.functions.pair_codes import BASKET, BLOCK, count_pairs, hashed, numbered
 from strataspark.plans.storage import cut
 
-#: Items of a basket that one task pairs with each other or with as many others; wider baskets are split into blocks.
-BLOCK = 1024
-#: Codes of a run before it is sorted and counted.
-RUN = 1 << 20
-
-
-#: What stands for a basket and its scope: two 64-bit hashes. Among 10**10 baskets, that two are taken for one has a chance of 10**-19.
-BASKET = ["__b1", "__b2"]
-
-
-def _hashed(scope: str, basket: str) -> list[Column]:
-    return [F.xxhash64(scope, basket).alias(BASKET[0]), F.xxhash64(basket, F.lit(1), scope).alias(BASKET[1])]
-
-
-def _numbered(items: DataFrame) -> DataFrame:
-    """Items with a number below 2**31 in column `no`.
-
-    Partitions are written to the shared checkpoint folder first, so that later
-    reads see the same numbers; only their sizes go to the driver.
-    """
-    made = F.monotonically_increasing_id()
-    kept = cut(items.withColumns({"__p": F.shiftright(made, 33), "__r": made.bitwiseAND(F.lit((1 << 33) - 1))}))
-    sizes = sorted((r[0], r[1]) for r in kept.groupBy("__p").count().collect())
-    starts, total = [], 0
-    for part, n in sizes:
-        starts.append((part, total))
-        total += n
-    if total >= 1 << 31:
-        raise ValueError(f"{total} frequent items: their pairs do not fit into 64 bits")
-    offsets = items.sparkSession.createDataFrame(starts, "__p bigint, __o bigint")
-    return kept.join(F.broadcast(offsets), "__p").withColumn("no", F.col("__o") + F.col("__r")).drop("__p", "__o", "__r")
-
-
-def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counted runs of pair codes of the baskets' blocks of items."""
-    run, size = [], 0
-
-    def counted() -> pa.RecordBatch:
-        codes, counts = np.unique(np.concatenate(run), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["code", "n"])
-
-    for b in batches:
-        left, right = b.column(0), b.column(1)
-        lo, ro = left.offsets.to_numpy(), right.offsets.to_numpy()
-        lv, rv = left.values.to_numpy(zero_copy_only=False), right.values.to_numpy(zero_copy_only=False)
-        for i in range(b.num_rows):
-            x, y = np.sort(lv[lo[i] : lo[i + 1]]), np.sort(rv[ro[i] : ro[i + 1]])
-            if len(y):
-                codes = ((np.minimum.outer(x, y) << 32) | np.maximum.outer(x, y)).ravel()
-            else:
-                a, c = np.triu_indices(len(x), 1)
-                codes = (x[a] << 32) | x[c]
-            if len(codes):
-                run.append(codes)
-                size += len(codes)
-            if size >= RUN:
-                yield counted()
-                run, size = [], 0
-    if run:
-        yield counted()
-
-
-def _run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of equal neighbours of sorted codes; the last code of a batch is carried into the next."""
-    last, carried = None, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        codes, counts = b.column(0).to_numpy(), b.column(1).to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        codes, counts = codes[starts], np.add.reduceat(counts, starts)
-        if last is not None:
-            if codes[0] == last:
-                counts[0] += carried
-            else:
-                codes, counts = np.concatenate([[last], codes]), np.concatenate([[carried], counts])
-        last, carried = codes[-1], counts[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(codes[:-1], pa.int64()), pa.array(counts[:-1], pa.int64())], ["code", "n_ab"])
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([carried], pa.int64())], ["code", "n_ab"])
-
 
 def frequent_pairs(
     df: DataFrame, scope: str, basket: str, item: str, min_count: int = 5, min_lift: float = 4.0, block: int = BLOCK
@@ -118,20 +33,17 @@ def frequent_pairs(
     once, an empty table gives no rows, other columns are ignored.
     """
     rows = df.select(F.col(scope).alias("__s"), F.col(basket).alias("__b"), F.col(item).alias("__i")).dropna()
-    once = cut(rows.select("__s", *_hashed("__s", "__b"), "__i").distinct())
+    once = cut(rows.select("__s", *hashed("__s", "__b"), "__i").distinct())
     totals = once.groupBy("__s", *BASKET).agg(F.lit(1).alias("one")).groupBy("__s").agg(F.count(F.lit(1)).alias("n_all"))
     counts = once.groupBy("__s", "__i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     items = counts.join(totals, "__s").where(F.col("n") * F.lit(min_lift) <= F.col("n_all"))
-    items = _numbered(items.select("__s", "__i", "n", "n_all"))
+    items = numbered(items.select("__s", "__i", "n", "n_all"))
 
     members = cut(once.join(items.select("__s", "__i", "no"), ["__s", "__i"]).select(*BASKET, "no"))
-    runs = _blocks(members, block).mapInArrow(_pair_runs, "code bigint, n bigint")
-    merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_run_lengths, "code bigint, n_ab bigint")
-    pairs = merged.where(F.col("n_ab") >= min_count)
-    low, high = F.shiftright("code", 32), F.col("code").bitwiseAND(F.lit((1 << 32) - 1))
+    pairs = count_pairs(members, block).where(F.col("n_ab") >= min_count)
     a = items.select(F.col("no").alias("no_a"), F.col("__s").alias("sa"), F.col("__i").alias("ia"), F.col("n").alias("na"), "n_all")
     c = items.select(F.col("no").alias("no_b"), F.col("__i").alias("ib"), F.col("n").alias("nb"))
-    named = pairs.select(low.alias("no_a"), high.alias("no_b"), "n_ab").join(a, "no_a").join(c, "no_b")
+    named = pairs.join(a, "no_a").join(c, "no_b")
     named = named.where(F.col("n_ab") * F.col("n_all") >= F.lit(min_lift) * F.col("na") * F.col("nb"))
     swap = F.col("ia") > F.col("ib")
     both, only_a, only_b = F.col("n_ab"), F.col("n_a") - F.col("n_ab"), F.col("n_b") - F.col("n_ab")
@@ -150,24 +62,3 @@ def frequent_pairs(
             "log_odds": F.log((both + 0.5) * (none + 0.5) / ((only_a + 0.5) * (only_b + 0.5))),
         }
     )
-
-
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """(left, right): the numbers of every basket to be paired; an empty `right` stands for the pairs within `left`.
-
-    A basket wider than `block` is split by hash, and each two of its parts make a row, so that no task gets it whole.
-    """
-    none = F.array().cast("array<bigint>")
-    lists = lambda rows: rows.groupBy(*BASKET).agg(F.collect_list("no").alias("left")).select("left", none.alias("right"))
-    wide = members.groupBy(*BASKET).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
-    if wide.isEmpty():
-        return lists(members)
-    wide = wide.withColumn("parts", F.ceil(F.col("k") / block))
-    narrow = lists(members.join(wide, BASKET, "left_anti"))
-    split = members.join(wide, BASKET).withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")))
-    part = cut(split.groupBy(*BASKET, "part").agg(F.collect_list("no").alias("nos")))
-    other = part.select(*BASKET, F.col("part").alias("part2"), F.col("nos").alias("nos2"))
-    both = part.join(other, BASKET).where(F.col("part") <= F.col("part2"))
-    return narrow.unionByName(
-        both.select(F.col("nos").alias("left"), F.when(F.col("part") < F.col("part2"), F.col("nos2")).otherwise(none).alias("right"))
-    )

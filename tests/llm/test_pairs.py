@@ -3,11 +3,9 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
-import pyarrow as pa
 import pytest
 
-from strataspark.llm.pairs import _run_lengths, frequent_pairs
+from strataspark.llm.pairs import frequent_pairs
 
 
 def brute(rows, least, lift):
@@ -46,11 +44,3 @@ def test_equals_brute_force(spark, block):
 def test_empty(spark):
     df = spark.createDataFrame([], "scope string, sha string, path string")
     assert frequent_pairs(df, "scope", "sha", "path").count() == 0
-
-
-def test_runs_are_summed_across_batches():
-    parts = [[(1, 2), (1, 1)], [], [(1, 4)], [(2, 1), (3, 1), (3, 5)], [(3, 1)]]
-    batches = [pa.RecordBatch.from_arrays([pa.array([c for c, _ in p], pa.int64()), pa.array([n for _, n in p], pa.int64())], ["code", "n"]) for p in parts]
-    out = [r for b in _run_lengths(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert out == [(1, 7), (2, 1), (3, 7)]
-    assert np.all(np.diff([c for c, _ in out]) > 0)
