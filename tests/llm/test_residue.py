@@ -2,6 +2,9 @@ import pytest
 
 from strataspark.llm import residue as rs
 
+from heldout import CONTENT as OTHER
+from heldout import RESIDUE
+
 INDEX = rs.Index(1000, {})
 CONTENT = "We keep CacheStore in the core package because the cycle count kept rising after the last release."
 CASES = {
@@ -39,10 +42,12 @@ def test_cases(reason, text):
 
 def test_frame(spark):
     rows = [(i, t, r) for i, (r, t) in enumerate((r, t) for r, ts in CASES.items() for t in ts)]
+    # contents many times over, so that the cases do not shift the weights of their own terms
+    rows += [(-i, CONTENT + f" {i}", None) for i in range(1, 2000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, reason string")
-    got = {r.doc_id: r.reason for r in rs.residue(df).collect()}
-    want = {i: r for i, _, r in rows if r}
-    assert len(set(want.items()) ^ set(got.items())) <= 4  # document frequencies of so few texts shift weights
+    found = rs.residue(df).collect()
+    assert {r.doc_id: r.reason for r in found} == {i: r for i, _, r in rows if r}
+    assert all(0.6 <= r.coverage <= 1.0 for r in found)
     assert rs.residue(df.limit(0)).count() == 0
     assert rs.residue(spark.createDataFrame([(1, "TBD (x)"), (1, "TBD (x)"), (None, "TBD (x)")], "doc_id bigint, text string")).count() == 3
 
@@ -90,6 +95,48 @@ def test_slots_are_decided_by_exemplars(monkeypatch):
     assert [rs.judge(t, bare) for t in OPEN_SLOTS] == [None] * len(OPEN_SLOTS)
 
 
+LONG = [
+    "{{" + "a" * 5000 + "}}", "[Your " + "very " * 100 + "name]", "<your-" + "x" * 300 + ">", "Notes.\n\n```\ncode\n\nDear {{name}}", "~~~\nDear {{name}}", CONTENT * 3000 + "\n\nDear {{name}}",
+]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_no_limit_of_length(text):
+    assert rs.judge(text, INDEX) == "slot"
+
+
+def test_closed_fences_hide_slots():
+    assert rs.judge(CONTENT + "\n\n```\nDear {{name}}\n```\n", INDEX) is None
+    assert rs.judge(CONTENT + "\n\n```\nDear {{name}}\n```\n\n```\nDear {{name}}", INDEX) == "slot"
+
+
+RUNS = ["asdf asdf qwer asdfgh jkl", "test testing test TEST test123 test", "foo bar baz foo bar baz qux", "456 bbb bbb 123 aaa 456 ccc", "Cram morest rantim osdist estmisu."]
+NO_RUNS = ["foo() calls bar(), and bar() calls baz(), which reads the cache.", "The test tests that testing the tester works.", "1 2 3 4 5 6 7", "test", "Relation diagram outside decision loader of the reader."]
+
+
+@pytest.mark.parametrize("reason,text", [("filler", t) for t in RUNS] + [(None, t) for t in NO_RUNS])
+def test_runs(reason, text):
+    assert rs.judge(text, INDEX) == reason
+
+
+@pytest.mark.parametrize("documents", [1000, 1_000_000])
+def test_texts_no_exemplar_was_taken_from(documents):
+    """Recall and precision beyond the texts the exemplars were written after; see the README for the figures."""
+    common = {t: documents // 50 for t in rs.vocabulary() if t[0] == "\x01" or len(t) < 4}
+    index = rs.Index(documents, common)
+    found = [bool(rs.judge(t, index)) for ts in RESIDUE.values() for t in ts]
+    assert sum(found) >= 0.75 * len(found)
+    assert sum(bool(rs.judge(t, index)) for t in OTHER) <= 1
+
+
+def test_a_text_without_telling_terms_is_no_case():
+    """What spares most texts a closer look loses nothing: all windows looked at give the same."""
+    whole = rs.Index(1000, {})
+    whole.survey = lambda words: (True, True, 1, 0)
+    texts = [t for ts in [*CASES.values(), *RESIDUE.values(), OTHER, RUNS, NO_RUNS, OPEN_SLOTS, NO_SLOTS] for t in ts]
+    assert [rs.judge(t, whole) for t in texts] == [rs.judge(t, INDEX) for t in texts]
+
+
 PAGE = "<html><head><title>404 Not Found</title></head><body><h1>404 Not Found</h1></body></html>"
 MARKUP = {
     "error": ["<!-- " + "made by the proxy " * 30 + "-->\n" + PAGE, " \n" * 300 + PAGE, "<head><title>404 Not Found</title></head>\n<h1>404 Not Found</h1>", "<h2>502 Bad Gateway</h2>\n<p>The server could not answer your request.</p>"],
