@@ -173,7 +173,7 @@ class Engine:
         return rollups.diff(self._scoped(table(self.spark, self.root, "snapshots")))
 
     def direction(self) -> DataFrame:
-        return rollups.directions(self.diff())
+        return rollups.directions(self._scoped(table(self.spark, self.root, "snapshots")))
 
     def check(self, rules: list[tuple[str, str, float]], forbidden: list[tuple[str, str]] | None = None) -> DataFrame:
         """(scope_key, rule, passed): metric rules on the newest snapshots, and pairs of globs that no relation may join."""

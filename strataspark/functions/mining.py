@@ -113,49 +113,71 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return hit.groupBy("module", "imported").agg(F.min_by("target", "order").alias("target"))
 
 
-#: Extensions, file names at the root and priority files of languages, and what each counts (fixed values).
+#: Extensions of files and names of marker files of languages (fixed values).
 LANGUAGES = {
-    "typescript": (("ts", "tsx"), ("package.json", "tsconfig.json"), ("src/index.ts",)),
-    "java": (("java",), ("pom.xml", "build.gradle"), ()),
-    "kotlin": (("kt", "kts"), ("build.gradle.kts",), ()),
-    "python": (("py",), ("pyproject.toml", "setup.py", "requirements.txt"), ("setup.py",)),
-    "go": (("go",), ("go.mod",), ("main.go",)),
-    "cpp": (("cpp", "cc", "cxx", "hpp", "h"), ("CMakeLists.txt", "Makefile"), ()),
+    "cpp": (("cpp", "cxx", "cc", "hpp", "hxx", "h"), ("CMakeLists.txt", "Makefile")),
+    "go": (("go",), ("go.mod",)),
+    "java": (("java",), ("pom.xml", "build.gradle")),
+    "kotlin": (("kt", "kts"), ("build.gradle.kts", "settings.gradle.kts")),
+    "python": (("py",), ("pyproject.toml", "requirements.txt", "setup.py", "setup.cfg", "Pipfile")),
+    "typescript": (("ts", "tsx"), ("package.json", "tsconfig.json")),
 }
+#: Folders that are not looked into, beside those that begin with a dot or cmake-build- (fixed values).
+SKIPPED = ("node_modules", "build", "dist", "coverage", "vendor", "third_party", "thirdparty", "target", "__pycache__", "venv", "experiments")
+#: Folders whose files count less (fixed values).
+LOW_PRIORITY = ("scripts", "tests", "test", "examples", "docs", "doc", "bench")
 ROOT_MARKER, NESTED_MARKER, PRIORITY = 40, 12, 3
 
 
 def language_scores(paths: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
-    """(keys, language, score, rank): 40 per marker at the root, 12 per one below, 3 per priority file, 1 per file of the language."""
-    name, ext = F.regexp_replace(F.col(path), "^.*/", ""), F.regexp_extract(F.col(path), r"\.(\w+)$", 1)
-    scores = []
-    for language, (exts, markers, priority) in LANGUAGES.items():
-        marker = name.isin(*markers) if markers else F.lit(False)
-        points = (
-            F.when(marker & ~F.contains(F.col(path), F.lit("/")), ROOT_MARKER).when(marker, NESTED_MARKER).otherwise(0)
-            + F.when(F.col(path).isin(*priority), PRIORITY).otherwise(0)
-            + F.when(ext.isin(*exts), 1).otherwise(0)
-        )
-        scores.append(F.struct(F.lit(language).alias("language"), F.sum(points).alias("score")))
-    s = paths.select(*keys, path).distinct().groupBy(*keys).agg(F.array(*scores).alias("s"))
-    s = s.select(*keys, F.explode("s").alias("x")).select(*keys, "x.*").where(F.col("score") > 0)
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "language")))
+    """(keys, language, score, markers, root_markers, priority_files, total_files, rank): the languages of projects by the paths of their files.
+
+    A file counts 1 and 3 more outside of low-priority folders, a marker at the
+    root 40, every other marker's name 12. Files below skipped folders do not
+    count. A project without any language gets typescript with a score of 0.
+    A path given twice counts once; null paths make no project.
+    """
+    parts = F.split(F.col(path), "/")
+    folders, name = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
+    out_of_sight = F.exists(folders, lambda x: F.startswith(x, F.lit(".")) | F.startswith(x, F.lit("cmake-build-")) | x.isin(*SKIPPED))
+    low = F.exists(folders, lambda x: x.isin(*LOW_PRIORITY))
+    rows = paths.where(F.col(path).isNotNull()).select(*keys, path).distinct().select(
+        *keys, F.when(~out_of_sight, name).alias("n"), F.lower(F.regexp_extract(name, r".\.([^.]+)$", 1)).alias("e"), low.alias("low"), (F.size(folders) == 0).alias("root")
+    )
+    each = []
+    for language, (exts, markers) in LANGUAGES.items():
+        file, marker = F.col("n").isNotNull() & F.col("e").isin(*exts), F.col("n").isin(*markers)
+        each.append(
+            F.struct(
+                F.lit(language).alias("language"), F.sort_array(F.collect_set(F.when(marker, F.col("n")))).alias("markers"),
+                F.coalesce(F.max((marker & F.col("root")).cast("bigint")), F.lit(0)).alias("root_markers"), F.count_if(file & ~F.col("low")).alias("priority_files"), F.count_if(file).alias("total_files"),
+            )
+        )
+    x = rows.groupBy(*keys).agg(F.array(*each).alias("s")).select(*keys, F.explode("s").alias("x")).select(*keys, "x.*")
+    score = F.col("root_markers") * ROOT_MARKER + (F.size("markers") - F.col("root_markers")) * NESTED_MARKER + F.col("priority_files") * PRIORITY + F.col("total_files")
+    w = Window.partitionBy(*keys)
+    x = x.withColumn("score", score.cast("bigint")).withColumn("any", F.max("score").over(w))
+    kept = x.where((F.col("score") > 0) | (F.col("any") == 0) & (F.col("language") == "typescript"))
+    return kept.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "language"))).drop("any")
 
 
 # --- queries -----------------------------------------------------------------
 
-_EXTS = {lang: exts for lang, (exts, _, _) in LANGUAGES.items()}
+_quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _LANG_SQL = " UNION ALL ".join(
-    f"SELECT scope_key, '{lang}' AS language, sum(CASE WHEN regexp_extract(path, '\\.(\\w+)$', 1) IN ({', '.join(repr(e) for e in exts)}) THEN 1 ELSE 0 END"
-    f" + CASE WHEN regexp_replace(path, '^.*/', '') IN ({', '.join(repr(m) for m in LANGUAGES[lang][1])}) THEN CASE WHEN contains(path, '/') THEN 12 ELSE 40 END ELSE 0 END"
-    + (f" + CASE WHEN path IN ({', '.join(repr(m) for m in LANGUAGES[lang][2])}) THEN 3 ELSE 0 END" if LANGUAGES[lang][2] else "")
-    + ")::BIGINT AS score FROM p GROUP BY 1"
-    for lang, exts in _EXTS.items()
+    f"SELECT scope_key, '{lang}' AS language, list_sort(coalesce(list(DISTINCT n) FILTER (WHERE n IN ({_quoted(marks)})), [])) AS markers, count(DISTINCT n) FILTER (WHERE n IN ({_quoted(marks)})) AS k,"
+    f" coalesce(max(CASE WHEN root AND n IN ({_quoted(marks)}) THEN 1 ELSE 0 END), 0)::BIGINT AS root_markers, count(*) FILTER (WHERE n IS NOT NULL AND NOT low AND e IN ({_quoted(exts)})) AS priority_files,"
+    f" count(*) FILTER (WHERE n IS NOT NULL AND e IN ({_quoted(exts)})) AS total_files FROM q GROUP BY 1"
+    for lang, (exts, marks) in LANGUAGES.items()
 )
 
 
-@query(f"""WITH p AS (SELECT DISTINCT scope_key, path FROM commit_files WHERE path <> '' AND scope_key IS NOT NULL), s AS ({_LANG_SQL})
-    SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY score DESC, language) AS rank FROM s WHERE score > 0""")
+@query(f"""WITH p AS (SELECT DISTINCT scope_key, path, string_split(path, '/')[:-2] AS d, string_split(path, '/')[-1] AS name FROM commit_files WHERE path <> '' AND scope_key IS NOT NULL),
+      q AS (SELECT scope_key, CASE WHEN len(list_filter(d, lambda x: starts_with(x, '.') OR starts_with(x, 'cmake-build-') OR x IN ({_quoted(SKIPPED)}))) = 0 THEN name END AS n,
+        lower(regexp_extract(name, '.[.]([^.]+)$', 1)) AS e, len(list_filter(d, lambda x: x IN ({_quoted(LOW_PRIORITY)}))) > 0 AS low, len(d) = 0 AS root FROM p),
+      s AS (SELECT * EXCLUDE (k), root_markers * 40 + (k - root_markers) * 12 + priority_files * 3 + total_files AS score FROM ({_LANG_SQL}))
+    SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY score DESC, language) AS rank FROM s
+    WHERE score > 0 OR language = 'typescript' AND scope_key NOT IN (SELECT scope_key FROM s WHERE score > 0)""")
 def repository_languages(spark: SparkSession, d: str) -> DataFrame:
     """Languages of every repository by its paths; the first is its primary one."""
     c = table(spark, d, "commit_files").where((F.col("path") != "") & F.col("scope_key").isNotNull())

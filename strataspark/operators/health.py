@@ -140,12 +140,21 @@ def boundary(assigned: DataFrame, package: str = "package", cluster: str = "clus
     )
 
 
-def split_packages(assigned: DataFrame, package: str = "package", cluster: str = "cluster", share: float = 0.25) -> DataFrame:
-    """(package, parts): packages of which at least two clusters hold `share` each."""
-    cells = assigned.groupBy(package, cluster).agg(F.count(F.lit(1)).alias("n"))
-    size = F.sum("n").over(Window.partitionBy(package))
-    big = cells.withColumn("size", size).where(F.col("n") >= share * F.col("size"))
-    return big.groupBy(package).agg(F.count(F.lit(1)).alias("parts")).where(F.col("parts") >= 2)
+def _shares(assigned: DataFrame, whole: str, part: str) -> DataFrame:
+    """(whole, part, n, size, ratio, r): the parts of every whole with their shares, the largest first, of equal ones the smaller part."""
+    cells = assigned.groupBy(whole, part).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(whole)
+    return cells.withColumns({"size": F.sum("n").over(w), "r": F.row_number().over(w.orderBy(F.desc("n"), part))}).withColumn("ratio", F.col("n") / F.col("size"))
+
+
+def split_packages(assigned: DataFrame, package: str = "package", cluster: str = "cluster", least: int = 3, purity: float = 0.5) -> DataFrame:
+    """(package, purity, clusters, ratios): packages of at least `least` entities with less than `purity` in their dominant cluster.
+
+    The clusters are listed with their shares, the largest first. Purity is compared rounded to four digits.
+    """
+    c = _shares(assigned, package, cluster).where(F.col("size") >= least)
+    g = c.groupBy(package).agg(F.round(F.max("ratio"), 4).alias("purity"), F.sort_array(F.collect_list(F.struct("r", F.col(cluster).alias("cluster"), F.round("ratio", 6).alias("ratio")))).alias("d"))
+    return g.where(F.col("purity") < purity).select(package, "purity", F.col("d.cluster").alias("clusters"), F.col("d.ratio").alias("ratios"))
 
 
 def drift_level(drift: Column) -> Column:
@@ -255,12 +264,34 @@ def boundary_scores(spark: SparkSession, d: str) -> DataFrame:
     return boundary(e)
 
 
-@query("""WITH c AS (SELECT label AS package, vec_id % 3 AS cluster, count(*) AS n FROM embeddings GROUP BY 1, 2)
-    SELECT package, count(*) AS parts FROM (SELECT *, sum(n) OVER (PARTITION BY package) AS size FROM c) WHERE n >= 0.25::DOUBLE * size GROUP BY 1 HAVING count(*) >= 2""")
+_CELLS = """c AS (SELECT label AS package, CASE WHEN vec_id % 7 < 3 THEN 0 ELSE vec_id % 7 END AS cluster, count(*) AS n FROM embeddings GROUP BY 1, 2)"""
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    seven = F.pmod("vec_id", F.lit(7))
+    return table(spark, d, "embeddings").select(F.col("label").alias("package"), F.when(seven < 3, 0).otherwise(seven).alias("cluster"))
+
+
+@query(f"""WITH {_CELLS}, x AS (SELECT *, sum(n) OVER (PARTITION BY package) AS size, row_number() OVER (PARTITION BY package ORDER BY n DESC, cluster) AS r FROM c)
+    SELECT package, round(max(n / size), 4)::DOUBLE AS purity, list(cluster ORDER BY r) AS clusters, list(round(n / size, 6)::DOUBLE ORDER BY r) AS ratios
+    FROM x WHERE size >= 3 GROUP BY 1 HAVING round(max(n / size), 4) < 0.5::DOUBLE""")
 def split_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels that a fixed partition of the embeddings splits."""
-    e = table(spark, d, "embeddings").select(F.col("label").alias("package"), F.pmod("vec_id", F.lit(3)).alias("cluster"))
-    return split_packages(e)
+    """Labels that a fixed partition of the embeddings splits, and how."""
+    return split_packages(_cells(spark, d))
+
+
+@query(f"""WITH {_CELLS}, x AS (SELECT *, sum(n) OVER (PARTITION BY cluster) AS size FROM c)
+    SELECT cluster, count(*) AS packages, round(max(n / size), 6)::DOUBLE AS dominant_ratio FROM x GROUP BY 1 HAVING 1 - max(n / size) > 0.6::DOUBLE AND max(n / size) < 0.5::DOUBLE""")
+def fused_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of a fixed partition of the embeddings that mix labels."""
+    return fusions(_cells(spark, d))
+
+
+@query(f"""WITH {_CELLS}, x AS (SELECT *, sum(n) OVER (PARTITION BY package) AS size, sum(n) OVER (PARTITION BY cluster) AS cs, row_number() OVER (PARTITION BY package ORDER BY n DESC, cluster) AS r FROM c)
+    SELECT round(coalesce(sum(size * round((n / size + n / cs) / 2, 4)) / sum(size), 0), 4)::DOUBLE AS score FROM x WHERE r = 1 AND size >= 3""")
+def boundary_score_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """The boundary score of the whole partition."""
+    return global_score(boundary(_cells(spark, d)))
 
 
 # --- choosing clusters, what clusters say, and gates ---------------------------
@@ -297,9 +328,15 @@ def normalized(a: DataFrame, vertices: int) -> DataFrame:
     return a.join(s, "dst").select("src", "dst", z(F.col("w")).alias("z"), z(F.lit(0.0)).alias("zero_z"))
 
 
-def fusions(assigned: DataFrame, package: str = "package", cluster: str = "cluster", share: float = 0.25) -> DataFrame:
-    """(cluster, packages): clusters of which at least two packages hold `share` each."""
-    return split_packages(assigned, cluster, package, share).withColumnRenamed("parts", "packages")
+def fusions(assigned: DataFrame, package: str = "package", cluster: str = "cluster", cross: float = 0.6, dominant: float = 0.5) -> DataFrame:
+    """(cluster, packages, dominant_ratio): clusters of which more than `cross` lies outside of the dominant package, which holds less than `dominant`."""
+    g = _shares(assigned, cluster, package).groupBy(cluster).agg(F.count(F.lit(1)).alias("packages"), F.max("ratio").alias("dominant_ratio"))
+    return g.where((1 - F.col("dominant_ratio") > cross) & (F.col("dominant_ratio") < dominant)).withColumn("dominant_ratio", F.round("dominant_ratio", 6))
+
+
+def global_score(scores: DataFrame) -> DataFrame:
+    """(score): the mean boundary score of all packages, weighted by their sizes; 0 if there are none."""
+    return scores.agg(F.round(F.coalesce(F.sum(F.col("size") * F.col("score")) / F.sum("size"), F.lit(0.0)), 4).alias("score"))
 
 
 def cluster_summaries(assigned: DataFrame, package: str = "package", cluster: str = "cluster") -> DataFrame:

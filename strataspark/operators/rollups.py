@@ -19,14 +19,23 @@ query = register(QUERIES, SQL)
 # --- operators ---------------------------------------------------------------
 
 
+def counted(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, c, before): every different value of a group, how often it occurs, and how many values are smaller.
+
+    Equal values are counted first, so that what is sorted of a group is its different values only.
+    """
+    c = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    running = F.sum("c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return c.withColumn("before", running - F.col("c"))
+
+
 def gini(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, gini): inequality of the values of every group, 0 where there are none or all are 0. Null values are left out."""
-    v = values.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = v.withColumn("__r", F.row_number().over(w))
-    n, total = F.count(F.lit(1)), F.sum(value)
-    g = 2 * F.sum(F.col("__r") * F.col(value)) / (n * total) - (n + 1) / n
-    return ranked.groupBy(*keys).agg(F.when(total == 0, 0.0).otherwise(g).alias("gini"))
+    c = counted(values, keys, value)
+    n, total = F.sum("c"), F.sum(F.col("c") * F.col(value))
+    ranks = F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2  # of equal values together
+    g = 2 * F.sum(ranks * F.col(value)) / (n * total) - (n + 1) / n
+    return c.groupBy(*keys).agg(F.when(total == 0, 0.0).otherwise(g).alias("gini"))
 
 
 def file_stats(entities: DataFrame, es: DataFrame) -> DataFrame:
@@ -99,18 +108,42 @@ def diff(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def directions(changes: DataFrame) -> DataFrame:
-    """(scope_key, direction, expanding, contracting): the majority of five signals; cycles count at any change, the rest from 5 %."""
-    c = changes.where(F.col("metric").isin(*EXPANDING))
+def directions(snapshots: DataFrame) -> DataFrame:
+    """(scope_key, direction, confidence, expanding, contracting): the majority of five signals between the two newest snapshots of a scope.
+
+    Cycles count at any change, the rest from 5 %; without a majority a scope
+    is stable. Confidence is medium from three snapshots on, else low; a scope
+    of one snapshot has insufficient_data, no confidence and no signals.
+    """
+    seen = newest(snapshots, 3)
+    scopes = seen.groupBy("scope_key").agg(F.max("rank").alias("seen"))
+    c = diff(snapshots).where(F.col("metric").isin(*EXPANDING))
     moved = F.when(F.col("metric") == "scc_count", F.col("delta") != 0).otherwise(F.abs("percent_change") >= THRESHOLD)
     up = F.coalesce(moved & (F.col("delta") > 0), F.lit(False))
     down = F.coalesce(moved & (F.col("delta") < 0), F.lit(False))
     votes = c.groupBy("scope_key").agg(F.count_if(up).alias("expanding"), F.count_if(down).alias("contracting"))
     half = len(EXPANDING) / 2
-    return votes.withColumn(
-        "direction",
-        F.when(F.col("expanding") > half, "expansion").when(F.col("contracting") > half, "contraction").otherwise("neutral"),
-    )
+    told = F.when(F.col("seen") < 2, "insufficient_data").when(F.col("expanding") > half, "expansion").when(F.col("contracting") > half, "contraction").otherwise("stable")
+    return scopes.join(votes, "scope_key", "left").select(
+        "scope_key", told.alias("direction"), F.when(F.col("seen") >= 3, "medium").when(F.col("seen") == 2, "low").alias("confidence"),
+        *(F.coalesce(v, F.lit(0)).alias(v) for v in ("expanding", "contracting")),
+    )
+
+
+#: Change of a series between its two newest values from which it rises or decreases (fixed value).
+TREND = 0.002
+
+
+def trend(series: DataFrame, keys: list[str], at: str, value: str, tie: str) -> DataFrame:
+    """(keys, trend): rising, decreasing or stable by the two newest values of every series; stable if there are fewer, or one is null.
+
+    For series of structural health the value is the normalized intrinsic dimension.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.desc(at), tie)
+    two = series.where(F.col(at).isNotNull()).select(*keys, F.col(value).alias("v"), F.row_number().over(w).alias("r")).where(F.col("r") <= 2)
+    now, before = (F.max(F.when(F.col("r") == r, F.col("v"))) for r in (1, 2))
+    change = now - before
+    return two.groupBy(*keys).agg(F.when(change > TREND, "rising").when(change < -TREND, "decreasing").otherwise("stable").alias("trend"))
 
 
 def compare(op: str, a: Column, b: Column) -> Column:
@@ -152,19 +185,14 @@ def tiers(edges_: DataFrame, keys: list[str]) -> DataFrame:
 
     Percentiles are elements of the sorted list (index n * p), not interpolated.
     """
-    w = Window.partitionBy(*keys)
-    r = edges_.withColumns(
-        {
-            "__r": F.row_number().over(w.orderBy("strength")), "__n": F.count(F.lit(1)).over(w),
-            "__min": F.min("strength").over(w), "__max": F.max("strength").over(w),
-        }
-    )
-    at = lambda p: F.max(F.when(F.col("__r") == F.least(F.floor(F.col("__n") * p), F.col("__n") - 1) + 1, F.col("strength"))).over(w)
-    r = r.withColumns({"__mid": at(0.5), "__top": at(0.85)})
+    c = counted(edges_, keys, "strength")
+    n = c.groupBy(*keys).agg(F.sum("c").alias("__n"))
+    at = lambda p: F.min(F.when(F.col("before") + F.col("c") > F.least(F.floor(F.col("__n") * p), F.col("__n") - 1), F.col("strength")))
+    limits = c.join(n, keys).groupBy(*keys).agg(F.min("strength").alias("__min"), F.max("strength").alias("__max"), at(0.5).alias("__mid"), at(0.85).alias("__top"))
     flat = F.col("__mid") >= F.col("__max")
     mid, top = F.when(flat, F.col("__min")).otherwise(F.col("__mid")), F.when(flat, F.col("__max")).otherwise(F.col("__top"))
     weight = F.when(F.col("__min") == F.col("__max"), 1.0).when(F.col("strength") >= top, 5.0).when(F.col("strength") > mid, 3.0).otherwise(1.0)
-    return r.withColumn("tier", weight).drop("__r", "__n", "__min", "__max", "__mid", "__top")
+    return edges_.join(limits, keys).withColumn("tier", weight).drop("__min", "__max", "__mid", "__top")
 
 
 def longest_prefix(ids: DataFrame, prefixes: dict[str, str], column: str) -> DataFrame:
@@ -310,10 +338,12 @@ _EXP = ", ".join(f"'{m}'" for m in EXPANDING)
 
 @query(f"""WITH {_NEW}, v AS (SELECT scope_key, count(*) FILTER (WHERE m AND delta > 0) AS expanding, count(*) FILTER (WHERE m AND delta < 0) AS contracting FROM
       (SELECT *, CASE WHEN metric = 'scc_count' THEN delta <> 0 ELSE abs(percent_change) >= 5 END AS m FROM di WHERE metric IN ({_EXP})) GROUP BY 1)
-    SELECT *, CASE WHEN expanding > 2.5 THEN 'expansion' WHEN contracting > 2.5 THEN 'contraction' ELSE 'neutral' END AS direction FROM v""")
+    SELECT scope_key, CASE WHEN n < 2 THEN 'insufficient_data' WHEN expanding > 2.5 THEN 'expansion' WHEN contracting > 2.5 THEN 'contraction' ELSE 'stable' END AS direction,
+      CASE WHEN n >= 3 THEN 'medium' WHEN n = 2 THEN 'low' END AS confidence, coalesce(expanding, 0) AS expanding, coalesce(contracting, 0) AS contracting
+    FROM (SELECT scope_key, count(*) AS n FROM sn GROUP BY 1) LEFT JOIN v USING (scope_key)""")
 def direction_hints(spark: SparkSession, d: str) -> DataFrame:
     """Whether every scope expands or contracts, by its two newest snapshots."""
-    return directions(diff(table(spark, d, "snapshots")))
+    return directions(table(spark, d, "snapshots"))
 
 
 _RULES = [("scc_count", "==", 0), ("inferred_relation_ratio", "<=", 0.3), ("gini_in_degree", "<", 0.5), ("max_package_size", "<=", 30), ("entity_coverage_ratio", ">=", 0.2)]
@@ -343,15 +373,12 @@ def loss_proxies(spark: SparkSession, d: str) -> DataFrame:
     return s.select("scope_key", F.explode(rows).alias("x")).select("scope_key", "x.*")
 
 
-@query(f"""WITH {_NEW}, l AS (SELECT *, lead(gini_in_degree) OVER (PARTITION BY scope_key ORDER BY taken_at DESC, commit_sha NULLS FIRST) AS before FROM sn)
-    SELECT scope_key, CASE WHEN before IS NULL OR gini_in_degree IS NULL THEN 'unknown' WHEN gini_in_degree - before > 0.002 THEN 'rising' WHEN gini_in_degree - before < -0.002 THEN 'falling' ELSE 'stable' END AS trend FROM l WHERE rank = 1""")
+@query(f"""WITH {_NEW}, l AS (SELECT scope_key, max(CASE WHEN rank = 1 THEN entity_coverage_ratio END) - max(CASE WHEN rank = 2 THEN entity_coverage_ratio END) AS change FROM sn GROUP BY 1)
+    SELECT scope_key, CASE WHEN change > 0.002 THEN 'rising' WHEN change < -0.002 THEN 'decreasing' ELSE 'stable' END AS trend FROM l""")
 def trends(spark: SparkSession, d: str) -> DataFrame:
-    """Trend of the inequality of in-degrees between the two newest snapshots of every scope."""
+    """Trend of a normalized figure of every scope; the data hold no series of intrinsic dimensions, so it is the share of covered entities."""
     s = newest(table(spark, d, "snapshots"), 2)
-    before = F.lag("gini_in_degree").over(Window.partitionBy("scope_key").orderBy(F.desc("rank")))
-    change = F.col("gini_in_degree") - F.col("before")
-    label = F.when(change.isNull(), "unknown").when(change > 0.002, "rising").when(change < -0.002, "falling").otherwise("stable")
-    return s.withColumn("before", before).where(F.col("rank") == 1).select("scope_key", label.alias("trend"))
+    return trend(s, ["scope_key"], "taken_at", "entity_coverage_ratio", "commit_sha")
 
 
 @query(f"WITH {_NEW} SELECT scope_key, commit_sha, taken_at FROM sn WHERE rank <= 3")

@@ -40,6 +40,19 @@ def test_imports(spark):
 
 
 def test_languages(spark):
-    paths = spark.createDataFrame([("r", p) for p in ("package.json", "src/a.ts", "src/a.ts", "tool/setup.py", "x.py", None)], "repo string, path string")
-    got = [(r.language, r.score, r["rank"]) for r in m.language_scores(paths, ["repo"]).orderBy("rank").collect()]
-    assert got == [("typescript", 41, 1), ("python", 14, 2)]
+    repos = {
+        "mixed": ["package.json", "src/a.ts", "src/a.ts", "tool/setup.py", "x.py", None],
+        "low": ["go.mod", "main.go", "tests/a.go", "docs/x/b.go"],
+        "hidden": ["node_modules/a/index.js", ".git/x.ts", "cmake-build-debug/a.cpp", "vendor/b.go"],
+        "markers": ["setup.py", "setup.cfg", "a/setup.py", "a/Pipfile", "settings.gradle.kts", "A.KT", ".h", "b.hxx"],
+        "none": ["README.md"],
+    }
+    paths = spark.createDataFrame([(r, p) for r, ps in repos.items() for p in ps], "repo string, path string")
+    got = {}
+    for r in m.language_scores(paths, ["repo"]).orderBy("repo", "rank").collect():
+        got.setdefault(r.repo, []).append((r.language, r.score, r["rank"]))
+    assert got["mixed"] == [("typescript", 44, 1), ("python", 20, 2)]  # 40 + 4; 12 + 2 files of 4
+    assert got["low"] == [("go", 40 + 3 + 3, 1)]
+    assert got["hidden"] == got["none"] == [("typescript", 0, 1)]
+    # of three python names one lies at the root; both files named setup.py are files of python too
+    assert got["markers"] == [("python", 40 + 2 * 12 + 2 * 4, 1), ("kotlin", 40 + 2 * 4, 2), ("cpp", 4, 3)]

@@ -51,7 +51,6 @@ def test_clusters(spark):
     assert k == 2 and s > 0.9 and c.count() == 17
     summary = {r.dominant: (r["size"], r.packages) for r in health.cluster_summaries(c).collect()}
     assert summary == {"p": (9, 2), "q": (8, 1)}
-    assert [r.packages for r in health.fusions(c).collect()] == [2]
     with pytest.raises(ValueError):
         health.choose_clusters(frame(spark, [([1.0],)] * 4, "v array<double>"), "v", 2)
 

@@ -108,12 +108,32 @@ def test_snapshots(spark):
     s = spark.createDataFrame(rows, f"scope_key string, commit_sha string, taken_at timestamp, {names}")
     d = {r.metric: (r.delta, r.percent_change) for r in rollups.diff(s).collect()}
     assert d["total_entities"] == (1.0, 10.0) and d["gini_in_degree"] == (None, None)
-    hint = rollups.directions(rollups.diff(s)).collect()[0]
-    assert (hint.direction, hint.expanding) == ("expansion", 3)
+    hint = rollups.directions(s).collect()[0]
+    assert (hint.direction, hint.confidence, hint.expanding) == ("expansion", "low", 3)
     rules = rollups.metric_rules(rollups.unpivot(rollups.newest(s, 1), "scope_key"), [("scc_count", ">", 10), ("gini_in_degree", "<", 1), ("total_entities", "==", 11)])
     assert {r.metric: r.passed for r in rules.collect()} == {"scc_count": True, "gini_in_degree": False, "total_entities": True}
 
 
+def test_directions_and_trends(spark):
+    names = ", ".join(f"{m} double" for m in rollups.METRICS)
+    day = lambda k: dt.datetime(2025, 1, k)
+    base = dict.fromkeys(rollups.METRICS, 100.0)
+    down = base | {"total_entities": 90.0, "total_relations": 95.0, "package_count": 80.0}
+    series = {
+        "one": [base], "same": [base, base], "small": [base, base | {"total_entities": 104.9, "total_relations": 104.0, "package_count": 104.0}],
+        "down": [base, base, down], "zero": [base | {"scc_count": 0.0, "package_count": 0.0}, base | {"scc_count": 1.0}],
+    }
+    s = spark.createDataFrame([(k, f"c{i}", day(i + 1), *x.values()) for k, xs in series.items() for i, x in enumerate(xs)], f"scope_key string, commit_sha string, taken_at timestamp, {names}")
+    got = {r.scope_key: (r.direction, r.confidence, r.expanding, r.contracting) for r in rollups.directions(s).collect()}
+    assert got == {
+        "one": ("insufficient_data", None, 0, 0), "same": ("stable", "low", 0, 0), "small": ("stable", "low", 0, 0), "down": ("contraction", "medium", 0, 3),
+        "zero": ("stable", "low", 1, 0),  # from no cycle to one counts, from no package does not
+    }
+    health_series = {"r": [0.5, 0.503], "f": [0.5, 0.497], "s": [0.5, 0.5019], "one": [0.5], "gap": [0.5, None], "old": [0.1, 0.5, 0.5]}
+    h = spark.createDataFrame([(k, i, v) for k, vs in health_series.items() for i, v in enumerate(vs)], "k string, at int, d double")
+    assert {r.k: r.trend for r in rollups.trend(h, ["k"], "at", "d", "d").collect()} == {"r": "rising", "f": "decreasing", "s": "stable", "one": "stable", "gap": "stable", "old": "stable"}
+
+
 def test_tiers_and_layers(spark):
     e = spark.createDataFrame([("g", v) for v in (1, 1, 2, 3, 10, 20, 30)] + [("same", 4), ("same", 4)], "g string, strength int")
     got = {(r.g, r.strength): r.tier for r in rollups.tiers(e, ["g"]).collect()}
@@ -180,8 +200,15 @@ def test_dimension_and_clusters(spark):
     pts = [("p", [0.0, 0.1 * i]) for i in range(6)] + [("q", [9.0, 0.1 * i]) for i in range(6)]
     scored = health.boundary(health.clusters(spark.createDataFrame(pts, "package string, v array<double>"), "v", 2)).collect()
     assert sorted((r.package, r.purity, r.coverage, r.score) for r in scored) == [("p", 1.0, 1.0, 1.0), ("q", 1.0, 1.0, 1.0)]
-    split = spark.createDataFrame([("p", 0), ("p", 1), ("q", 1), ("q", 1)], "package string, cluster int")
-    assert [(r.package, r.parts) for r in health.split_packages(split).collect()] == [("p", 2)]
+    cells = {"even": (2, 2), "most": (3, 2), "three": (2, 2, 1), "tiny": (1, 1), "four": (4, 2, 2, 2)}
+    split = spark.createDataFrame([(p, c) for p, ns in cells.items() for c, n in enumerate(ns) for _ in range(n)], "package string, cluster int")
+    got = {r.package: (r.purity, r.clusters) for r in health.split_packages(split).collect()}
+    assert got == {"three": (0.4, [0, 1, 2]), "four": (0.4, [0, 1, 2, 3])}  # half in one cluster is no split, nor are two entities a package
+    mixes = {0: (4, 6), 1: (4, 3, 3), 2: (5, 3, 2), 3: (9,), 4: (2, 2, 2, 2)}
+    fused = spark.createDataFrame([(c, f"p{k}") for c, ns in mixes.items() for k, n in enumerate(ns) for _ in range(n)], "cluster int, package string")
+    assert {r.cluster: (r.packages, r.dominant_ratio) for r in health.fusions(fused).collect()} == {4: (4, 0.25)}  # 0.6 outside is not more than 0.6
+    rows = health.boundary(split).collect()
+    assert health.global_score(health.boundary(split)).collect()[0].score == pytest.approx(sum(r["size"] * r.score for r in rows) / sum(r["size"] for r in rows), abs=1e-4)
 
 
 def test_projected_rows_keep_their_lengths(spark, data):
