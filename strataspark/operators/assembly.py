@@ -104,25 +104,101 @@ def limited(grouped: DataFrame, groups_: int, members: int, group: str, member:
     return kept.where(F.col("member_rank") <= members).select(group, member, "member_rank")
 
 
-#: (protocol, pattern of a callee) of entry points; the first that matches counts (fixed values).
-ENTRY_POINTS = [
-    ("http", r"(?i)\b(http\.)?handle(func)?\b|\.(get|post|put|delete|patch)\b"),
-    ("grpc", r"(?i)register\w*server"),
-    ("cli", r"(?i)cobra|command\b|\bmain$"),
-    ("event", r"(?i)subscribe|consume|onmessage|watch"),
-]
+#: Calls that register an entry point: framework -> (function, end of the function, part of the receiver's type, protocol, HTTP method, argument that holds the handler) (fixed values).
+FRAMEWORK_CALLS = {
+    "net/http": [("HandleFunc", None, None, "http", None, 1), ("Handle", None, None, "http", None, 1)],
+    "gin": [(m, None, None, "http", m.upper(), 1) for m in ("GET", "POST", "PUT", "DELETE", "PATCH", "Any")],
+    "gorilla/mux": [("Handle", None, "mux.Router", "http", None, 1), ("HandleFunc", None, "mux.Router", "http", None, 1)],
+    "echo": [(m, None, None, "http", m, 1) for m in ("GET", "POST", "PUT", "DELETE", "PATCH")],
+    "chi": [(m, None, None, "http", m.upper(), 1) for m in ("Get", "Post", "Put", "Delete", "Patch")],
+    "cobra": [("AddCommand", None, None, "cli", None, 1)],
+    "grpc": [(None, "Server", None, "grpc", None, 1)],
+    "kafka-go": [("ConsumePartition", None, None, "message", None, 1)],
+    "sarama": [("ConsumePartition", None, None, "message", None, 1)],
+    "nats": [("Subscribe", None, None, "message", None, 1), ("QueueSubscribe", None, None, "message", None, 1)],
+    "cron": [("AddFunc", None, None, "scheduler", None, 1), ("AddJob", None, None, "scheduler", None, 1)],
+    "mcp-go": [("AddTool", None, None, "mcp", None, 1), ("RegisterTool", None, None, "mcp", None, 1)],
+    "mcp-gosdk": [("AddTool", None, None, "mcp", None, 2)],
+}
+#: Ends of functions that register something where no framework is known (fixed values).
+GENERIC_ENDS = ("AddTool", "RegisterTool", "AddCommand", "HandleFunc")
+
+
+def _handler(args: Column, at: int) -> Column:
+    """The handler among a call's arguments; none for a function written in place."""
+    arg = F.coalesce(F.get(args, F.lit(at)), F.lit(""))
+    return F.when(F.startswith(arg, F.lit("func(")), "").otherwise(arg)
+
+
+def entry_points(calls: DataFrame, frameworks: list[str], custom: dict[str, list[tuple]] | None = None) -> DataFrame:
+    """Calls that register an entry point, with framework, protocol, http_method, path and handler; others are left out.
+
+    `calls` has function, receiver_type and args ARRAY<STRING>. Patterns of the
+    detected frameworks are tried in their order, then those of `custom`, which
+    are written like FRAMEWORK_CALLS; the first that matches counts. An unknown
+    receiver fits every pattern.
+    """
+    patterns = [(f, p) for f in frameworks for p in FRAMEWORK_CALLS.get(f, [])] + [(f, p) for f, ps in (custom or {}).items() for p in ps]
+    found = F.lit(None).cast("struct<framework:string,protocol:string,http_method:string,handler:string>")
+    for framework, (function, end, receiver, protocol, method, at) in reversed(patterns):
+        fits = F.lit(True)
+        if function is not None:
+            fits = fits & (F.col("function") == function)
+        if end is not None:
+            fits = fits & F.endswith("function", F.lit(end))
+        if receiver is not None:
+            fits = fits & (F.coalesce("receiver_type", F.lit("")).isin("") | F.contains("receiver_type", F.lit(receiver)))
+        made = F.struct(
+            F.lit(framework).alias("framework"), F.lit(protocol).alias("protocol"), F.lit(method).cast("string").alias("http_method"), _handler(F.col("args"), at).alias("handler")
+        )
+        found = F.when(fits, made).otherwise(found)
+    path = F.coalesce(F.get("args", F.lit(0)), F.lit("")).alias("path")
+    return calls.withColumn("__e", found).where(F.col("__e").isNotNull()).select(*calls.columns, "__e.*", path)
+
+
+def with_generic(entries: DataFrame, calls: DataFrame, keys: list[str]) -> DataFrame:
+    """Entry points, and for groups that have none the calls of a function that by its end registers something, as custom ones."""
+    end = F.lit(False)
+    for e in GENERIC_ENDS:
+        end = end | F.endswith("function", F.lit(e))
+    rest = calls.where(end).join(entries.select(*keys).distinct(), keys, "left_anti").select(
+        *calls.columns, F.lit("generic-heuristic").alias("framework"), F.lit("custom").alias("protocol"), F.lit(None).cast("string").alias("http_method"),
+        _handler(F.col("args"), 1).alias("handler"), F.coalesce(F.get("args", F.lit(0)), F.lit("")).alias("path"),
+    )
+    return entries.unionByName(rest)
 
 
-def entry_points(calls: DataFrame, callee: str) -> DataFrame:
-    """Calls with the protocol of the first pattern their callee matches; those that match none are left out."""
-    out = F.lit(None).cast("string")
-    for protocol, pattern in reversed(ENTRY_POINTS):
-        out = F.when(F.col(callee).rlike(pattern), protocol).otherwise(out)
-    return calls.withColumn("protocol", out).where(F.col("protocol").isNotNull())
+def of_protocols(entries: DataFrame, chains: DataFrame, protocols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Entry points (id, protocol, ...) of some protocols, all if none is named, and the chains (entry_point, ...) that begin at them."""
+    if not protocols:
+        return entries, chains
+    kept = entries.where(F.col("protocol").isin(*protocols))
+    return kept, chains.join(kept.select(F.col("id").alias("entry_point")).distinct(), "entry_point", "left_semi")
 
 
-#: Calls that say nothing about a flow (fixed values).
-NOISE = r"^(?:len|cap|make|new|append|copy|delete|panic|print|println|close)$|^(?:fmt|log|strings|strconv|errors|time|sync)\.|^(?:w|ctx|err)\.|^r\.URL"
+def call_class(calls: DataFrame, context: DataFrame, interfaces: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls with call_type: interface if the receiver's declared type is one, else direct.
+
+    `calls` has receiver (as `s.store`; the last part counts), `context` (keys,
+    name, type) the fields and parameters in reach, `interfaces` (name). A
+    pointer's star and a package before the type do not matter.
+    """
+    stripped = F.regexp_replace("type", r"^\*", "")
+    typed = context.where(F.col("name").isNotNull()).groupBy(*keys, F.col("name").alias("__var")).agg(F.max(stripped).alias("__type"))
+    # a whole name and the part after the last dot are looked up by one join
+    names = interfaces.select(F.col("name").alias("__name")).distinct()
+    forms = typed.select(*keys, "__var", F.explode(F.array_distinct(F.array("__type", F.element_at(F.split("__type", r"\."), -1)))).alias("__name"))
+    known = forms.join(names, "__name").select(*keys, "__var").distinct().withColumn("__i", F.lit(True))
+    c = calls.withColumn("__var", F.element_at(F.split("receiver", r"\."), -1)).join(known, [*keys, "__var"], "left")
+    return c.withColumn("call_type", F.when(F.col("__i"), "interface").otherwise("direct")).drop("__var", "__i")
+
+
+#: Packages of the standard library, built-in functions and types, and receivers whose calls say nothing about a flow (fixed values).
+STDLIB = "fmt json strconv time errors strings sort sync io bytes math os log slog context net http reflect unicode filepath path regexp bufio runtime".split()
+BUILTINS = (
+    "make len append cap new delete copy close panic recover print println int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 string bool float32 float64 byte rune error"
+).split()
+NOISE = rf"^(?:{'|'.join(BUILTINS)})$|^(?:{'|'.join(STDLIB)})\.|^(?:w|ctx|err)\.|^r\.(?:URL|Context|Body|Header|PathValue|Method|Form)"
 
 
 def without_noise(calls: DataFrame, callee: str) -> DataFrame:
@@ -138,7 +214,7 @@ def call_confidence(kind: Column) -> Column:
 def merge_lists(parts: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, values) of rows (keys, ordinal, value): every value at its last ordinal, without those whose last word is !value."""
     negated = F.startswith("value", F.lit("!"))
-    rows = parts.where(F.col("value").isNotNull()).withColumns({"on": ~negated, "v": F.when(negated, F.substring("value", 2, 1_000_000)).otherwise(F.col("value"))})
+    rows = parts.where(F.col("value").isNotNull()).withColumns({"on": ~negated, "v": F.when(negated, F.expr("substring(value, 2)")).otherwise(F.col("value"))})
     last = rows.groupBy(*keys, "v").agg(F.max_by("on", F.struct("ordinal", "on")).alias("on"), F.min("ordinal").alias("first"))
     kept = last.where("on").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", "v"))).alias("x"))
     return kept.select(*keys, F.transform("x", lambda x: x["v"]).alias("values"))
@@ -149,7 +225,7 @@ def path_forest(paths: DataFrame, path: str = "path") -> DataFrame:
     real = paths.select(F.col(path).alias("node")).where(F.col(path) != "").distinct()
     p = F.split("node", "/")
     above = real.select("node", F.explode(F.transform(F.sequence(F.lit(1), F.size(p)), lambda k: F.array_join(F.slice(p, 1, k), "/"))).alias("a"))
-    step = above.select("a", F.element_at(F.split(F.substring(F.col("node"), F.length("a") + 2, F.lit(10_000)), "/"), 1).alias("child")).where(F.col("child") != "")
+    step = above.select("a", F.element_at(F.split(F.substring(F.col("node"), F.length("a") + 2, F.length("node")), "/"), 1).alias("child")).where(F.col("child") != "")
     branching = step.groupBy("a").agg(F.countDistinct("child").alias("n")).where(F.col("n") >= 2).select(F.col("a").alias("node"))
     nodes = real.withColumn("real", F.lit(True)).unionByName(branching.join(real, "node", "left_anti").withColumn("real", F.lit(False)))
     q = F.split("node", "/")
@@ -159,14 +235,21 @@ def path_forest(paths: DataFrame, path: str = "path") -> DataFrame:
     return best.select("node", "parent", "real")
 
 
+#: Names one summary takes (fixed value).
+ENTITIES = 20
+
+
 def cognitive_summary(names: list[str], entities: DataFrame, es: DataFrame, covered: DataFrame, risks: DataFrame) -> DataFrame:
-    """For up to 20 named entities their degrees, coverage and risk; what is not known stays null.
+    """For up to ENTITIES named entities (more are refused) their degrees, coverage and risk; what is not known stays null.
 
     `covered` has (key, score), `risks` (scope_key, path, risk_score). A name
     that no entity has gives a row with `found` false.
     """
-    wanted = entities.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names[:20])], "name string")
-    e = entities.where(F.col("name").isin(names[:20])).select("name", "key", "scope_key", F.col("source_location.file").alias("path"))
+    names = list(dict.fromkeys(names))
+    if len(names) > ENTITIES:
+        raise ValueError(f"{len(names)} names, of which {ENTITIES} are allowed at most")
+    wanted = entities.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    e = entities.where(F.col("name").isin(names)).select("name", "key", "scope_key", F.col("source_location.file").alias("path"))
     d = degrees(es.join(F.broadcast(e.select(F.col("key").alias("src"))), "src", "left_semi").unionByName(es.join(F.broadcast(e.select(F.col("key").alias("dst"))), "dst", "left_semi").select(es.columns)).dropDuplicates(["id"]))
     rows = e.join(d, "key", "left").join(covered.select("key", "score"), "key", "left").join(risks, ["scope_key", "path"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -230,14 +313,19 @@ def qualified_names(spark: SparkSession, d: str) -> DataFrame:
     return first_by_name(e, ["scope_key"], "name", "key", "first_seen_at")
 
 
-_PROTOCOL = "CASE " + " ".join(f"WHEN regexp_matches(target_method, '{p}') THEN '{n}'" for n, p in ENTRY_POINTS) + " END"
+#: A project's own conventions, as a user declares them.
+_CUSTOM = {"readers": [(None, "Session", None, "session", None, 1), ("emitToken", None, None, "token", None, 1)], "writers": [(None, "Order", None, "order", None, 1)]}
 
 
-@query(f"WITH {EDGE} SELECT protocol, count(*) AS calls FROM (SELECT {_PROTOCOL} AS protocol FROM edge WHERE rel_type = 'call') WHERE protocol IS NOT NULL GROUP BY 1")
+@query(f"""WITH {EDGE} SELECT framework, protocol, count(*) AS calls FROM (SELECT CASE WHEN target_method LIKE '%Server' THEN 'grpc' WHEN target_method LIKE '%Session' OR target_method = 'emitToken' THEN 'readers'
+      WHEN target_method LIKE '%Order' THEN 'writers' END AS framework, CASE WHEN target_method LIKE '%Server' THEN 'grpc' WHEN target_method LIKE '%Session' THEN 'session' WHEN target_method = 'emitToken' THEN 'token'
+      WHEN target_method LIKE '%Order' THEN 'order' END AS protocol FROM edge WHERE rel_type = 'call') WHERE protocol IS NOT NULL GROUP BY 1, 2""")
 def call_protocols(spark: SparkSession, d: str) -> DataFrame:
-    """Calls by the protocol their callee suggests."""
-    calls = edges(spark, d).where(F.col("rel_type") == "call")
-    return entry_points(calls, "target_method").groupBy("protocol").agg(F.count(F.lit(1)).alias("calls"))
+    """Calls that register an entry point, by framework and protocol, under a project's own patterns beside grpc's."""
+    calls = edges(spark, d).where(F.col("rel_type") == "call").select(
+        F.col("target_method").alias("function"), F.lit(None).cast("string").alias("receiver_type"), F.array().cast("array<string>").alias("args")
+    )
+    return entry_points(calls, ["grpc"], _CUSTOM).groupBy("framework", "protocol").agg(F.count(F.lit(1)).alias("calls"))
 
 
 @query(f"""WITH {EDGE} SELECT call_type, CASE call_type WHEN 'interface' THEN 0.8::DOUBLE WHEN 'direct' THEN 0.7 ELSE 0.4 END AS confidence, count(*) AS calls FROM edge

@@ -33,10 +33,51 @@ def test_grouping(spark):
     assert sorted((r.g, r.m) for r in a.limited(g, 2, 2, "g", "m").collect()) == [("a", "0"), ("a", "1"), ("c", "1"), ("c", "2")]
 
 
-def test_calls(spark):
-    c = spark.createDataFrame([("http.HandleFunc",), ("len",), ("fmt.Println",), ("RegisterUserServer",), ("ctx.Done",), ("plain",), (None,)], "callee string")
-    assert {r.callee: r.protocol for r in a.entry_points(c, "callee").collect()} == {"http.HandleFunc": "http", "RegisterUserServer": "grpc"}
-    assert sorted(str(r.callee) for r in a.without_noise(c, "callee").collect()) == ["None", "RegisterUserServer", "http.HandleFunc", "plain"]
+CALLS = "pkg string, function string, receiver_type string, args array<string>"
+
+
+def test_entry_points(spark):
+    rows = [
+        ("a", "HandleFunc", None, ['"/x"', "serveX"]), ("a", "HandleFunc", "*mux.Router", ['"/y"', "func(w, r) {}"]), ("a", "HandleFunc", "*other.Thing", None),
+        ("a", "Handle", "", ['"/z"']), ("b", "GET", None, ['"/g"', "list"]), ("b", "Get", None, ['"/h"', "one"]), ("b", "RegisterUserServer", None, ["s", "impl"]), ("c", "AddTool", None, ["srv", "tool", "handle"]),
+        ("d", "MustAddCommand", None, ["x", "run"]), ("d", "get", None, None), ("d", None, None, None),
+    ]
+    c = spark.createDataFrame(rows, CALLS)
+    show = lambda df: sorted((r.pkg, r.function, r.framework, r.protocol, r.http_method, r.path, r.handler) for r in df.collect())
+    assert show(a.entry_points(c, ["gorilla/mux"])) == [
+        ("a", "Handle", "gorilla/mux", "http", None, '"/z"', ""), ("a", "HandleFunc", "gorilla/mux", "http", None, '"/x"', "serveX"), ("a", "HandleFunc", "gorilla/mux", "http", None, '"/y"', ""),
+    ]
+    assert show(a.entry_points(c, ["chi", "grpc", "mcp-gosdk", "mcp-go"])) == [
+        ("b", "Get", "chi", "http", "GET", '"/h"', "one"), ("b", "RegisterUserServer", "grpc", "grpc", None, "s", "impl"), ("c", "AddTool", "mcp-gosdk", "mcp", None, "srv", "handle"),
+    ]
+    assert show(a.entry_points(c, [], {"mine": [(None, "et", "x", "custom", None, 0)]})) == [("b", "Get", "mine", "custom", None, '"/h"', '"/h"'), ("d", "get", "mine", "custom", None, "", "")]
+    found = a.entry_points(c, ["net/http"])
+    assert show(a.with_generic(found, c, ["pkg"]))[-2:] == [("c", "AddTool", "generic-heuristic", "custom", None, "srv", "tool"), ("d", "MustAddCommand", "generic-heuristic", "custom", None, "x", "run")]
+    assert a.entry_points(c, []).count() == 0 and a.entry_points(c.limit(0), ["gin"]).count() == 0
+
+
+def test_chains_of_protocols(spark):
+    e = spark.createDataFrame([("e1", "http"), ("e2", "grpc")], "id string, protocol string")
+    c = spark.createDataFrame([("c1", "e1"), ("c2", "e2"), ("c3", "none")], "id string, entry_point string")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert tuple(map(ids, a.of_protocols(e, c, ["grpc"]))) == (["e2"], ["c2"])
+    assert tuple(map(ids, a.of_protocols(e, c, []))) == (["e1", "e2"], ["c1", "c2", "c3"])
+    assert tuple(map(ids, a.of_protocols(e, c, ["cli"]))) == ([], [])
+
+
+def test_call_class(spark):
+    calls = spark.createDataFrame([("f", "s.store"), ("f", "svc"), ("f", "cfg"), ("f", None), ("f", "unknown"), ("g", "svc")], "fn string, receiver string")
+    context = spark.createDataFrame([("f", "store", "*Store"), ("f", "svc", "api.Service"), ("f", "cfg", "Config"), ("g", "svc", "*Impl"), ("f", None, "Store")], "fn string, name string, type string")
+    names = spark.createDataFrame([("Store",), ("Service",), (None,)], "name string")
+    got = {(r.fn, r.receiver): r.call_type for r in a.call_class(calls, context, names, ["fn"]).collect()}
+    assert got == {("f", "s.store"): "interface", ("f", "svc"): "interface", ("f", "cfg"): "direct", ("f", None): "direct", ("f", "unknown"): "direct", ("g", "svc"): "direct"}
+
+
+def test_noise(spark):
+    quiet = ["len", "int64", "recover", "fmt.Println", "json.Marshal", "slog.Info", "net.Dial", "w.Write", "ctx.Done", "err.Error", "r.Body.Close", "r.PathValue"]
+    said = ["lens", "store.Get", "jsonx.Do", "r.Other", "router.Handle", "os", None]
+    c = spark.createDataFrame([(x,) for x in quiet + said], "callee string")
+    assert {r.callee for r in a.without_noise(c, "callee").collect()} == set(said)
     assert [r[0] for r in spark.createDataFrame([("interface",), ("direct",), (None,)], "k string").select(a.call_confidence(F.col("k"))).collect()] == [0.8, 0.7, 0.4]
 
 
