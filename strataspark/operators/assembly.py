@@ -345,9 +345,9 @@ def directory_forest(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def summaries(spark: SparkSession, d: str) -> DataFrame:
     """Cognitive summaries of a few entities and of a name that nobody has."""
-    from strataspark.operators.coverage import _parts, covers
+    from strataspark.operators.coverage import entity_scores
     from strataspark.operators.history import _c, file_risk
 
     e = current_entities(spark, d)
     risks = file_risk(_c(spark, d)).select("scope_key", "path", "risk_score")
-    return cognitive_summary(["FlowLoader0", "SessionPlanner3", "NobodyKnows"], e, edges(spark, d), covers(*_parts(spark, d)), risks)
+    return cognitive_summary(["FlowLoader0", "SessionPlanner3", "NobodyKnows"], e, edges(spark, d), entity_scores(spark, d), risks)

@@ -14,27 +14,37 @@ QUERIES: dict = {}
 SQL: dict = {}
 query = register(QUERIES, SQL)
 
-#: Weights of the layers of evidence that a test covers an entity (fixed values).
-IMPORT, NAME, DIRECTORY = 0.425, 0.30, 0.125
+#: Weights of the layers of evidence that a test covers an entity: it imports it, has its name, lies in its directory (by the rule of TypeScript, of Go) (fixed values).
+IMPORT, NAME, DIRECTORY, GO_DIRECTORY = 0.425, 0.30, 0.125, 0.175
 SKIPPED, POOR = 0.2, 1.0
+#: (names of test files, what is cut off to get the name of what they test), by language (fixed values).
+STEMS = [
+    (r"\.(?:test|spec)(?:\.(?:ts|tsx|js|jsx))?$", r"\.(?:test|spec)(?:\.(?:ts|tsx|js|jsx))?$"),
+    (r"\.py$", r"\.py$|^test_|_test(?=\.py$)"),
+    (r"_test\.go$", r"_test\.go$"),
+    (r"\.(?:cpp|cc|cxx)$", r"\.(?:cpp|cc|cxx)$|^test[-_]|[-_]test(?=\.(?:cpp|cc|cxx)$)"),
+    (r"\.kts?$", r"\.kts?$|Tests?(?=\.kts?$)|^Test(?=[A-Z])"),
+]
+#: Tests to which the rule of directories of TypeScript applies, and what is cut off their directories and those of sources (fixed values).
+BY_DIRECTORY = r"\.(?:test|spec)\.(?:ts|tsx|js|jsx)$"
+TEST_ROOTS = (r"^tests?/(?:unit|integration|e2e|functional|system)/", r"^(?:tests?|__tests?__|spec)/")
+SOURCE_ROOT = r"^(?:src|lib|app|source)/"
 
 # --- operators ---------------------------------------------------------------
 
 
 def stem(file: Column) -> Column:
-    """The name of what a test file tests, by the conventions of five languages; lower-cased, without extension."""
+    """The name of what a test file tests, by the conventions of five languages; the file's whole name where none applies."""
     name = basename(file)
-    rules = [
-        (r"\.(test|spec)\.(ts|tsx|js|jsx)$", r"\.(test|spec)\.(ts|tsx|js|jsx)$"),
-        (r"\.py$", r"\.py$|^test_|_test(?=\.py$)"),
-        (r"_test\.go$", r"_test\.go$"),
-        (r"\.(cpp|cc|cxx)$", r"\.(cpp|cc|cxx)$|^test[-_]|[-_]test(?=\.(cpp|cc|cxx)$)"),
-        (r"\.kts?$", r"\.kts?$|Tests?(?=\.kts?$)|^Test(?=[A-Z])"),
-    ]
-    out = F.regexp_replace(name, r"\.\w+$", "")
-    for when, cut in reversed(rules):
+    out = name
+    for when, cut in reversed(STEMS):
         out = F.when(name.rlike(when), F.regexp_replace(name, cut, "")).otherwise(out)
-    return F.lower(out)
+    return out
+
+
+def source_stem(file: Column) -> Column:
+    """A source file's name without its last extension."""
+    return F.regexp_replace(basename(file), r"(?<=.)\.[^.]*$", "")
 
 
 def is_test(file: Column) -> Column:
@@ -45,19 +55,56 @@ def is_test(file: Column) -> Column:
     )
 
 
+def test_places(tests: DataFrame) -> DataFrame:
+    """Tests (test_id, scope_key, file) with stem, and the directories of sources they stand for: `dir` by the rule of TypeScript, `go_dir` by that of Go; null where a rule does not apply."""
+    d = dirname(F.col("file"))
+    canonical = d
+    for root in TEST_ROOTS:
+        canonical = F.regexp_replace(canonical, root, "")
+    canonical = F.when(F.col("file").rlike(BY_DIRECTORY) & ~canonical.isin("", "."), canonical)
+    return tests.select("test_id", "scope_key", "file", stem(F.col("file")).alias("stem"), canonical.alias("dir"), F.when(F.endswith("file", F.lit("_test.go")), d).alias("go_dir"))
+
+
+def source_places(entities: DataFrame) -> DataFrame:
+    """Entities (key, scope_key, file) with stem, `go_dir`, their directory, and `dir`, the same without the root of sources."""
+    d = dirname(F.col("file"))
+    return entities.select("key", "scope_key", source_stem(F.col("file")).alias("stem"), F.regexp_replace(d, SOURCE_ROOT, "").alias("dir"), d.alias("go_dir"))
+
+
 def covers(tests: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
-    """(key, tests, score): entities with the tests that cover them.
+    """(key, tests, score): entities with the number of tests that cover them, and how surely; those without any are left out.
+
+    `tests` has (test_id, scope_key, file), `entities` (key, scope_key, file),
+    `imports` (test_id, key). Weights add up over tests and layers, to 1 at
+    most. A test without a scope or file covers by import only.
 
-    `tests` has (test_id, scope_key, stem, dir), `entities` (key, scope_key,
-    stem, dir), `imports` (test_id, key). Every layer of evidence is an equi
-    join; weights add up per entity and test over all layers, 1 at most.
+    Tests are counted per name and per directory before they meet entities, so
+    no test is paired with all entities of its directory. A test that several
+    layers find is counted once by adding and taking away such counts.
     """
-    by_import = imports.select("test_id", "key", F.lit(IMPORT).alias("w")).distinct()
-    by_name = tests.join(entities, ["scope_key", "stem"]).select("test_id", "key", F.lit(NAME).alias("w")).distinct()
-    by_dir = tests.join(entities.select("key", "scope_key", "dir"), ["scope_key", "dir"]).select("test_id", "key", F.lit(DIRECTORY).alias("w")).distinct()
-    each = by_import.unionByName(by_name).unionByName(by_dir)
-    pairs = each.groupBy("key", "test_id").agg(F.sum("w").alias("w"))
-    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("tests"), F.least(F.lit(1.0), F.sum("w")).alias("score"))
+    t, e = test_places(tests.dropDuplicates(["test_id"])), source_places(entities.dropDuplicates(["key"]))
+    count = lambda *keys: t.where(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x)).groupBy("scope_key", *keys).agg(F.count(F.lit(1)).alias("_".join(["n", *keys])))
+    out = e
+    # a Go test has no `dir` and no other test a `go_dir`, so both never hold for one test
+    for keys in (("stem",), ("dir",), ("go_dir",), ("stem", "dir"), ("stem", "go_dir")):
+        out = out.join(count(*keys), ["scope_key", *keys], "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    # an imported entity: is the test one of those its name or directory finds already?
+    pairs = imports.select("test_id", "key").distinct().join(t, "test_id").join(e.select("key", F.struct("scope_key", "stem", "dir", "go_dir").alias("e")), "key")
+    again = F.coalesce((F.col("scope_key") == F.col("e.scope_key")) & ((F.col("stem") == F.col("e.stem")) | F.coalesce(F.col("dir") == F.col("e.dir"), F.lit(False)) | F.coalesce(F.col("go_dir") == F.col("e.go_dir"), F.lit(False))), F.lit(False))
+    imported = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_import"), F.count_if(~again).alias("n_only"))
+    out = out.join(imported, "key", "left")
+    found = n("n_stem") + n("n_dir") + n("n_go_dir") - n("n_stem_dir") - n("n_stem_go_dir") + n("n_only")
+    score = IMPORT * n("n_import") + NAME * n("n_stem") + DIRECTORY * n("n_dir") + GO_DIRECTORY * n("n_go_dir")
+    return out.select("key", found.alias("tests"), F.least(F.lit(1.0), score).alias("score")).where(F.col("tests") > 0)
+
+
+def covering_tests(tests: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
+    """(key, test_ids): the tests themselves, for few chosen entities; the layers of evidence are one equi join."""
+    places = lambda df, key: df.select(key, "scope_key", F.explode(F.array(*[F.struct(F.lit(c).alias("layer"), F.col(c).alias("place")) for c in ("stem", "dir", "go_dir")])).alias("x")).select(key, "scope_key", "x.*")
+    found = places(test_places(tests), "test_id").join(places(source_places(entities), "key"), ["scope_key", "layer", "place"]).select("test_id", "key")
+    imported = imports.select("test_id", "key").join(entities.select("key"), "key", "left_semi").select("test_id", "key")
+    return found.unionByName(imported).groupBy("key").agg(F.sort_array(F.collect_set("test_id")).alias("test_ids"))
 
 
 def issues(tests: DataFrame) -> DataFrame:
@@ -89,35 +136,75 @@ def bucket(score: Column) -> Column:
     return F.when(score >= 0.7, "good").when(score >= 0.3, "partial").otherwise("poor")
 
 
-# --- queries: entities whose name ends in Checker are read as tests of what they use --------
+# --- queries -----------------------------------------------------------------
+# The data have no test files. Every entity named ...Checker stands for one: it tests the least of the entities it uses, which it imports all, and its
+# file has the name and place that the conventions of that entity's language give it. Cases, assertions and skips are counted from its members.
 
 _CHECK = "Checker\\d*$"
+#: Where the test of a source file lies, by extension: what stands before the directory without its root, before and after the name.
+_CONVENTIONS = {"ts": ("tests/unit/", "", ".test.ts"), "py": ("tests/", "test_", ".py"), "go": ("src/", "", "_test.go"), "cpp": ("tests/", "test-", ".cpp"), "kt": ("src/", "", "Test.kt"), "java": ("src/", "", "Test.java")}
+
+
+def _test_path(file: Column) -> Column:
+    ext, where = F.regexp_extract(file, r"\.(\w+)$", 1), F.regexp_replace(dirname(file), SOURCE_ROOT, "")
+    out = F.lit(None).cast("string")
+    for e, (root, before, after) in _CONVENTIONS.items():
+        out = F.when(ext == e, F.concat(F.lit(root), where, F.lit("/" + before), source_stem(file), F.lit(after))).otherwise(out)
+    return out
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = current_entities(spark, d).where(F.col("name").isNotNull() & F.col("scope_key").isNotNull() & F.col("source_location.file").isNotNull())
-    e = e.withColumns({"stem": F.lower(F.regexp_replace("name", r"[A-Z][a-z]+\d*$", "")), "dir": dirname(F.col("source_location.file"))})
-    t = e.where(F.col("name").rlike(_CHECK))
-    tests = t.select(F.col("key").alias("test_id"), "scope_key", "stem", "dir", "members", "entity_type")
-    rest = e.where(~F.col("name").rlike(_CHECK)).select("key", "scope_key", "stem", "dir")
+    e = e.withColumn("file", F.col("source_location.file"))
+    checks = e.where(F.col("name").rlike(_CHECK))
+    rest = e.where(~F.col("name").rlike(_CHECK)).select("key", "scope_key", "file")
     used = edges(spark, d).select(F.col("src").alias("test_id"), F.col("dst").alias("key")).distinct()
-    used = used.join(tests.select("test_id"), "test_id", "left_semi").join(rest.select("key"), "key", "left_semi")
-    return tests, rest, used
-
-
-_TESTS = f"""{EDGE}, en AS (SELECT key, scope_key, lower(regexp_replace(name, '[A-Z][a-z]+[0-9]*$', '')) AS stem, name, members, entity_type,
-      CASE WHEN contains(source_location.file, '/') THEN regexp_replace(source_location.file, '/[^/]*$', '') ELSE '.' END AS dir
-    FROM ent WHERE name IS NOT NULL AND scope_key IS NOT NULL AND source_location.file IS NOT NULL),
-  te AS (SELECT * FROM en WHERE regexp_matches(name, 'Checker[0-9]*$')), re AS (SELECT * FROM en WHERE NOT regexp_matches(name, 'Checker[0-9]*$')),
-  im AS (SELECT DISTINCT src AS test_id, dst AS key FROM edge WHERE src IN (SELECT key FROM te) AND dst IN (SELECT key FROM re)),
-  lay AS (SELECT test_id, key, {IMPORT}::DOUBLE AS w FROM im UNION ALL SELECT DISTINCT te.key, re.key, {NAME}::DOUBLE FROM te JOIN re USING (scope_key, stem)
-    UNION ALL SELECT DISTINCT te.key, re.key, {DIRECTORY}::DOUBLE FROM te JOIN re USING (scope_key, dir)),
-  cov AS (SELECT key, count(*) AS tests, least(1.0::DOUBLE, sum(w)) AS score FROM (SELECT key, test_id, sum(w) AS w FROM lay GROUP BY 1, 2) GROUP BY 1),
+    used = used.join(checks.select(F.col("key").alias("test_id")), "test_id", "left_semi").join(rest.select("key", F.col("file").alias("of")), "key")
+    subject = used.groupBy("test_id").agg(F.min_by("of", "key").alias("of"))
+    tests = checks.withColumnRenamed("key", "test_id").join(subject, "test_id", "left")
+    tests = tests.select("test_id", "scope_key", F.coalesce(_test_path(F.coalesce("of", "file")), "file").alias("file"), "members", "entity_type")
+    return tests, rest, used.select("test_id", "key")
+
+
+_DIR = "CASE WHEN contains({0}, '/') THEN regexp_replace({0}, '/[^/]*$', '') ELSE '.' END"
+_BASE = "regexp_replace({0}, '^.*/', '')"
+_SOURCE_STEM = f"regexp_replace({_BASE}, '(.)\\.[^.]*$', '\\1')"
+_ROOTLESS = f"regexp_replace({_DIR}, '{SOURCE_ROOT}', '')"
+_PATH_SQL = "CASE regexp_extract({0}, '\\.(\\w+)$', 1) " + " ".join(f"WHEN '{e}' THEN '{r}' || {_ROOTLESS} || '/{x}' || {_SOURCE_STEM} || '{y}'" for e, (r, x, y) in _CONVENTIONS.items()) + " END"
+# the SQL cuts off what the conventions above put on, one ending and beginning at a time
+_STEM_SQL = f"""CASE WHEN regexp_matches({_BASE}, '\\.(test|spec)(\\.(ts|tsx|js|jsx))?$') THEN regexp_replace({_BASE}, '\\.(test|spec)(\\.(ts|tsx|js|jsx))?$', '')
+    WHEN {{0}} LIKE '%.py' THEN regexp_replace(regexp_replace(regexp_replace({_BASE}, '\\.py$', ''), '^test_', ''), '_test$', '')
+    WHEN {{0}} LIKE '%\\_test.go' ESCAPE '\\' THEN regexp_replace({_BASE}, '_test\\.go$', '')
+    WHEN regexp_matches({{0}}, '\\.(cpp|cc|cxx)$') THEN regexp_replace(regexp_replace(regexp_replace({_BASE}, '\\.(cpp|cc|cxx)$', ''), '^test[-_]', ''), '[-_]test$', '')
+    WHEN regexp_matches({{0}}, '\\.kts?$') THEN regexp_replace(regexp_replace(regexp_replace({_BASE}, '\\.kts?$', ''), 'Tests?$', ''), '^Test([A-Z])', '\\1') ELSE {_BASE} END"""
+
+
+def tests_sql(ent: str = "ent", edge: str = "edge") -> str:
+    """The tests (te), the other entities (re), the pairs of evidence (lay) and what they cover (cov), as SQL views over entities and edges."""
+    return f"""en AS (SELECT key, scope_key, source_location.file AS file, name, members, entity_type FROM {ent} WHERE name IS NOT NULL AND scope_key IS NOT NULL AND source_location.file IS NOT NULL),
+  re AS (SELECT key, scope_key, file, {_SOURCE_STEM.format('file')} AS stem, {_ROOTLESS.format('file')} AS dir, {_DIR.format('file')} AS go_dir FROM en WHERE NOT regexp_matches(name, 'Checker[0-9]*$')),
+  im AS (SELECT DISTINCT src AS test_id, dst AS key FROM {edge} WHERE src IN (SELECT key FROM en WHERE regexp_matches(name, 'Checker[0-9]*$')) AND dst IN (SELECT key FROM re)),
+  ta AS (SELECT en.key, en.scope_key, members, entity_type, coalesce({_PATH_SQL.format('coalesce(o.file, en.file)')}, en.file) AS file
+    FROM en LEFT JOIN (SELECT test_id, arg_min(file, re.key) AS file FROM im JOIN re USING (key) GROUP BY 1) o ON o.test_id = en.key WHERE regexp_matches(name, 'Checker[0-9]*$')),
+  tb AS (SELECT *, {_STEM_SQL.format('file')} AS stem, {_DIR.format('file')} AS d FROM ta),
+  te AS (SELECT *, CASE WHEN regexp_matches(file, '{BY_DIRECTORY}') THEN nullif(nullif(regexp_replace(regexp_replace(d, '{TEST_ROOTS[0]}', ''), '{TEST_ROOTS[1]}', ''), ''), '.') END AS dir,
+    CASE WHEN ends_with(file, '_test.go') THEN d END AS go_dir FROM tb),
+  lay AS (SELECT test_id, key, {IMPORT}::DOUBLE AS w FROM im UNION ALL SELECT te.key, re.key, {NAME}::DOUBLE FROM te JOIN re USING (scope_key, stem)
+    UNION ALL SELECT te.key, re.key, {DIRECTORY}::DOUBLE FROM te JOIN re USING (scope_key, dir) UNION ALL SELECT te.key, re.key, {GO_DIRECTORY}::DOUBLE FROM te JOIN re USING (scope_key, go_dir)),
+  cov AS (SELECT key, count(DISTINCT test_id) AS tests, least(1.0::DOUBLE, sum(w)) AS score FROM lay GROUP BY 1),
   tf AS (SELECT key AS test_id, scope_key, CASE WHEN entity_type = 'function' THEN 'debug' WHEN entity_type = 'enum' THEN 'performance' ELSE 'unit' END AS test_type,
     coalesce(len(list_filter(members, lambda m: m.type IN ('method', 'constructor'))), 0) AS cases, coalesce(len(list_filter(members, lambda m: m.field_type IS NOT NULL)), 0) AS assertions,
     coalesce(len(list_filter(members, lambda m: m.is_static)), 0) AS skips, coalesce((SELECT count(*) FROM im WHERE im.test_id = te.key), 0) AS covered FROM te)"""
 
 
+_TESTS = f"{EDGE}, {tests_sql()}"
+
+
+def entity_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(key, tests, score) of all covered entities."""
+    return covers(*_parts(spark, d))
+
+
 def _tests(spark: SparkSession, d: str) -> DataFrame:
     tests, _, used = _parts(spark, d)
     n = used.groupBy("test_id").agg(F.count(F.lit(1)).alias("covered"))
@@ -129,19 +216,32 @@ def _tests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"WITH {_TESTS} SELECT key AS test_id, file, stem, dir, go_dir FROM te")
+def coverage_test_files(spark: SparkSession, d: str) -> DataFrame:
+    """The test files, what they test by their names, and the directories they stand for."""
+    return test_places(_parts(spark, d)[0]).select("test_id", "file", "stem", "dir", "go_dir")
+
+
+@query(f"WITH {_TESTS} SELECT key, list_sort(list(DISTINCT test_id)) AS test_ids FROM lay JOIN re USING (key) WHERE regexp_matches(file, '^src/core/') GROUP BY 1")
+def coverage_links(spark: SparkSession, d: str) -> DataFrame:
+    """The tests of the entities of one directory."""
+    tests, rest, used = _parts(spark, d)
+    return covering_tests(tests, rest.where(F.startswith("file", F.lit("src/core/"))), used)
+
+
 @query(f"WITH {_TESTS} SELECT key, tests, round(score, 6) AS score FROM cov")
 def coverage_entities(spark: SparkSession, d: str) -> DataFrame:
-    return covers(*_parts(spark, d)).withColumn("score", F.round("score", 6))
+    return entity_scores(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_TESTS} SELECT scope_key, dir AS package, count(*) AS total, count(*) FILTER (WHERE score > 0) AS covered, round(count(*) FILTER (WHERE score > 0)::DOUBLE / count(*), 6) AS ratio
+@query(f"""WITH {_TESTS} SELECT scope_key, go_dir AS package, count(*) AS total, count(*) FILTER (WHERE score > 0) AS covered, round(count(*) FILTER (WHERE score > 0)::DOUBLE / count(*), 6) AS ratio
     FROM re LEFT JOIN cov USING (key) GROUP BY 1, 2""")
 def coverage_packages(spark: SparkSession, d: str) -> DataFrame:
     """Share of covered entities of every package."""
     tests, rest, used = _parts(spark, d)
     e = rest.join(covers(tests, rest, used), "key", "left")
     hit = F.count_if(F.col("score") > 0)
-    return e.groupBy("scope_key", F.col("dir").alias("package")).agg(F.count(F.lit(1)).alias("total"), hit.alias("covered"), F.round(hit / F.count(F.lit(1)), 6).alias("ratio"))
+    return e.groupBy("scope_key", dirname(F.col("file")).alias("package")).agg(F.count(F.lit(1)).alias("total"), hit.alias("covered"), F.round(hit / F.count(F.lit(1)), 6).alias("ratio"))
 
 
 @query(f"""WITH {_TESTS}, b AS (SELECT re.key, CASE WHEN round(score, 6) >= 0.7 THEN 'good' WHEN round(score, 6) >= 0.3 THEN 'partial' ELSE 'poor' END AS bucket FROM re LEFT JOIN cov USING (key))

@@ -293,7 +293,7 @@ def shared_callers(spark: SparkSession, d: str) -> DataFrame:
     return callers(calls, shared_starts(spark, d), 2)
 
 
-_CLOSURE = """one AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst),
+CLOSURE = """one AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst),
       reach(src, dst) AS (SELECT src, dst FROM one UNION SELECT reach.src, one.dst FROM reach JOIN one ON one.src = reach.dst),
       scc AS (SELECT a.src AS key, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
       cyc AS (SELECT key, least(key, component) AS component FROM scc WHERE key IN (SELECT src FROM reach WHERE src = dst))"""
@@ -303,13 +303,13 @@ def scc(spark: SparkSession, d: str) -> DataFrame:
     return components(edges(spark, d))
 
 
-@query(f"WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT key, component FROM cyc")
+@query(f"WITH RECURSIVE {EDGE}, {CLOSURE} SELECT key, component FROM cyc")
 def entities_in_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Entities on a cycle with the least member of their component."""
     return scc(spark, d)
 
 
-@query(f"WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT component, count(*) AS size FROM cyc GROUP BY 1")
+@query(f"WITH RECURSIVE {EDGE}, {CLOSURE} SELECT component, count(*) AS size FROM cyc GROUP BY 1")
 def cycles(spark: SparkSession, d: str) -> DataFrame:
     """Cycles with their size."""
     return scc(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -318,7 +318,7 @@ def cycles(spark: SparkSession, d: str) -> DataFrame:
 _PKG = "CASE WHEN contains({0}, '/') THEN regexp_replace({0}, '/[^/]*$', '') WHEN contains({0}, '.') THEN regexp_replace({0}, '\\.[^.]*$', '') ELSE {0} END"
 
 
-@query(f"""WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT {_PKG.format('key')} AS package, count(DISTINCT component) AS cycles, count(*) AS members FROM cyc GROUP BY 1""")
+@query(f"""WITH RECURSIVE {EDGE}, {CLOSURE} SELECT {_PKG.format('key')} AS package, count(DISTINCT component) AS cycles, count(*) AS members FROM cyc GROUP BY 1""")
 def package_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Cycles that touch a package, and its entities in them."""
     return (
@@ -404,14 +404,14 @@ def has_cycle(pairs: DataFrame) -> bool:
     return not components(pairs).isEmpty()
 
 
-@query(f"""WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT DISTINCT e.src, e.dst, a.component FROM edge e JOIN cyc a ON a.key = e.src JOIN cyc b ON b.key = e.dst AND b.component = a.component WHERE e.src <> e.dst""")
+@query(f"""WITH RECURSIVE {EDGE}, {CLOSURE} SELECT DISTINCT e.src, e.dst, a.component FROM edge e JOIN cyc a ON a.key = e.src JOIN cyc b ON b.key = e.dst AND b.component = a.component WHERE e.src <> e.dst""")
 def edges_in_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Edges between entities of the same cycle."""
     e = edges(spark, d)
     return cycle_edges(e, components(e))
 
 
-@query(f"WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT component, count(*) AS size, CASE WHEN count(*) = 2 THEN 'warning' ELSE 'error' END AS severity FROM cyc GROUP BY 1")
+@query(f"WITH RECURSIVE {EDGE}, {CLOSURE} SELECT component, count(*) AS size, CASE WHEN count(*) = 2 THEN 'warning' ELSE 'error' END AS severity FROM cyc GROUP BY 1")
 def cycle_severities(spark: SparkSession, d: str) -> DataFrame:
     """Cycles with their severity."""
     return severity(scc(spark, d))

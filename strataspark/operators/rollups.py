@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataspark.functions.text import dirname, dotted_package, glob_to_regex, plain
-from strataspark.operators.graph import degrees
+from strataspark.operators import coverage
+from strataspark.operators.coverage import tests_sql
+from strataspark.operators.graph import CLOSURE as _CLOSURE
+from strataspark.operators.graph import components, degrees
+from strataspark.operators.layers import TREE, layer
 from strataspark.operators.lookups import count_members
 from strataspark.plans.registry import register
 from strataspark.sources.graph import EDGE, ENT, PLAIN, edges, relations
@@ -51,14 +55,102 @@ def file_stats(entities: DataFrame, es: DataFrame) -> DataFrame:
     )
 
 
+def file_cycles(entities: DataFrame, members: DataFrame) -> DataFrame:
+    """(scope_key, file, cycles): how many cycles touch a file; files without any are left out. `members` has (key, component)."""
+    f = entities.where(F.col("source_location.file").isNotNull()).select("key", "scope_key", F.col("source_location.file").alias("file"))
+    return f.join(members, "key").groupBy("scope_key", "file").agg(F.countDistinct("component").alias("cycles"))
+
+
+#: What tells a test's file from others, by the file's extension (fixed values).
+TEST_FILES = {
+    r"\.(?:ts|tsx|js|jsx)$": r"\.(?:test|spec)\.(?:ts|tsx|js|jsx)$",
+    r"\.kts?$": r"Tests?\.kt$|[\\/](?:test|androidTest|sharedTest)[\\/]",
+    r"\.java$": r"(?:Test|Tests|TestCase)\.java$|[\\/]test[\\/]",
+    r"\.py$": r"(?:^|[\\/])test_[^\\/]+\.py$|_test\.py$",
+    r"\.(?:cpp|cc|cxx)$": r"(?i)\.(?:test|spec)\.(?:cpp|cc|cxx)$|(?:[\\/]|^)test[_-]",
+}
+
+
+def test_file(file: Column) -> Column:
+    """Whether a file is a test's by the convention of its language; of other languages, by .test. or .spec. in its name."""
+    out = file.rlike(r"\.(?:test|spec)\.")
+    for ext, pattern in TEST_FILES.items():
+        out = F.when(file.rlike(ext), file.rlike(pattern)).otherwise(out)
+    return F.coalesce(out, F.lit(False))
+
+
 def package_stats(files: DataFrame, depth: int = 2) -> DataFrame:
-    """Packages by directories of a depth of 1 to 5: files, entities, lines."""
+    """Packages by directories of a depth of 1 to 5: files, those of tests, entities, methods, fields, lines."""
     p = F.array_join(F.slice(F.split(dirname(F.col("file")), "/"), 1, max(1, min(5, depth))), "/")
     return files.groupBy("scope_key", p.alias("package")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("entities").alias("entities"), F.sum("loc").alias("loc")
+        F.count(F.lit(1)).alias("files"), F.count_if(test_file(F.col("file"))).alias("test_files"), *(F.sum(c).alias(c) for c in ("entities", "methods", "fields", "loc"))
+    )
+
+
+def dotted_package_stats(entities: DataFrame) -> DataFrame:
+    """Packages by the ids up to their last dot, `.` without one: the same figures; a file counts in every package that has an entity in it, with the lines of these."""
+    at = F.col("source_location.file")
+    p = F.when(F.col("key").rlike(r"^.+\.[^.]*$"), F.regexp_replace("key", r"\.[^.]*$", "")).otherwise(".")
+    e = entities.select(
+        "scope_key", p.alias("package"), at.alias("file"), F.col("source_location.end_line").alias("end_line"), count_members("method", "constructor").alias("methods"), count_members("property", "field").alias("fields")
+    )
+    each = e.groupBy("scope_key", "package", "file").agg(F.count(F.lit(1)).alias("entities"), F.sum("methods").alias("methods"), F.sum("fields").alias("fields"), F.coalesce(F.max("end_line"), F.lit(0)).alias("loc"))
+    return each.groupBy("scope_key", "package").agg(
+        F.count("file").alias("files"), F.count_if(test_file(F.col("file"))).alias("test_files"), *(F.sum(c).alias(c) for c in ("entities", "methods", "fields", "loc"))
     )
 
 
+def node_package_stats(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Package nodes of a graph (scope_key, folder, ...) of the kinds internal and cmd, with the entities, methods and fields of the files in their folders and below; 0 where there are none."""
+    own = nodes.where(F.col("node_type").isin("internal", "cmd"))
+    parts = F.split("file", "/")
+    # a file is counted for every folder above it, and for itself, by an equi join
+    above = files.select("scope_key", "entities", "methods", "fields", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("folder"))
+    sums = above.groupBy("scope_key", "folder").agg(*(F.sum(c).alias(c) for c in ("entities", "methods", "fields")))
+    return own.join(sums, ["scope_key", "folder"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("entities", "methods", "fields")})
+
+
+#: Kinds of entities that the figures of a module tell apart (fixed values).
+KINDS = {"class": "classes", "interface": "interfaces", "function": "functions", "enum": "enums"}
+
+
+def module_stats(entities: DataFrame) -> DataFrame:
+    """Modules, which are directories: files, those of tests, entities, methods, fields, and entities of each of KINDS."""
+    file = F.col("source_location.file")
+    e = entities.where(file.isNotNull())
+    return e.groupBy("scope_key", dirname(file).alias("module")).agg(
+        F.countDistinct(file).alias("files"), F.countDistinct(F.when(test_file(file), file)).alias("test_files"), F.count(F.lit(1)).alias("entities"),
+        F.sum(count_members("method", "constructor")).alias("methods"), F.sum(count_members("property", "field")).alias("fields"),
+        *(F.count_if(F.col("entity_type") == kind).alias(name) for kind, name in KINDS.items()),
+    )
+
+
+def metric_vector(files: DataFrame, packages: DataFrame, rels: DataFrame, members: DataFrame, covered: DataFrame) -> DataFrame:
+    """The eleven metrics of every scope, under the names of METRICS.
+
+    `rels` has (scope_key, inference_source), `members` (scope_key, component)
+    of cycles, `covered` (scope_key, score) of all entities. A scope has a row
+    if it has a file; what it has none of counts 0, a coverage without entities
+    is null.
+    """
+    f = files.groupBy("scope_key").agg(F.sum("entities").alias("total_entities"), F.max("in_degree").alias("max_in_degree"), F.max("out_degree").alias("max_out_degree"))
+    p = packages.groupBy("scope_key").agg(F.max("files").alias("max_package_size"), F.count(F.lit(1)).alias("package_count"))
+    inferred = F.col("inference_source").isNotNull() & (F.col("inference_source") != "explicit")
+    r = rels.groupBy("scope_key").agg(F.count(F.lit(1)).alias("total_relations"), F.round(F.avg(F.when(inferred, 1.0).otherwise(0.0)), 6).alias("inferred_relation_ratio"))
+    c = members.groupBy("scope_key").agg(F.countDistinct("component").alias("scc_count"))
+    v = covered.groupBy("scope_key").agg(F.round(F.avg(F.when(F.col("score") > 0, 1.0).otherwise(0.0)), 6).alias("entity_coverage_ratio"))
+    gi = gini(files, ["scope_key"], "in_degree").select("scope_key", F.round("gini", 6).alias("gini_in_degree"))
+    gp = gini(packages, ["scope_key"], "files").select("scope_key", F.round("gini", 6).alias("gini_package_size"))
+    out = f.join(p, "scope_key").join(gi, "scope_key", "left").join(gp, "scope_key", "left").join(r, "scope_key", "left").join(c, "scope_key", "left").join(v, "scope_key", "left")
+    return out.select("scope_key", *(F.col(m) if m == "entity_coverage_ratio" else F.coalesce(m, F.lit(0)).alias(m) for m in METRICS))
+
+
+def snapshot(vectors: DataFrame, commit: str, branch: str, at: str) -> DataFrame:
+    """The snapshot of a run: the vectors of all scopes under a commit, a branch and a time, with the columns of the table of snapshots."""
+    stamp = {"commit_sha": F.lit(commit), "branch": F.lit(branch), "taken_at": F.lit(at).cast("timestamp_ntz")}
+    return vectors.withColumns(stamp).select("scope_key", *stamp, *METRICS)
+
+
 def package_dependencies(entities: DataFrame, es: DataFrame) -> DataFrame:
     """(scope_key, source, target, rel_type, n): edges between different packages (two dot segments of the id)."""
     p = lambda c: dotted_package(F.col(c), 2)
@@ -213,7 +305,9 @@ FS = f"""{EDGE}, {_DEG}, fs AS (SELECT scope_key, source_location.file AS file,
     sum(coalesce(in_degree, 0))::BIGINT AS in_degree, sum(coalesce(out_degree, 0))::BIGINT AS out_degree
     FROM ent LEFT JOIN deg USING (key) WHERE source_location.file IS NOT NULL GROUP BY 1, 2)"""
 _DIR = "CASE WHEN contains(file, '/') THEN regexp_replace(file, '/[^/]*$', '') ELSE '.' END"
-PS = f"""ps AS (SELECT scope_key, array_to_string(string_split({_DIR}, '/')[1:2], '/') AS package, count(*) AS files, sum(entities)::BIGINT AS entities, sum(loc)::BIGINT AS loc FROM fs GROUP BY 1, 2)"""
+_sql_test = lambda c: "CASE " + " ".join(f"WHEN regexp_matches({c}, '{e}') THEN regexp_matches({c}, '{p}')" for e, p in reversed(TEST_FILES.items())) + f" ELSE coalesce(regexp_matches({c}, '\\.(?:test|spec)\\.'), false) END"
+PS = f"""ps AS (SELECT scope_key, array_to_string(string_split({_DIR}, '/')[1:2], '/') AS package, count(*) AS files, count(*) FILTER (WHERE {_sql_test('file')}) AS test_files, sum(entities)::BIGINT AS entities,
+    sum(methods)::BIGINT AS methods, sum(fields)::BIGINT AS fields, sum(loc)::BIGINT AS loc FROM fs GROUP BY 1, 2)"""
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -240,24 +334,63 @@ def rollup_packages_top(spark: SparkSession, d: str) -> DataFrame:
 _GINI = "CASE WHEN sum({v}) = 0 THEN 0 ELSE 2.0::DOUBLE * sum(r * {v}) / (count(*) * sum({v})) - (count(*) + 1.0::DOUBLE) / count(*) END"
 
 
-@query(f"""WITH {FS}, {PS},
-      gi AS (SELECT scope_key, {_GINI.format(v='in_degree')} AS g FROM (SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY in_degree) AS r FROM fs) GROUP BY 1),
-      gp AS (SELECT scope_key, {_GINI.format(v='files')} AS g FROM (SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY files) AS r FROM ps) GROUP BY 1)
-    SELECT a.*, b.max_package_size, b.package_count, round(gi.g, 6) AS gini_in_degree, round(gp.g, 6) AS gini_package_size FROM
-      (SELECT scope_key, sum(entities)::BIGINT AS total_entities, max(in_degree) AS max_in_degree, max(out_degree) AS max_out_degree FROM fs GROUP BY 1) a
-      JOIN (SELECT scope_key, max(files) AS max_package_size, count(*) AS package_count FROM ps GROUP BY 1) b USING (scope_key)
-      JOIN gi USING (scope_key) JOIN gp USING (scope_key)""")
+_METHODS = "coalesce(len(list_filter(members, lambda m: m.type IN ('method', 'constructor'))), 0)"
+_FIELDS = "coalesce(len(list_filter(members, lambda m: m.type IN ('property', 'field'))), 0)"
+
+
+@query(f"""WITH {ENT}, e AS (SELECT scope_key, CASE WHEN regexp_matches(key, '^.+\\.[^.]*$') THEN regexp_replace(key, '\\.[^.]*$', '') ELSE '.' END AS package, source_location.file AS file, count(*) AS entities,
+      sum({_METHODS}) AS methods, sum({_FIELDS}) AS fields, coalesce(max(source_location.end_line), 0) AS loc FROM ent GROUP BY 1, 2, 3)
+    SELECT scope_key, package, count(file) AS files, count(*) FILTER (WHERE file IS NOT NULL AND {_sql_test('file')}) AS test_files, sum(entities)::BIGINT AS entities, sum(methods)::BIGINT AS methods,
+      sum(fields)::BIGINT AS fields, sum(loc)::BIGINT AS loc FROM e GROUP BY 1, 2""")
+def rollup_dotted_packages(spark: SparkSession, d: str) -> DataFrame:
+    """Packages by the dots of the ids."""
+    return dotted_package_stats(current_entities(spark, d))
+
+
+@query(f"""WITH {ENT} SELECT scope_key, {_DIR.replace('file', 'source_location.file')} AS module, count(DISTINCT source_location.file) AS files,
+      count(DISTINCT CASE WHEN {_sql_test('source_location.file')} THEN source_location.file END) AS test_files, count(*) AS entities, sum({_METHODS})::BIGINT AS methods, sum({_FIELDS})::BIGINT AS fields,
+      {', '.join(f"count(*) FILTER (WHERE entity_type = '{k}') AS {n}" for k, n in KINDS.items())} FROM ent WHERE source_location.file IS NOT NULL GROUP BY 1, 2""")
+def rollup_modules(spark: SparkSession, d: str) -> DataFrame:
+    """Directories as modules, with their entities by kind."""
+    return module_stats(current_entities(spark, d))
+
+
+_GINI_OF = lambda of, v: f"SELECT scope_key, round({_GINI.format(v=v)}, 6) AS gini_{of} FROM (SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY {v}) AS r FROM {'fs' if of == 'in_degree' else 'ps'}) GROUP BY 1"
+
+
+@query(f"""WITH RECURSIVE {FS}, {PS}, {_CLOSURE}, {tests_sql('ent', 'edge')}, gi AS ({_GINI_OF('in_degree', 'in_degree')}), gp AS ({_GINI_OF('package_size', 'files')}),
+      r AS (SELECT scope_key, count(*) AS total_relations, round(avg(CASE WHEN inference_source IS NOT NULL AND inference_source <> 'explicit' THEN 1.0 ELSE 0.0 END), 6) AS inferred_relation_ratio FROM rel GROUP BY 1),
+      c AS (SELECT scope_key, count(DISTINCT component) AS scc_count FROM cyc JOIN ent USING (key) GROUP BY 1),
+      v AS (SELECT ent.scope_key, round(avg(CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END), 6) AS entity_coverage_ratio FROM ent LEFT JOIN cov USING (key) GROUP BY 1)
+    SELECT scope_key, total_entities, coalesce(total_relations, 0) AS total_relations, coalesce(inferred_relation_ratio, 0) AS inferred_relation_ratio, coalesce(scc_count, 0) AS scc_count, max_in_degree, max_out_degree,
+      max_package_size, coalesce(gini_in_degree, 0) AS gini_in_degree, coalesce(gini_package_size, 0) AS gini_package_size, package_count, entity_coverage_ratio
+    FROM (SELECT scope_key, sum(entities)::BIGINT AS total_entities, max(in_degree) AS max_in_degree, max(out_degree) AS max_out_degree FROM fs GROUP BY 1)
+      JOIN (SELECT scope_key, max(files) AS max_package_size, count(*) AS package_count FROM ps GROUP BY 1) USING (scope_key)
+      LEFT JOIN gi USING (scope_key) LEFT JOIN gp USING (scope_key) LEFT JOIN r USING (scope_key) LEFT JOIN c USING (scope_key) LEFT JOIN v USING (scope_key)""")
 def metric_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The metric vector of every scope, from its files and packages."""
-    f = _files(spark, d).where(F.col("scope_key").isNotNull())
-    p = package_stats(f)
-    a = f.groupBy("scope_key").agg(
-        F.sum("entities").alias("total_entities"), F.max("in_degree").alias("max_in_degree"), F.max("out_degree").alias("max_out_degree")
-    )
-    b = p.groupBy("scope_key").agg(F.max("files").alias("max_package_size"), F.count(F.lit(1)).alias("package_count"))
-    gi = gini(f, ["scope_key"], "in_degree").select("scope_key", F.round("gini", 6).alias("gini_in_degree"))
-    gp = gini(p, ["scope_key"], "files").select("scope_key", F.round("gini", 6).alias("gini_package_size"))
-    return a.join(b, "scope_key").join(gi, "scope_key").join(gp, "scope_key")
+    """The metric vector of every scope."""
+    e, es = current_entities(spark, d), edges(spark, d)
+    f = file_stats(e, es).where(F.col("scope_key").isNotNull())
+    own = e.select("key", "scope_key")
+    covered = own.join(coverage.entity_scores(spark, d), "key", "left")
+    return metric_vector(f, package_stats(f), relations(spark, d), own.join(components(es), "key"), covered)
+
+
+@query(f"""WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT scope_key, source_location.file AS file, count(DISTINCT component) AS cycles FROM cyc JOIN ent USING (key) WHERE source_location.file IS NOT NULL GROUP BY 1, 2""")
+def rollup_file_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles that touch a file."""
+    return file_cycles(current_entities(spark, d), components(edges(spark, d)))
+
+
+@query(f"""WITH {TREE}, {FS}, n AS (SELECT DISTINCT raw_id, path, json_extract_string(n, '$.id') AS id, json_extract_string(n, '$.type') AS node_type, json_extract_string(n, '$.fileCount')::BIGINT AS file_count FROM package_node),
+      f AS (SELECT raw_id, path, id, node_type, file_count, string_split(id, '/')[1] AS scope_key, 'src/' || string_split(id, '/')[-1] AS folder FROM n WHERE node_type IN ('internal', 'cmd'))
+    SELECT f.raw_id, f.path, f.id, f.node_type, f.file_count, f.scope_key, f.folder, coalesce(sum(entities), 0)::BIGINT AS entities, coalesce(sum(methods), 0)::BIGINT AS methods, coalesce(sum(fields), 0)::BIGINT AS fields
+    FROM f LEFT JOIN fs ON fs.scope_key = f.scope_key AND (fs.file = folder OR starts_with(fs.file, folder || '/')) GROUP BY ALL""")
+def rollup_node_packages(spark: SparkSession, d: str) -> DataFrame:
+    """Package nodes of Go graphs with what the files of their scope's folder of the same name hold."""
+    parts = F.split("id", "/")
+    n = layer(spark, d, "package_node").select("raw_id", "path", "id", "node_type", "file_count", parts[0].alias("scope_key"), F.concat(F.lit("src/"), F.element_at(parts, -1)).alias("folder"))
+    return node_package_stats(n, _files(spark, d).select("scope_key", "file", "entities", "methods", "fields"))
 
 
 _DP = "array_to_string(list_filter(string_split({}, '.'), lambda x: x <> '')[1:2], '.')"

@@ -154,17 +154,68 @@ def test_go_layers(spark):
     assert [(r.struct, r.interface) for r in got] == [("S", "I")]
 
 
-@pytest.mark.parametrize("file,want", [("a/foo.test.ts", "foo"), ("test_bar.py", "bar"), ("bar_test.py", "bar"), ("x/baz_test.go", "baz"), ("test-q.cpp", "q"), ("FooTests.kt", "foo"), ("TestFoo.kt", "foo"), ("Plain.java", "plain")])
+STEMS = [
+    ("a/foo.test.ts", "foo"), ("foo.spec.jsx", "foo"), ("foo.test", "foo"), ("test_bar.py", "bar"), ("bar_test.py", "bar"), ("x/baz_test.go", "baz"), ("test-q.cpp", "q"), ("q_test.cc", "q"),
+    ("FooTests.kt", "Foo"), ("TestFoo.kt", "Foo"), ("Testing.kt", "Testing"), ("PlainTest.java", "PlainTest.java"),
+]
+
+
+@pytest.mark.parametrize("file,want", STEMS)
 def test_stems(spark, file, want):
     assert value(spark, coverage.stem(F.col("p")), p=file) == want
 
 
+@pytest.mark.parametrize("file,want", [("src/a/Foo.ts", "Foo"), ("foo.bar.ts", "foo.bar"), (".hidden", ".hidden"), ("x/Makefile", "Makefile")])
+def test_source_stems(spark, file, want):
+    assert value(spark, coverage.source_stem(F.col("p")), p=file) == want
+
+
+def test_places_of_tests(spark):
+    files = ["tests/unit/a/b/x.test.ts", "test/a/x.spec.tsx", "__tests__/a/x.test.js", "tests/x.test.ts", "src/a/x.test.ts", "pkg/a/x_test.go", "tests/a/test_x.py"]
+    t = spark.createDataFrame([(f, "s", f) for f in files], "test_id string, scope_key string, file string")
+    got = {r.file: (r.dir, r.go_dir) for r in coverage.test_places(t).collect()}
+    assert [got[f] for f in files] == [("a/b", None), ("a", None), ("a", None), ("tests", None), ("src/a", None), (None, "pkg/a"), (None, None)]
+
+
+def brute_cover(tests, entities, imports):
+    """Pair by pair, as the rules say."""
+    import re
+    from pathlib import PurePosixPath as P
+
+    out = {}
+    for tid, ts, tf in tests:
+        name = P(tf).name
+        stem = dict((f.split("/")[-1], w) for f, w in STEMS).get(name, name)
+        d = str(P(tf).parent)
+        canonical = re.sub(r"^(?:tests?|__tests?__|spec)/", "", re.sub(r"^tests?/(?:unit|integration|e2e|functional|system)/", "", d))
+        for key, es, ef in entities:
+            w = 0.425 if (tid, key) in imports else 0.0
+            ed = str(P(ef).parent)
+            if ts == es and stem == P(ef).stem:
+                w += 0.30
+            if ts == es and re.search(r"\.(test|spec)\.(ts|tsx|js|jsx)$", tf) and canonical not in ("", ".") and re.sub(r"^(?:src|lib|app|source)/", "", ed) == canonical:
+                w += 0.125
+            if ts == es and tf.endswith("_test.go") and d == ed:
+                w += 0.175
+            if w:
+                ids, score = out.get(key, ((), 0.0))
+                out[key] = ((*ids, tid), min(1.0, score + w))
+    return {k: (tuple(sorted(ids)), round(v, 6)) for k, (ids, v) in out.items()}
+
+
 def test_coverage(spark):
-    t = spark.createDataFrame([("t1", "s", "foo", "d"), ("t2", "s", "x", "d")], "test_id string, scope_key string, stem string, dir string")
-    e = spark.createDataFrame([("e1", "s", "foo", "d"), ("e2", "s", "y", "other"), ("e3", "z", "foo", "d")], "key string, scope_key string, stem string, dir string")
-    i = spark.createDataFrame([("t1", "e1"), ("t1", "e1"), ("t2", "e1"), ("t2", "e2")], "test_id string, key string")
-    got = {r.key: (r.tests, round(r.score, 3)) for r in coverage.covers(t, e, i).collect()}
-    assert got == {"e1": (2, 1.0), "e2": (1, 0.425)}
+    tests = [("t1", "s", "tests/unit/a/foo.test.ts"), ("t2", "s", "tests/a/foo.spec.jsx"), ("t3", "s", "pkg/baz_test.go"), ("t4", "z", "test_bar.py"), ("t5", "s", "tests/unit/a/other.test.ts"), ("t6", "s", "q_test.cc")]
+    entities = [("e1", "s", "src/a/foo.ts"), ("e2", "s", "src/a/types.ts"), ("e3", "s", "pkg/baz.go"), ("e4", "s", "pkg/other.go"), ("e5", "z", "lib/bar.py"), ("e6", "s", "bar.py"), ("e7", "s", "x/foo.go"), ("e8", "s", "none.c")]
+    imports = {("t1", "e1"), ("t1", "e7"), ("t4", "e1"), ("t4", "e6"), ("t3", "e4")}
+    want = brute_cover(tests, entities, imports)
+    schema = "test_id string, scope_key string, file string"
+    t, e = spark.createDataFrame([*tests, tests[0]], schema), spark.createDataFrame(entities, schema.replace("test_id", "key"))
+    i = spark.createDataFrame([*imports, ("t1", "e1"), ("gone", "e1"), ("t1", "gone")], "test_id string, key string")
+    assert {r.key: (r.tests, round(r.score, 6)) for r in coverage.covers(t, e, i).collect()} == {k: (len(ids), v) for k, (ids, v) in want.items()}
+    assert "e8" not in want and want["e1"][0] == ("t1", "t2", "t4", "t5")
+    known = i.where("test_id != 'gone'")
+    assert {r.key: tuple(r.test_ids) for r in coverage.covering_tests(t, e, known).collect()} == {k: ids for k, (ids, _) in want.items()}
+    assert coverage.covers(t.limit(0), e, i.limit(0)).count() == 0
     files = spark.createDataFrame([("a", "unit", 4, 0, 1, 0), ("b", "performance", 2, 0, 0, 1), ("c", "debug", 1, 0, 0, 0), ("d", "unit", 0, 0, 0, 3)], "test_id string, test_type string, cases int, assertions int, skips int, covered int")
     found = {(r.test_id, r.issue) for r in coverage.issues(files).collect()}
     assert found == {("a", "zero_assertion"), ("a", "orphan_test"), ("a", "skip_accumulation"), ("a", "assertion_poverty"), ("c", "zero_assertion")}
