@@ -185,7 +185,7 @@ def brute_cover(tests, entities, imports):
     out = {}
     for tid, ts, tf in tests:
         name = P(tf).name
-        stem = dict((f.split("/")[-1], w) for f, w in STEMS).get(name, name)
+        stem = {f.split("/")[-1]: w for f, w in [*STEMS, ("other.test.ts", "other")]}.get(name, name)
         d = str(P(tf).parent)
         canonical = re.sub(r"^(?:tests?|__tests?__|spec)/", "", re.sub(r"^tests?/(?:unit|integration|e2e|functional|system)/", "", d))
         for key, es, ef in entities:
