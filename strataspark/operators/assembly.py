@@ -278,7 +278,7 @@ _GROUPS = [("^src/core/", "core", 5), ("^src/(api|cli)/", "surface", 3), ("^src/
       WHEN regexp_matches(source_location.file, '\\.go$') THEN 'go' WHEN regexp_matches(source_location.file, '^src/') THEN 'source' ELSE 'other' END AS grp FROM ent) SELECT grp, count(*) AS entities FROM g GROUP BY 1""")
 def entity_groups(spark: SparkSession, d: str) -> DataFrame:
     """Entities by the grouping rule of the highest priority."""
-    e = current_entities(spark, d).select("key", F.col("source_location.file").alias("file"))
+    e = current_entities(spark, d, "source_location").select("key", F.col("source_location.file").alias("file"))
     return groups(e, _GROUPS).groupBy("grp").agg(F.count(F.lit(1)).alias("entities"))
 
 
@@ -286,7 +286,7 @@ def entity_groups(spark: SparkSession, d: str) -> DataFrame:
       s AS (SELECT dir FROM g GROUP BY 1 ORDER BY count(*) DESC, dir LIMIT 10) SELECT dir, key, rn AS member_rank FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY key) AS rn FROM g WHERE dir IN (SELECT dir FROM s)) WHERE rn <= 5""")
 def largest_directories(spark: SparkSession, d: str) -> DataFrame:
     """The 10 largest directories with their first 5 entities."""
-    e = current_entities(spark, d).where(F.col("source_location.file").isNotNull()).select("key", dirname(F.col("source_location.file")).alias("dir"))
+    e = current_entities(spark, d, "source_location").where(F.col("source_location.file").isNotNull()).select("key", dirname(F.col("source_location.file")).alias("dir"))
     return limited(e, 10, 5, "dir", "key")
 
 
@@ -295,21 +295,21 @@ def largest_directories(spark: SparkSession, d: str) -> DataFrame:
 def repaired_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """Inheritance with targets repaired by their simple name."""
     r = relations(spark, d).where(F.col("rel_type") == "inheritance").select("id", "target")
-    return repair_targets(r, current_entities(spark, d))
+    return repair_targets(r, current_entities(spark, d, "id"))
 
 
 @query(f"""WITH {ENT}, p AS (SELECT key, array_to_string(string_split(key, '.')[1:2], '.') AS package, unnest(range(1, len(string_split(key, '.')))) AS k FROM ent)
     SELECT module, arg_min(package, key) AS package FROM (SELECT key, package, array_to_string(string_split(key, '.')[1:k], '.') AS module FROM p) GROUP BY 1""")
 def module_package_map(spark: SparkSession, d: str) -> DataFrame:
     """Every dotted prefix with the package of its first entity."""
-    e = current_entities(spark, d).select("key", F.array_join(F.slice(F.split("key", r"\."), 1, 2), ".").alias("package"))
+    e = current_entities(spark, d, "id").select("key", F.array_join(F.slice(F.split("key", r"\."), 1, 2), ".").alias("package"))
     return module_packages(e)
 
 
 @query(f"""WITH {ENT}, f AS (SELECT scope_key, name, arg_min(key, (first_seen_at, key)) AS key FROM ent WHERE name IS NOT NULL AND first_seen_at IS NOT NULL GROUP BY 1, 2) SELECT * FROM f""")
 def qualified_names(spark: SparkSession, d: str) -> DataFrame:
     """The first entity of every name of a scope."""
-    e = current_entities(spark, d).where(F.col("first_seen_at").isNotNull())
+    e = current_entities(spark, d, "scope_key", "name", "first_seen_at").where(F.col("first_seen_at").isNotNull())
     return first_by_name(e, ["scope_key"], "name", "key", "first_seen_at")
 
 
@@ -339,7 +339,7 @@ def call_types(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def directory_forest(spark: SparkSession, d: str) -> DataFrame:
     """The files of the entities as a forest of branching directories."""
-    return path_forest(current_entities(spark, d).select(F.col("source_location.file").alias("path")).distinct())
+    return path_forest(current_entities(spark, d, "source_location").select(F.col("source_location.file").alias("path")).distinct())
 
 
 @query()
@@ -348,6 +348,6 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
     from strataspark.operators.coverage import entity_scores
     from strataspark.operators.history import _c, file_risk
 
-    e = current_entities(spark, d)
+    e = current_entities(spark, d, "name", "scope_key", "source_location")
     risks = file_risk(_c(spark, d)).select("scope_key", "path", "risk_score")
     return cognitive_summary(["FlowLoader0", "SessionPlanner3", "NobodyKnows"], e, edges(spark, d), entity_scores(spark, d), risks)

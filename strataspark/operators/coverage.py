@@ -154,7 +154,7 @@ def _test_path(file: Column) -> Column:
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e = current_entities(spark, d).where(F.col("name").isNotNull() & F.col("scope_key").isNotNull() & F.col("source_location.file").isNotNull())
+    e = current_entities(spark, d, "name", "scope_key", "source_location", "members", "entity_type").where(F.col("name").isNotNull() & F.col("scope_key").isNotNull() & F.col("source_location.file").isNotNull())
     e = e.withColumn("file", F.col("source_location.file"))
     checks = e.where(F.col("name").rlike(_CHECK))
     rest = e.where(~F.col("name").rlike(_CHECK)).select("key", "scope_key", "file")

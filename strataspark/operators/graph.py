@@ -238,7 +238,7 @@ _SHARED = "commonlib.s"
 
 
 def _starts(spark: SparkSession, d: str) -> DataFrame:
-    return current_entities(spark, d).where(F.startswith("key", F.lit(_SHARED))).select("key")
+    return current_entities(spark, d, "id").where(F.startswith("key", F.lit(_SHARED))).select("key")
 
 
 @query(_walk("dst", "src", _SHARED, 3))
@@ -252,7 +252,7 @@ def dependents(spark: SparkSession, d: str) -> DataFrame:
     SELECT key, min(depth) AS depth FROM walk WHERE key NOT IN (SELECT key FROM starts) GROUP BY 1""")
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
     """What the entities of the auth packages depend on, up to 2 steps away."""
-    starts = current_entities(spark, d).where(F.contains("key", F.lit(".auth."))).select("key")
+    starts = current_entities(spark, d, "id").where(F.contains("key", F.lit(".auth."))).select("key")
     return reachable(edges(spark, d), starts, 2)
 
 
@@ -272,7 +272,7 @@ _SHARED_SQL = "starts AS (SELECT key FROM ent WHERE key IN (SELECT lower(trim(id
 def shared_starts(spark: SparkSession, d: str) -> DataFrame:
     """(key): the current entities whose plain id is one of shared_entities."""
     shared = table(spark, d, "shared_entities").select(plain("id").alias("key"))
-    return current_entities(spark, d).select("key").join(shared, "key", "left_semi")
+    return current_entities(spark, d, "id").select("key").join(shared, "key", "left_semi")
 
 
 @query(f"""WITH RECURSIVE {EDGE}, {_SHARED_SQL},
@@ -341,7 +341,7 @@ def high_coupling(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EDGE}, {_DEG} SELECT key FROM ent WHERE key NOT IN (SELECT key FROM deg)")
 def orphan_entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities without any edge."""
-    return current_entities(spark, d).select("key").join(degrees(edges(spark, d)).select("key"), "key", "left_anti")
+    return current_entities(spark, d, "id").select("key").join(degrees(edges(spark, d)).select("key"), "key", "left_anti")
 
 
 @query(f"WITH {EDGE}, {_DEG} SELECT key, in_degree::BIGINT AS in_degree FROM deg ORDER BY in_degree DESC, key LIMIT 10")
@@ -367,7 +367,7 @@ def dangling_relations(spark: SparkSession, d: str) -> DataFrame:
     """Relations with an end that no current entity stands for, and which."""
     from strataspark.sources.graph import resolver
 
-    ends = resolver(current_entities(spark, d)).select("end")
+    ends = resolver(current_entities(spark, d, "name")).select("end")
     a = ends.select(F.col("end").alias("source"), F.lit(True).alias("a"))
     b = ends.select(F.col("end").alias("target"), F.lit(True).alias("b"))
     r = relations(spark, d).join(a, "source", "left").join(b, "target", "left")

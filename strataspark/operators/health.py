@@ -196,7 +196,7 @@ def weighted_adjacency(spark: SparkSession, d: str) -> DataFrame:
 def adjacency_columns(spark: SparkSession, d: str) -> DataFrame:
     from strataspark.sources.tables import current_entities
 
-    s = column_statistics(adjacency(edges(spark, d)), current_entities(spark, d).count())
+    s = column_statistics(adjacency(edges(spark, d)), current_entities(spark, d, "id").count())
     return s.withColumns({c: F.round(c, 9) for c in ("mean", "sd")})
 
 
@@ -219,7 +219,7 @@ def adjacency_empty_rows(spark: SparkSession, d: str) -> DataFrame:
     """Entities whose row of the adjacency is empty."""
     from strataspark.sources.tables import current_entities
 
-    return current_entities(spark, d).select("key").join(edges(spark, d).select(F.col("src").alias("key")), "key", "left_anti")
+    return current_entities(spark, d, "id").select("key").join(edges(spark, d).select(F.col("src").alias("key")), "key", "left_anti")
 
 
 @query()
@@ -231,7 +231,7 @@ def projected_rows(spark: SparkSession, d: str) -> DataFrame:
     """
     from strataspark.sources.tables import current_entities
 
-    n = current_entities(spark, d).count()
+    n = current_entities(spark, d, "id").count()
     k = target_dimension(n)
     a = adjacency(edges(spark, d)).repartition(math.ceil((n + 1) * k / SUMS), "src")
     p = project(a, k)

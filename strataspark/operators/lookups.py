@@ -107,6 +107,8 @@ def under(entities: DataFrame, rels: DataFrame, prefix: str) -> tuple[DataFrame,
 
 PREFIX = FILE = "src/core/"
 _SHOWN = "key, name, entity_type"
+#: Columns of entities that the lookups filter by or show.
+SHOWN = ("name", "entity_type", "source_location", "is_abstract")
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -115,38 +117,38 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {ENT} SELECT {_SHOWN} FROM ent WHERE name = 'FlowLoader0'")
 def find_entity(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(by_name(current_entities(spark, d), "FlowLoader0"))
+    return _shown(by_name(current_entities(spark, d, *SHOWN), "FlowLoader0"))
 
 
 @query(f"WITH {ENT} SELECT {_SHOWN} FROM ent WHERE entity_type = 'abstract_class' OR (entity_type = 'class' AND is_abstract)")
 def find_abstract_classes(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(by_type(current_entities(spark, d), "abstract_class"))
+    return _shown(by_type(current_entities(spark, d, *SHOWN), "abstract_class"))
 
 
 @query(f"WITH {ENT} SELECT {_SHOWN} FROM ent WHERE entity_type = 'interface'")
 def find_interfaces(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(by_type(current_entities(spark, d), "interface"))
+    return _shown(by_type(current_entities(spark, d, *SHOWN), "interface"))
 
 
 @query(f"WITH {ENT} SELECT {_SHOWN} FROM ent WHERE list_contains(map_keys(attributes), 'deprecated')")
 def find_with_attribute(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(by_attributes(current_entities(spark, d), {"deprecated": None}))
+    return _shown(by_attributes(current_entities(spark, d, *SHOWN, "attributes"), {"deprecated": None}))
 
 
 @query(f"WITH {ENT} SELECT {_SHOWN} FROM ent WHERE list_contains(map_keys(attributes), 'team') AND attributes['exported'] = 'core' AND entity_type = 'class'")
 def find_by_type_and_attributes(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(by_attributes(current_entities(spark, d), {"team": None, "exported": "core"}, "class"))
+    return _shown(by_attributes(current_entities(spark, d, *SHOWN, "attributes"), {"team": None, "exported": "core"}, "class"))
 
 
 @query(f"WITH {ENT} SELECT {_SHOWN}, source_location.file AS file FROM ent WHERE source_location.file LIKE 'src/core/%'")
 def find_in_files(spark: SparkSession, d: str) -> DataFrame:
-    e = current_entities(spark, d).where(F.startswith(F.col("source_location.file"), F.lit(FILE)))
+    e = current_entities(spark, d, *SHOWN).where(F.startswith(F.col("source_location.file"), F.lit(FILE)))
     return narrow(e, "package")
 
 
 @query(f"WITH {ENT} SELECT {_SHOWN} FROM ent WHERE key = 'commonlib.core.sessionplanner3'")
 def find_by_id(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(current_entities(spark, d).where(F.col("key") == "commonlib.core.sessionplanner3"))
+    return _shown(current_entities(spark, d, *SHOWN).where(F.col("key") == "commonlib.core.sessionplanner3"))
 
 
 @query(f"""WITH {ENT} SELECT key, coalesce(len(list_filter(members, lambda m: m.type IN ('method', 'constructor'))), 0) AS methods,
@@ -162,7 +164,7 @@ def entity_summaries(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {ENT}, m AS (SELECT key, unnest(members) AS m FROM ent) SELECT key, m.name AS method, coalesce(m.return_type, 'void') AS return_type,
     coalesce(len(m.parameters), 0) AS parameters FROM m WHERE m.type = 'method'""")
 def method_list(spark: SparkSession, d: str) -> DataFrame:
-    m = current_entities(spark, d).select("key", F.explode("members").alias("m")).where(F.col("m.type") == "method")
+    m = current_entities(spark, d, "members").select("key", F.explode("members").alias("m")).where(F.col("m.type") == "method")
     return m.select(
         "key", F.col("m.name").alias("method"), F.coalesce("m.return_type", F.lit("void")).alias("return_type"),
         F.coalesce(F.when(F.col("m.parameters").isNotNull(), F.size("m.parameters")), F.lit(0)).cast("bigint").alias("parameters"),
@@ -174,7 +176,7 @@ def class_level_members(spark: SparkSession, d: str) -> DataFrame:
     """Members a class shows at class level: public ones and those without a visibility."""
     shown = F.filter("members", lambda m: m["visibility"].isNull() | (m["visibility"] == "public"))
     size = F.coalesce(F.when(F.col("members").isNotNull(), F.size(shown)), F.lit(0))
-    return current_entities(spark, d).select("key", size.cast("bigint").alias("public_members"))
+    return current_entities(spark, d, "members").select("key", size.cast("bigint").alias("public_members"))
 
 
 @query(f"""WITH {REL}, rest AS (SELECT source, target, rel_type FROM rel WHERE rel_type <> 'call') SELECT * FROM rest
@@ -194,7 +196,7 @@ _EXT = " OR ".join(f"regexp_matches(target, '{p}')" for p in EXTERNAL)
 
 @query(f"WITH {ENT}, {REL} SELECT id, source, target FROM rel WHERE NOT ({_EXT}) OR target IN (SELECT key FROM ent)")
 def project_relations(spark: SparkSession, d: str) -> DataFrame:
-    return without_external(relations(spark, d), current_entities(spark, d)).select("id", "source", "target")
+    return without_external(relations(spark, d), current_entities(spark, d, "id")).select("id", "source", "target")
 
 
 @query(f"""WITH {REL} SELECT id, source, target FROM rel WHERE NOT (starts_with(source, 'experiments/') OR contains(source, '/experiments/')
@@ -224,9 +226,9 @@ def subtypes(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("src").alias("key"), F.col("dst").alias("supertype"), "rel_type").distinct()
 
 
-@query(f"""WITH {EDGE} SELECT DISTINCT src AS key FROM edge JOIN ent ON ent.key = dst WHERE rel_type = 'implementation' AND name = 'PackageRunner19'""")
+@query(f"""WITH {EDGE} SELECT DISTINCT src AS key FROM edge JOIN ent ON ent.key = dst WHERE rel_type = 'implementation' AND name = 'SessionPlanner3'""")
 def find_implementers(spark: SparkSession, d: str) -> DataFrame:
-    named = by_name(current_entities(spark, d), "PackageRunner19").select(F.col("key").alias("dst"))
+    named = by_name(current_entities(spark, d, "name"), "SessionPlanner3").select(F.col("key").alias("dst"))
     e = edges(spark, d).where(F.col("rel_type") == "implementation")
     return e.join(named, "dst", "left_semi").select(F.col("src").alias("key")).distinct()
 

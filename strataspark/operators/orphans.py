@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.operators.skew import heavy_keys, split_join, union_all
+from strataspark.operators.skew import hashed, heavy_keys, split_join, union_all
 
 
 def _alive(spans: Column, at: Column) -> Column:
@@ -56,7 +56,7 @@ def orphans(
     `on` pairs a column of the references with one of the parents. With `at`
     and `valid` a parent counts only in its lifetime [valid[0], valid[1]); a
     reference with a null time has no parent. `sample` is a sample of the
-    references (default: 1 in 20 of them): keys with at least `share` of it are
+    references (default: 1 in 20 of those of a mask): keys with at least `share` of it are
     joined by broadcast, so that a key that holds a third of all references
     costs no single task. Repeated references stay repeated; empty parents make
     all references orphans, empty references none.
@@ -84,10 +84,8 @@ def orphans(
         life = lifetimes(parents, [p for _, p in kept], *(valid or (None, None)))
         keyed = group.withColumn("__key", _packed(keys))
         alive = (lambda a, b: _alive(b["spans"], a[at])) if at else None
-        heavy = []
-        if len(on) == 1:
-            part = (refs.sample(0.05, 7) if sample is None else sample).select(F.col(keys[0]).alias("__key"))
-            heavy = heavy_keys(part, "__key", share)
+        part = group.sample(0.05, 7) if sample is None else sample
+        heavy = heavy_keys(part.select(_packed(keys).alias("__key")).select(hashed("__key").alias("__h")), "__h", share)
         out.append(split_join(keyed, life, "__key", heavy, "left_anti", alive).drop("__key"))
     return union_all(out)
 

@@ -311,7 +311,7 @@ PS = f"""ps AS (SELECT scope_key, array_to_string(string_split({_DIR}, '/')[1:2]
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return file_stats(current_entities(spark, d), edges(spark, d))
+    return file_stats(current_entities(spark, d, "scope_key", "source_location", "members"), edges(spark, d))
 
 
 @query(f"WITH {FS} SELECT * FROM fs")
@@ -344,7 +344,7 @@ _FIELDS = "coalesce(len(list_filter(members, lambda m: m.type IN ('property', 'f
       sum(fields)::BIGINT AS fields, sum(loc)::BIGINT AS loc FROM e GROUP BY 1, 2""")
 def rollup_dotted_packages(spark: SparkSession, d: str) -> DataFrame:
     """Packages by the dots of the ids."""
-    return dotted_package_stats(current_entities(spark, d))
+    return dotted_package_stats(current_entities(spark, d, "scope_key", "source_location", "members"))
 
 
 @query(f"""WITH {ENT} SELECT scope_key, {_DIR.replace('file', 'source_location.file')} AS module, count(DISTINCT source_location.file) AS files,
@@ -352,7 +352,7 @@ def rollup_dotted_packages(spark: SparkSession, d: str) -> DataFrame:
       {', '.join(f"count(*) FILTER (WHERE entity_type = '{k}') AS {n}" for k, n in KINDS.items())} FROM ent WHERE source_location.file IS NOT NULL GROUP BY 1, 2""")
 def rollup_modules(spark: SparkSession, d: str) -> DataFrame:
     """Directories as modules, with their entities by kind."""
-    return module_stats(current_entities(spark, d))
+    return module_stats(current_entities(spark, d, "scope_key", "source_location", "members", "entity_type"))
 
 
 _GINI_OF = lambda of, v: f"SELECT scope_key, round({_GINI.format(v=v)}, 6) AS gini_{of} FROM (SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY {v}) AS r FROM {'fs' if of == 'in_degree' else 'ps'}) GROUP BY 1"
@@ -369,7 +369,7 @@ _GINI_OF = lambda of, v: f"SELECT scope_key, round({_GINI.format(v=v)}, 6) AS gi
       LEFT JOIN gi USING (scope_key) LEFT JOIN gp USING (scope_key) LEFT JOIN r USING (scope_key) LEFT JOIN c USING (scope_key) LEFT JOIN v USING (scope_key)""")
 def metric_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The metric vector of every scope."""
-    e, es = current_entities(spark, d), edges(spark, d)
+    e, es = current_entities(spark, d, "scope_key", "source_location", "members"), edges(spark, d)
     f = file_stats(e, es).where(F.col("scope_key").isNotNull())
     own = e.select("key", "scope_key")
     covered = own.join(coverage.entity_scores(spark, d), "key", "left")
@@ -379,7 +379,7 @@ def metric_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT scope_key, source_location.file AS file, count(DISTINCT component) AS cycles FROM cyc JOIN ent USING (key) WHERE source_location.file IS NOT NULL GROUP BY 1, 2""")
 def rollup_file_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Cycles that touch a file."""
-    return file_cycles(current_entities(spark, d), components(edges(spark, d)))
+    return file_cycles(current_entities(spark, d, "scope_key", "source_location"), components(edges(spark, d)))
 
 
 @query(f"""WITH {TREE}, {FS}, n AS (SELECT DISTINCT raw_id, path, json_extract_string(n, '$.id') AS id, json_extract_string(n, '$.type') AS node_type, json_extract_string(n, '$.fileCount')::BIGINT AS file_count FROM package_node),
@@ -399,7 +399,7 @@ PD = f"""{EDGE}, pe AS (SELECT {_DP.format('src')} AS source, {_DP.format('dst')
 
 @query(f"WITH {PD} SELECT * FROM pd")
 def rollup_package_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    return package_dependencies(current_entities(spark, d), edges(spark, d))
+    return package_dependencies(current_entities(spark, d, "id"), edges(spark, d))
 
 
 @query(f"""WITH {PD}, nodes AS (SELECT DISTINCT {_DP.format('key')} AS key FROM ent), c AS (SELECT source, target FROM pe WHERE source <> target)
@@ -409,13 +409,13 @@ def rollup_package_fan(spark: SparkSession, d: str) -> DataFrame:
     """Edges between packages, in and out, of every package."""
     p = lambda c: dotted_package(F.col(c), 2)
     pairs = edges(spark, d).select(p("src").alias("source"), p("dst").alias("target")).where(F.col("source") != F.col("target"))
-    return fan(pairs, current_entities(spark, d).select(p("key").alias("key")).distinct())
+    return fan(pairs, current_entities(spark, d, "id").select(p("key").alias("key")).distinct())
 
 
 @query(f"""WITH {PD}, u AS (SELECT DISTINCT source, target FROM pd) SELECT target AS key, count(*) AS fan_in FROM u GROUP BY 1 ORDER BY fan_in DESC, key LIMIT 5""")
 def influential_packages(spark: SparkSession, d: str) -> DataFrame:
     """The 5 packages most packages depend on."""
-    u = package_dependencies(current_entities(spark, d), edges(spark, d)).select("source", "target").distinct()
+    u = package_dependencies(current_entities(spark, d, "id"), edges(spark, d)).select("source", "target").distinct()
     return u.groupBy(F.col("target").alias("key")).agg(F.count(F.lit(1)).alias("fan_in")).orderBy(F.desc("fan_in"), "key").limit(5)
 
 
@@ -424,7 +424,7 @@ def influential_packages(spark: SparkSession, d: str) -> DataFrame:
 def rollup_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """Entities under every dotted prefix; nested packages count in all above."""
     parts = F.split("key", r"\.")
-    e = current_entities(spark, d).select("key", parts.alias("p")).where(F.size("p") > 1)
+    e = current_entities(spark, d, "id").select("key", parts.alias("p")).where(F.size("p") > 1)
     e = e.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.array_join(F.slice("p", 1, k), "."))).alias("package"))
     return e.groupBy("package").agg(F.count(F.lit(1)).alias("entities"))
 
@@ -438,7 +438,7 @@ def rollup_prefixes(spark: SparkSession, d: str) -> DataFrame:
     SELECT source, target, strength, CASE WHEN lo = hi THEN 1.0::DOUBLE WHEN strength >= top THEN 5.0 WHEN strength > mid THEN 3.0 ELSE 1.0 END AS tier FROM z""")
 def package_edge_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Package dependencies with the tier of their strength within the scope."""
-    g = package_dependencies(current_entities(spark, d), edges(spark, d)).groupBy("source", "target").agg(F.sum("n").alias("strength"))
+    g = package_dependencies(current_entities(spark, d, "id"), edges(spark, d)).groupBy("source", "target").agg(F.sum("n").alias("strength"))
     return tiers(g.withColumn("scope", F.substring_index("source", ".", 1)), ["scope"]).drop("scope")
 
 
@@ -449,7 +449,7 @@ _LAYERS = {"src": "source", "src/core": "kernel", "lib": "library", "src/api": "
     WHEN source_location.file LIKE 'src/%' THEN 'source' WHEN source_location.file LIKE 'lib/%' THEN 'library' END AS layer FROM ent""")
 def entity_layers(spark: SparkSession, d: str) -> DataFrame:
     """The layer of every entity by the longest prefix of its file."""
-    e = current_entities(spark, d).select("key", F.col("source_location.file").alias("file"))
+    e = current_entities(spark, d, "source_location").select("key", F.col("source_location.file").alias("file"))
     return longest_prefix(e, _LAYERS, "file").select("key", "layer")
 
 
@@ -566,7 +566,7 @@ def package_trend(history: DataFrame, package: str) -> DataFrame:
     SELECT n.package, (SELECT arg_max(prefix, length(prefix)) FROM nu WHERE nu.package = n.package AND prefix IN (SELECT package FROM n)) AS parent, virtual FROM n""")
 def directory_tree(spark: SparkSession, d: str) -> DataFrame:
     """The directories of the entities as a tree."""
-    f = current_entities(spark, d).where(F.contains("source_location.file", F.lit("/"))).select(dirname(F.col("source_location.file")).alias("package"))
+    f = current_entities(spark, d, "source_location").where(F.contains("source_location.file", F.lit("/"))).select(dirname(F.col("source_location.file")).alias("package"))
     return package_tree(f)
 
 
@@ -576,7 +576,7 @@ def directory_tree(spark: SparkSession, d: str) -> DataFrame:
     FROM v LEFT JOIN e USING (scope_key) LEFT JOIN l USING (scope_key)""")
 def scope_connectivity(spark: SparkSession, d: str) -> DataFrame:
     """Vertices, edges, isolated vertices and density of every scope."""
-    return connectivity(edges(spark, d), current_entities(spark, d).select("key", "scope_key"))
+    return connectivity(edges(spark, d), current_entities(spark, d, "scope_key").select("key", "scope_key"))
 
 
 @query(f"""WITH {EDGE}, l AS (SELECT key, CASE WHEN source_location.file LIKE 'src/core/%' THEN 'kernel' WHEN source_location.file LIKE 'src/api/%' THEN 'surface' WHEN source_location.file LIKE 'src/%' THEN 'source'
@@ -584,7 +584,7 @@ def scope_connectivity(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.layer AS source, b.layer AS target, count(*) AS n FROM edge JOIN l a ON a.key = src JOIN l b ON b.key = dst WHERE a.layer <> b.layer GROUP BY 1, 2""")
 def layer_dependencies(spark: SparkSession, d: str) -> DataFrame:
     """Edges between different layers."""
-    e = longest_prefix(current_entities(spark, d).select("key", F.col("source_location.file").alias("file")), _LAYERS, "file").where(F.col("layer").isNotNull())
+    e = longest_prefix(current_entities(spark, d, "source_location").select("key", F.col("source_location.file").alias("file")), _LAYERS, "file").where(F.col("layer").isNotNull())
     a, b = e.select(F.col("key").alias("src"), F.col("layer").alias("source")), e.select(F.col("key").alias("dst"), F.col("layer").alias("target"))
     j = edges(spark, d).select("src", "dst").join(a, "src").join(b, "dst").where(F.col("source") != F.col("target"))
     return j.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))

@@ -12,9 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows a sample should have at least; below, all rows are counted.
-SAMPLE_ROWS = 200_000
-
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.01, fraction: float = 1.0, seed: int = 7) -> list:
     """Keys that hold at least `share` of the rows of a sample of `fraction`.
@@ -33,6 +30,11 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01, fraction: float = 1
     return [r[0] for r in top if r[1] >= share * total]
 
 
+def hashed(key: str) -> Column:
+    """What a key of any type is known by where it is only decided which way it goes."""
+    return F.xxhash64(key)
+
+
 def is_heavy(col: Column, keys: list) -> Column:
     """Membership in a bounded list of keys; null counts as light."""
     return F.coalesce(col.isin(keys), F.lit(False)) if keys else F.lit(False)
@@ -42,9 +44,11 @@ def split_join(left: DataFrame, right: DataFrame, key: str, heavy: list, how: st
     """Join of `left` with `right`, which has one row per key at most.
 
     Rows of heavy keys meet a broadcast of the right rows of those keys (no
-    more rows than `heavy` has keys); all others go through an ordinary
-    shuffle. `condition(left, right)` adds a predicate beside the equality.
-    A null key matches nothing.
+    more rows than `heavy` has keys, but for equal hashes); all others go
+    through an ordinary shuffle. `heavy` holds the 64-bit hashes of the keys
+    (`hashed`), so that keys of several columns are split alike.
+    `condition(left, right)` adds a predicate beside the equality. A null key
+    matches nothing.
     """
 
     def one(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -56,9 +60,9 @@ def split_join(left: DataFrame, right: DataFrame, key: str, heavy: list, how: st
 
     if not heavy:
         return one(left, right)
-    mine = is_heavy(F.col(key), heavy)
-    hot = one(left.where(mine), F.broadcast(right.where(is_heavy(F.col(key), heavy))))
-    return hot.unionByName(one(left.where(~mine), right.where(~is_heavy(F.col(key), heavy))))
+    mine = is_heavy(hashed(key), heavy)
+    hot = one(left.where(mine), F.broadcast(right.where(mine)))
+    return hot.unionByName(one(left.where(~mine), right.where(~mine)))
 
 
 def count_distinct_by(df: DataFrame, key: str, item: str, heavy: list) -> DataFrame:

@@ -37,7 +37,7 @@ def resolver(entities: DataFrame) -> DataFrame:
 
 def edges(spark: SparkSession, root: str) -> DataFrame:
     """Relations whose ends both resolve, as (id, src, dst, rel_type, ...). Targets are uneven: adaptive execution splits the join."""
-    ends = resolver(current_entities(spark, root))
+    ends = resolver(current_entities(spark, root, "name"))
     r = relations(spark, root)
     a = ends.select(F.col("end").alias("source"), F.col("key").alias("src"))
     b = ends.select(F.col("end").alias("target"), F.col("key").alias("dst"))

@@ -61,22 +61,49 @@ def read_series(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def prune(series: DataFrame, keys: list[str], at: str, keep: int = KEEP) -> DataFrame:
-    """The newest `keep` rows of every group; rows without a time are the oldest."""
+    """The newest `keep` rows of every group; rows without a time are the oldest, of equal times the hash of the whole row decides."""
+    ends = [F.desc_nulls_last(at), F.xxhash64(*series.columns), *(F.col(c) for c, t in series.dtypes if not t.startswith("map"))]
     if not keys:
-        return series.orderBy(F.desc_nulls_last(at)).limit(keep)
-    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(at))
+        return series.orderBy(*ends).limit(keep)
+    order = Window.partitionBy(*keys).orderBy(*ends)
     return series.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= keep).drop("__r")
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replace a table that `df` may have been read from: written beside it first, then moved into place."""
+    """Replace a table that `df` may have been read from.
+
+    The new one is written beside it; the old one is moved aside, the new one
+    into place, and only then the old one is deleted. At any moment at least
+    one of both is whole: after a crash `recover_table` puts it back.
+    """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(aside)
+    path = path.rstrip("/")
+    recover_table(spark, path)
+    new, old = f"{path}.{uuid.uuid4().hex}", f"{path}{_OLD}"
+    df.write.parquet(new)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hadoop(path)) and not fs.rename(hadoop(path), hadoop(old)):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(hadoop(new), hadoop(path)):
+        fs.rename(hadoop(old), hadoop(path))
+        raise OSError(f"cannot move the new table to {path}")
+    fs.delete(hadoop(old), True)
+
+
+_OLD = ".replaced"
+
+
+def recover_table(spark: SparkSession, path: str) -> None:
+    """Finish or undo a replacement that was cut short: the old table returns if no new one is in its place, else it goes."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    fs.rename(hadoop(aside), hadoop(path))
+    old = hadoop(path.rstrip("/") + _OLD)
+    if fs.exists(old):
+        if fs.exists(hadoop(path)):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, hadoop(path))
 
 
 def content_key(df: DataFrame, *columns: str) -> DataFrame:

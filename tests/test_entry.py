@@ -9,7 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 
-CHEAP = [n for n in entry.oracle_sql() if not n.startswith(("entities_in_cycles", "package_cycles", "history_", "p4_flat"))]
+#: Queries for which the smallest data hold nothing; other tests have fixtures for them.
+EMPTY = {"p4_flat_capability_node", "layer_capabilities", "implicit_interfaces", "literal_comparisons", "literal_dispersion"}
 
 
 def plain(v):
@@ -37,11 +38,18 @@ def test_flagship(spark):
     assert entry.entry(spark).columns == ["entity_id", "dependents"]
 
 
-@pytest.mark.parametrize("name", CHEAP)
+@pytest.mark.parametrize("name", entry.oracle_sql())
 def test_equals_sql(spark, duck, data, name):
     df = entry.queries()[name](spark, data)
     rel = duck.sql(entry.oracle_sql()[name])
     cols = sorted(df.columns)
     assert cols == sorted(rel.columns)
     at = [rel.columns.index(c) for c in cols]
-    assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+    got = sorted(tuple(plain(r[c]) for c in cols) for r in df.collect())
+    assert got == sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+    assert got or name in EMPTY
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+def test_runs(spark, data, name):
+    assert entry.queries()[name](spark, data).collect() or name in EMPTY

@@ -21,6 +21,15 @@ def test_match_semantics_of_partly_null_keys(spark):
         orphans(refs, parents, on, "loose")
 
 
+def test_heavy_composite_keys_are_broadcast(spark):
+    refs = [(i, "hot", "x" if i % 2 else "gone") for i in range(400)] + [(1000 + i, f"p{i}", f"q{i}") for i in range(40)] + [(2000, "hot", None), (2001, None, "x")]
+    parents = spark.createDataFrame([("hot", "x"), *((f"p{i}", f"q{i}") for i in range(0, 40, 2))], "pp string, pq string")
+    df = spark.createDataFrame(refs, "id int, p string, q string")
+    found = orphans(df, parents, [("p", "pp"), ("q", "pq")], sample=df, share=0.2)
+    assert sorted(r.id for r in found.collect()) == [*range(0, 400, 2), *range(1001, 1040, 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("broadcast") >= 2
+
+
 def test_lifetimes_and_null_times(spark):
     refs = spark.createDataFrame([(i, "a", t) for i, t in enumerate([day(1), day(2), day(4), day(5), day(9), None])] + [(9, "gone", day(3))], "id int, key string, t timestamp")
     parents = spark.createDataFrame([("a", day(2), day(4)), ("a", day(5), None), ("a", day(2), day(4)), (None, day(1), None)], "key string, since timestamp, until timestamp")

@@ -45,6 +45,47 @@ def test_replace_and_partition(spark, tmp_path):
     assert len({r.content_hash for r in h}) == 2
 
 
+def test_replacement_cut_short_is_recovered(spark, tmp_path):
+    path, old = tmp_path / "t", tmp_path / "t.replaced"
+    df = lambda v: spark.createDataFrame([(v,)], "v int")
+    df(1).write.parquet(str(old))  # moved aside, the new one not yet in place
+    scopes.recover_table(spark, str(path))
+    assert [r.v for r in spark.read.parquet(str(path)).collect()] == [1] and not old.exists()
+    df(0).write.parquet(str(old))  # in place, the old one not yet deleted
+    scopes.recover_table(spark, str(path))
+    assert [r.v for r in spark.read.parquet(str(path)).collect()] == [1] and not old.exists()
+    scopes.replace_table(df(2), str(path))
+    assert [r.v for r in spark.read.parquet(str(path)).collect()] == [2] and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_pruning_ends_ties(spark):
+    rows = [("s", "d", v) for v in range(20)]
+    kept = [sorted(r.v for r in scopes.prune(spark.createDataFrame(rows[::step], "scope string, day string, v int").repartition(n), ["scope"], "day", 3).collect()) for step, n in ((1, 1), (-1, 7))]
+    assert kept[0] == kept[1]
+
+
+def test_clusters_need_a_shared_checkpoint_folder(monkeypatch):
+    from types import SimpleNamespace as N
+
+    from strataspark.plans.storage import ensure_checkpoint_dir
+
+    def session(master, folder=None):
+        said = []
+        jsc = N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False)))
+        sc = N(_jsc=jsc, master=master, getConf=lambda: N(get=lambda k, d: folder), setCheckpointDir=said.append)
+        return N(sparkContext=sc), said
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(session(master)[0])
+        s, said = session(master, "hdfs:/shared")
+        ensure_checkpoint_dir(s)
+        assert said == ["hdfs:/shared"]
+    s, said = session("local[4]")
+    ensure_checkpoint_dir(s)
+    assert len(said) == 1
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.py").write_text("one")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from strataspark.operators.skew import count_distinct_by, heavy_keys, split_join
+from strataspark.operators.skew import count_distinct_by, hashed, heavy_keys, split_join
 
 
 def pairs(spark, rows):
@@ -30,7 +30,9 @@ def test_distinct_counts_equal_brute_force(spark):
 def test_split_join_equals_plain_join(spark):
     left = pairs(spark, [("hot", str(i), i) for i in range(20)] + [("a", "1", 1), ("b", "2", 2), (None, "3", 3)])
     right = spark.createDataFrame([("hot", 7), ("a", 1)], "k string, m int")
-    anti = split_join(left, right, "k", ["hot"], "left_anti")
+    heavy = [r[0] for r in right.where("k = 'hot'").select(hashed("k")).collect()]
+    assert len(heavy) == 1
+    anti = split_join(left, right, "k", heavy, "left_anti")
     assert sorted(r.v for r in anti.collect()) == ["2", "3"]
-    limited = split_join(left, right, "k", ["hot"], "left_anti", lambda a, b: a["n"] < b["m"])
+    limited = split_join(left, right, "k", heavy, "left_anti", lambda a, b: a["n"] < b["m"])
     assert limited.where(F.col("k") == "hot").count() == 13
