@@ -15,6 +15,7 @@ MODULES = [
     "strataspark.operators.health",
     "strataspark.functions.mining",
     "strataspark.operators.assembly",
+    "strataspark.operators.mapping",
 ]
 
 
