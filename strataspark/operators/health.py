@@ -49,8 +49,10 @@ def column_statistics(a: DataFrame, vertices: int) -> DataFrame:
     return a.groupBy("dst").agg(mean.alias("mean"), F.sqrt(var).alias("sd"))
 
 
-#: Sums of a row and a direction that one task of a projection holds (some 100 MB).
-SUMS = 1_000_000
+#: Directions of random signs that are made at once for the columns of a batch (some 30 MB).
+SIGNS = 1 << 22
+#: Parts over which a row with many entries is summed up.
+ROW_PARTS = 64
 
 
 def target_dimension(n: int, epsilon: float = 0.3) -> int:
@@ -58,17 +60,64 @@ def target_dimension(n: int, epsilon: float = 0.3) -> int:
     return math.ceil(4 * math.log(n) / epsilon**2) if n > 1 else 1
 
 
+def _signs(columns: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The k entries of every column, given by its hash: +1, -1 and 0 (1/6, 1/6, 4/6), from a mixing of hash, direction and seed."""
+    x = columns.view(np.uint64)[:, None] + (np.arange(k, dtype=np.uint64) + np.uint64(seed * 0x1F123BB5))[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    r = (x ^ x >> np.uint64(31)) % np.uint64(6)
+    return (r == 0).astype(np.float64) - (r == 1)
+
+
 def project(a: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """(src, dim, x): rows of the sparse matrix on k random directions of entries +-1 and 0 (1/6, 1/6, 4/6), scaled to keep lengths.
+    """(src, x ARRAY<DOUBLE>): rows of the sparse matrix (src, dst, w) on k random directions of entries +-1 and 0, scaled to keep lengths.
 
     A direction's entry is the hash of the column, the dimension and the seed:
-    no random matrix is stored or sent.
+    no random matrix is stored or sent. Entries are shuffled once, by row, and
+    a row's k sums are made where its entries lie, one column's signs at a
+    time; rows with many entries are summed up in parts.
     """
-    dims = a.select("src", "dst", "w", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("dim"))
-    h = F.pmod(F.xxhash64("dst", "dim", F.lit(seed)), F.lit(6))
-    sign = F.when(h == 0, 1.0).when(h == 1, -1.0)
-    hit = dims.withColumn("sign", sign).where(F.col("sign").isNotNull())
-    return hit.groupBy("src", "dim").agg((F.sum(F.col("w") * F.col("sign")) * math.sqrt(3.0 / k)).alias("x"))
+    from strataspark.operators.skew import heavy_keys, is_heavy
+
+    scale = math.sqrt(3.0 / k)
+    many = heavy_keys(a.select("src"), "src", 0.005, 0.05)
+    part = F.when(is_heavy(F.col("src"), many), F.pmod(F.xxhash64("dst"), F.lit(ROW_PARTS))).otherwise(F.lit(0))
+    kind = dict(a.dtypes)["src"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, total = None, None  # the row that the next batch may go on with
+        for b in batches:
+            if not len(b):
+                continue
+            names, at = [], []
+            step = max(1, SIGNS // k)
+            done: list[np.ndarray] = []
+            for lo in range(0, len(b), step):
+                some = b.iloc[lo : lo + step]
+                sums = _signs(some["h"].to_numpy(np.int64), k, seed) * some["w"].to_numpy(float)[:, None]
+                src = some["src"].to_numpy()
+                at = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
+                for name, x in zip(src[at], np.add.reduceat(sums, at)):
+                    if held is not None and name == held:
+                        total += x
+                        continue
+                    if held is not None:
+                        names.append(held)
+                        done.append(total * scale)
+                    held, total = name, x
+            if names:
+                yield pd.DataFrame({"src": names, "x": done})
+        if held is not None:
+            yield pd.DataFrame({"src": [held], "x": [total * scale]})
+
+    rows = a.where(F.col("src").isNotNull()).select("src", F.xxhash64("dst").alias("h"), F.col("w").cast("double").alias("w"), part.alias("__p"))
+    made = rows.repartition("src", "__p").sortWithinPartitions("src", "__p").select("src", "h", "w").mapInPandas(fold, f"src {kind}, x array<double>")
+    if not many:
+        return made
+    mine = is_heavy(F.col("src"), many)
+    cells = made.where(mine).select("src", F.posexplode("x").alias("i", "v")).groupBy("src", "i").agg(F.sum("v").alias("v"))
+    whole = cells.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("x"))
+    return made.where(~mine).unionByName(whole)
 
 
 def _moments(column: str):
@@ -224,20 +273,14 @@ def adjacency_empty_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def projected_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the adjacency on as many random directions as their number of entities asks for, and how far the projection keeps their squared lengths.
-
-    All of a row lies in one partition, so its directions are summed up where
-    they are made and only the adjacency is shuffled.
-    """
+    """Rows of the adjacency on as many random directions as their number of entities asks for, and how far the projection keeps their squared lengths."""
     from strataspark.sources.tables import current_entities
 
-    n = current_entities(spark, d, "id").count()
-    k = target_dimension(n)
-    a = adjacency(edges(spark, d)).repartition(math.ceil((n + 1) * k / SUMS), "src")
-    p = project(a, k)
-    kept = p.groupBy("src").agg(F.sum(F.col("x") * F.col("x")).alias("projected"))
+    k = target_dimension(current_entities(spark, d, "id").count())
+    a = adjacency(edges(spark, d))
+    p = project(a, k).select("src", F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x).alias("projected"))
     true = a.groupBy("src").agg(F.sum(F.col("w") * F.col("w")).alias("length"))
-    return true.join(kept, "src", "left").select("src", "length", F.coalesce("projected", F.lit(0.0)).alias("projected"))
+    return true.join(p, "src").select("src", "length", "projected")
 
 
 @query()

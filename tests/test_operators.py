@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,8 +240,24 @@ def test_health(spark):
 
 def test_projection_keeps_lengths(spark):
     a = spark.range(40).select(F.lit("v").alias("src"), F.col("id").cast("string").alias("dst"), F.lit(1.0).alias("w"))
-    length = health.project(a, 400).agg(F.sum(F.col("x") * F.col("x"))).collect()[0][0]
-    assert length == pytest.approx(40, rel=0.3)
+    x = health.project(a, 400).collect()[0].x
+    assert len(x) == 400 and sum(v * v for v in x) == pytest.approx(40, rel=0.3)
+
+
+def test_projection_equals_a_product_of_matrices(spark):
+    rows = [("hot", f"c{i}", 1.0 + i % 3) for i in range(4000)] + [(f"r{i % 50}", f"c{i}", 2.0) for i in range(500)] + [("last", "c1", -1.0)]
+    a = spark.createDataFrame(rows, "src string, dst string, w double").repartition(5)
+    k = 30
+    h = {r.dst: r.h for r in a.select("dst", F.xxhash64("dst").alias("h")).distinct().collect()}
+    signs = health._signs(np.array(list(h.values()), np.int64), k, 1)
+    assert 0.3 < (signs != 0).mean() < 0.37 and abs(signs.mean()) < 0.02
+    of = dict(zip(h, signs))
+    want = {}
+    for src, dst, w in rows:
+        want[src] = want.get(src, 0) + w * of[dst]
+    got = {r.src: r.x for r in health.project(a, k).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[s], want[s] * math.sqrt(3 / k)) for s in want)
+    assert health.project(a.limit(0), k).count() == 0
 
 
 def test_dimension_and_clusters(spark):
