@@ -160,6 +160,7 @@ _OPEN = re.compile(r"active content", re.I)
 _PATH = re.compile(r"(?<![\w<])/[\w./-]+|\b\w+/\d[\d.]*|\b(?:https?://|www\.)\S+|\b(?:[A-Za-z\d-]+\.)+[a-z]{2,}\b(?!\()")
 #: A line of a stack trace.
 _FRAME = re.compile(r"^at \S+ \(?\S+:\d+(?::\d+)?\)?$|^File \"[^\"]+\", line \d+", re.I)
+_FIRST = re.compile(r"[^\W\d_]+")
 _FRAMES = re.compile(r"^\s*(?:at \S+ \(?\S+:\d|File \")", re.I | re.M)
 _BAR = re.compile(r"\s*[|·•]\s*")
 
@@ -270,7 +271,10 @@ def _stand_in(w: str) -> bool:
 
 
 def typed_runs(line: str) -> str:
-    """A line that is nothing but made-up Latin, or stand-in words over and over, as the type of that."""
+    """A line that is nothing but made-up Latin, or stand-in words over and over, as the type of that. Its first word must be one already."""
+    first = _FIRST.search(line)
+    if first is None or not _LATIN.match(low := first[0].lower()) and not _stand_in(low):
+        return line
     ws = [w.lower() for w in re.findall(r"[^\W_]+", line)]
     letters = [w for w in ws if not w.isdigit()]
     if len(ws) < RUN or not letters:
@@ -480,7 +484,7 @@ def verdict(text: str | None, index: Index) -> tuple[str | None, float]:
     text, html = _unfenced(text)
     for raw in text.splitlines():
         alive = rest <= allowed
-        if not (alive or runs or slots and _TRIGGER.search(raw) or telling and not index.anchors.isdisjoint(terms(raw if raw.isascii() else unicodedata.normalize("NFKC", raw)))):
+        if not (alive or runs and (html or typed_runs(raw) is not raw) or slots and _TRIGGER.search(raw) or telling and not index.anchors.isdisjoint(terms(raw if raw.isascii() else unicodedata.normalize("NFKC", raw)))):
             continue
         line, shown = _line(raw, html)
         if not line:
