@@ -107,12 +107,11 @@ def blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """(left, right): the numbers of every basket to be paired; an empty `right` stands for the pairs within `left`."""
     none = F.array().cast("array<bigint>")
     lists = lambda rows: rows.groupBy(*BASKET).agg(F.collect_list("no").alias("left")).select("left", none.alias("right"))
-    wide = cut(members.groupBy(*BASKET).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block))
-    number = wide.count()
-    if not number:
+    wide = members.groupBy(*BASKET).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
+    if wide.isEmpty():
         return lists(members)
-    wide = wide.withColumn("parts", F.ceil(F.col("k") / block))
-    if number <= WIDE:
+    wide = cut(wide.withColumn("parts", F.ceil(F.col("k") / block)))
+    if wide.count() <= WIDE:
         wide = F.broadcast(wide)
     narrow = lists(members.join(wide, BASKET, "left_anti"))
     split = members.join(wide, BASKET).withColumn("p", F.pmod(F.xxhash64("no"), F.col("parts")))

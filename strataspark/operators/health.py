@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataspark.plans.registry import register
+from strataspark.plans.storage import cut
 from strataspark.sources.graph import EDGE, edges
 from strataspark.sources.tables import table
 
@@ -293,6 +294,15 @@ def embedding_dimension(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cluster_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """Agreement of the modules of all scopes, by their names, with clusters of the entities' projected rows."""
+    from strataspark.sources.tables import current_entities
+
+    packages = current_entities(spark, d, "id").select("key", F.split("key", r"\.")[1].alias("package")).where(F.col("package").isNotNull())
+    return boundary_report(cut(adjacency(edges(spark, d))), packages, search=False)["scores"]
+
+
+@query()
+def embedding_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Agreement of the embeddings' labels with clusters."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").alias("package"))
     return boundary(clusters(e, "embedding", 10))
@@ -340,13 +350,50 @@ def boundary_score_of_all(spark: SparkSession, d: str) -> DataFrame:
 # --- choosing clusters, what clusters say, and gates ---------------------------
 
 
-def silhouette(assigned: DataFrame, column: str, cluster: str = "cluster") -> float:
-    """The mean silhouette by squared Euclidean distance, from the clusters' moments and without pairs of points; needs two clusters."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
+#: Points up to which a silhouette is exact, and as many are drawn of more (fixed value).
+SILHOUETTE = 2000
+
+
+def silhouette(assigned: DataFrame, column: str, cluster: str = "cluster", sample: int = SILHOUETTE, seed: int = 42) -> float:
+    """The mean silhouette by Euclidean distance: of all points if there are at most `sample`, else of as many drawn ones, each against all points.
+
+    The drawn points are bounded and go to all workers; every batch adds up
+    its distances to them per cluster. A point alone in its cluster counts 0.
+    """
+    rows = assigned.where(F.col(column).isNotNull() & F.col(cluster).isNotNull()).select(F.col(cluster).cast("int").alias("c"), F.col(column).cast("array<double>").alias("x"))
+    drawn = rows.orderBy(F.xxhash64("x", "c", F.lit(seed))).limit(sample).collect()
+    if not drawn:
+        return 0.0
+    own = np.array([r.c for r in drawn])
+    shared = assigned.sparkSession.sparkContext.broadcast(np.array([r.x for r in drawn]))
 
-    v = assigned.withColumn("__v", array_to_vector(F.col(column).cast("array<double>")))
-    return ClusteringEvaluator(featuresCol="__v", predictionCol=cluster).evaluate(v)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points, sums, counts = shared.value, {}, {}
+        square = (points * points).sum(1)[:, None]
+        for b in batches:
+            for c, part in b.groupby("c")["x"]:
+                for lo in range(0, len(part), 1000):
+                    x = np.stack(part.iloc[lo : lo + 1000].to_numpy()).astype(float)
+                    d = np.sqrt(np.clip(square + (x * x).sum(1)[None, :] - 2 * points @ x.T, 0, None))
+                    sums[c] = sums.get(c, 0) + d.sum(1)
+                    counts[c] = counts.get(c, 0) + len(x)
+        for c, total in sums.items():
+            yield pd.DataFrame({"c": c, "i": np.arange(len(total)), "d": total, "n": counts[c]})
+
+    cells = rows.mapInPandas(fold, "c int, i int, d double, n bigint").groupBy("c", "i").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).toPandas()
+    cells["own"] = own[cells["i"]] == cells["c"]
+    mine = cells[cells.own].set_index("i")
+    inside = (mine.d / (mine.n - 1)).where(mine.n > 1)
+    outside = (cells[~cells.own].assign(m=lambda t: t.d / t.n)).groupby("i").m.min()
+    both = pd.DataFrame({"a": inside, "b": outside}).reindex(range(len(drawn)))
+    score = ((both.b - both.a) / both[["a", "b"]].max(axis=1)).where(both.notna().all(axis=1), 0.0)
+    return float(score.fillna(0.0).mean())
+
+
+#: Silhouette under which there is no clear structure (fixed value).
+UNCLEAR = 0.2
+#: Vertices from which rows are projected (fixed value).
+DIRECT = 1000
 
 
 def choose_clusters(rows: DataFrame, column: str, around: int, seed: int = 1) -> tuple[int, float, DataFrame]:
@@ -364,6 +411,46 @@ def choose_clusters(rows: DataFrame, column: str, around: int, seed: int = 1) ->
     return best
 
 
+def features(a: DataFrame, vertices: int, threshold: int = DIRECT) -> tuple[str, DataFrame]:
+    """(mode, (src, x)): the rows of an adjacency (src, dst, w) as vectors: direct ones below the threshold of vertices, else projected ones. Vertices without edges out have no row."""
+    if vertices >= threshold:
+        return "jl", project(a, target_dimension(vertices))
+    columns = [r[0] for r in a.select("dst").distinct().orderBy("dst").collect()]  # fewer than the threshold
+    cells = a.groupBy("src").agg(F.map_from_entries(F.collect_list(F.struct("dst", "w"))).alias("m"))
+    return "direct", cells.select("src", F.array(*[F.coalesce(F.element_at("m", F.lit(c)), F.lit(0.0)) for c in columns]).alias("x"))
+
+
+def boundary_report(a: DataFrame, packages: DataFrame, around: int | None = None, search: bool = True, seed: int = 42) -> dict:
+    """How far the packages of a graph agree with its clusters.
+
+    `a` is the adjacency, `packages` (key, package) names all vertices. Those
+    without edges out are orphans and left out; the others are clustered, in
+    as many clusters as there are packages or, by `search`, near that many.
+    mode, clusters, silhouette, score and a warning where there is no clear
+    structure are numbers and texts; scores, splits, fusions, summaries and
+    orphans are DataFrames.
+    """
+    present = packages.join(a.select(F.col("src").alias("key")).distinct(), "key", "left_semi")
+    n = present.count()
+    if n < 2:
+        raise ValueError("fewer than two vertices with edges out")
+    mode, rows = features(a, n)
+    around = around or present.select("package").distinct().count()
+    around = max(2, min(around, n))
+    if search:
+        k, s, c = choose_clusters(rows, "x", around, seed)
+    else:
+        k, c = around, clusters(rows, "x", around, seed)
+        s = silhouette(c, "x")
+    assigned = c.select(F.col("src").alias("key"), "cluster").join(present, "key").select("key", "package", "cluster")
+    scores = boundary(assigned)
+    return {
+        "mode": mode, "clusters": k, "silhouette": round(s, 4), "warning": "no clear cluster structure" if s < UNCLEAR else None, "score": global_score(scores).collect()[0][0],
+        "scores": scores, "splits": split_packages(assigned), "fusions": fusions(assigned), "summaries": cluster_summaries(assigned),
+        "orphans": packages.join(present.select("key"), "key", "left_anti"),
+    }
+
+
 def normalized(a: DataFrame, vertices: int) -> DataFrame:
     """(src, dst, z, zero_z): the entries of the matrix as z-scores of their columns, and that of the column's zeros; 0 where nothing varies."""
     s = column_statistics(a, vertices)

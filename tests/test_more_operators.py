@@ -44,6 +44,44 @@ def test_lifecycles_and_hotspots(spark):
     assert sorted(r.id for r in layers.hotspots(n).collect()) == ["a", "c"]
 
 
+def brute_silhouette(points):
+    import numpy as np
+
+    xs, cs = np.array([x for x, _ in points]), np.array([c for _, c in points])
+    d = np.sqrt(((xs[:, None] - xs[None]) ** 2).sum(2))
+    out = []
+    for i, c in enumerate(cs):
+        same = (cs == c) & (np.arange(len(cs)) != i)
+        others = [d[i][cs == o].mean() for o in set(cs) - {c}]
+        a = d[i][same].mean() if same.any() else None
+        out.append(0.0 if a is None or not others else (min(others) - a) / max(a, min(others)))
+    return sum(out) / len(out)
+
+
+def test_silhouette_is_euclidean_and_exact(spark):
+    import random
+
+    rng = random.Random(2)
+    points = [([rng.random() + 3 * (k % 3), rng.random() * (k % 3)], k % 3) for k in range(60)] + [([9.0, 9.0], 7)]
+    df = frame(spark, points + [(None, 1)], "x array<double>, cluster int").repartition(3)
+    assert health.silhouette(df, "x") == pytest.approx(brute_silhouette(points))
+    assert health.silhouette(df, "x", sample=30) == pytest.approx(brute_silhouette(points), abs=0.15)
+    assert health.silhouette(df.where("cluster = 7"), "x") == 0.0 and health.silhouette(df.limit(0), "x") == 0.0
+
+
+def test_boundary_report(spark):
+    rows = [(f"p{i}", f"t{i % 2}", 1.0) for i in range(8)] + [(f"q{i}", f"u{i % 2}", 1.0) for i in range(8)]
+    a = frame(spark, rows, "src string, dst string, w double")
+    packages = frame(spark, [(f"{p}{i}", p) for p in "pq" for i in range(8)] + [("lone", "p")], "key string, package string")
+    report = health.boundary_report(a, packages)
+    assert report["mode"] == "direct" and [r.key for r in report["orphans"].collect()] == ["lone"] and report["silhouette"] == 1.0 and report["clusters"] == 4
+    assert {r.package for r in report["splits"].collect()} == set() and report["fusions"].count() == 0 and report["warning"] is None
+    assert {(r.package, r["size"], r.purity) for r in report["scores"].collect()} == {("p", 8, 0.5), ("q", 8, 0.5)}
+    assert health.features(a, 1000)[0] == "jl" and len(health.features(a, 1000)[1].first().x) == health.target_dimension(1000)
+    with pytest.raises(ValueError):
+        health.boundary_report(a.limit(1), packages)
+
+
 def test_clusters(spark):
     pts = [([0.0 + 0.1 * (i % 3), 0.1 * (i // 3)], "p" if i < 6 else "q") for i in range(9)] + [([9.0 + 0.1 * i, 9.0], "q") for i in range(8)] + [(None, "q")]
     df = frame(spark, pts, "v array<double>, package string")
