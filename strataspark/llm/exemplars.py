@@ -47,6 +47,9 @@ Morbi leo risus, porta ac consectetur ac, vestibulum at eros.
 Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam, eaque ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo.
 Nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit, sed quia consequuntur magni dolores eos qui ratione voluptatem sequi nesciunt.
 Neque porro quisquam est, qui dolorem ipsum quia dolor sit amet, consectetur, adipisci velit, sed quia non numquam eius modi tempora incidunt ut labore et dolore magnam aliquam quaerat voluptatem.
+Lorem ipsum dolor sit amet, consetetur sadipscing elitr, sed diam nonumy eirmod tempor invidunt ut labore et dolore magna aliquyam erat, sed diam voluptua.
+At vero eos et accusam et justo duo dolores et ea rebum.
+Stet clita kasd gubergren, no sea takimata sanctus est.
 Praesent sapien massa, convallis a pellentesque nec, egestas non nisi.
 Vivamus magna justo, lacinia eget consectetur sed, convallis at tellus.
 Quisque velit nisi, pretium ut lacinia in, elementum id enim.
@@ -58,7 +61,7 @@ Vestibulum ac diam sit amet quam vehicula elementum sed sit amet dui.
 Cras ultricies ligula sed magna dictum porta.
 Pellentesque in ipsum id orci porta dapibus.
 Donec rutrum congue leo eget malesuada.
-Sed porttitor lectus nibh, suscipit felis volutpat.
+Sed porttitor lectus nibh.
 At vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum deleniti atque corrupti quos dolores et quas molestias excepturi sint occaecati cupiditate non provident.
 """,
     "filler": """
@@ -156,6 +159,11 @@ Click here to add text
 Double click to edit this text.
 Enter a description here.
 Insert text here
+Write your text here
+Put your text here
+Type something here
+Your title here
+Lorem ipsum dolor sit amet
 Your headline here
 Your company slogan
 Short description of the section goes here.
@@ -211,6 +219,16 @@ This page has no content yet.
 Documentation is in progress.
 This page is being worked on.
 Under construction.
+Under development.
+This section is under development.
+This chapter will follow soon.
+More information to come.
+More details to come soon.
+Here you will find more soon.
+Más información en breve.
+Plus d'informations prochainement.
+Weitere Inhalte folgen.
+Altre informazioni in arrivo.
 Dieser Abschnitt folgt später.
 Weitere Informationen folgen in Kürze.
 Wird noch ergänzt.

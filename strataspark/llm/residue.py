@@ -90,20 +90,20 @@ _SYLLABLES = "a bus ca cam car cas ci cra de di dis do dolor dor e ela el est fe
 _LATIN = re.compile(r"(?:" + "|".join(sorted(_SYLLABLES.split(), key=len, reverse=True)) + r")+[strmn]?$")
 #: What words of messages mean, by how they begin or are spelled, folded and lower-cased (fixed values).
 CONCEPTS = {
-    "page": r"pages?|sites?|websites?|webpages?|apps?|applications?|viewer|dashboard|views?|resources?|documents?|urls?|address|locations?|links?|seiten?|webseiten?|anwendung|adresse|liens?|ressources?|paginas?|sitios?|recursos?|direccion|aplicacion|enderecos?|indirizzo|sito|risorsa|pagina|stron\w*|adres|страниц\w*|саит\w*|сайт\w*|адрес\w*|content|services?|dienst|servicio|servico|servizio|сервис\w*|system|accounts?|file|files",
+    "page": r"dokument\w*|documento|enlaces?|portal|pagin\w*|webseite|sitio|voce|pages?|sites?|websites?|webpages?|apps?|applications?|viewer|dashboard|views?|resources?|documents?|urls?|address|locations?|links?|seiten?|webseiten?|anwendung|adresse|liens?|ressources?|paginas?|sitios?|recursos?|direccion|aplicacion|enderecos?|indirizzo|sito|risorsa|pagina|stron\w*|adres|страниц\w*|саит\w*|сайт\w*|адрес\w*|content|services?|dienst|servicio|servico|servizio|сервис\w*|system|accounts?|file|files",
     "script": r"javascript|js|scripts?|scripting|skripte?n?|скрипт\w*|cookies?",
     "browser": r"browsers?|navigateur|navegador|przegladark\w*|браузер\w*|blocker|settings?",
-    "enable": r"enabled?|enabling|activat\w*|allow\w*|turn(?:ed)?|switch(?:ed)?|on|needs?|needed|necessary|requir\w*|must|have to|support\w*|aktivier\w*|einschalten|eingeschaltet\w*|schalten|benotigt|unterstutzt|activez|activer|active|activa\w*|active|exige|necessite\w*|necesit\w*|necess\w*|requier\w*|habilit\w*|permit\w*|debe|abilit\w*|attiv[aio]\w*|ativ[aeo]\w*|requer|precisa|wlacz\w*|wymaga|schakel|vereist|включ\w*|требу\w*|необходим\w*|functionality|autoris\w*|laisse\w*",
+    "enable": r"opci\w*|einschalten|anschalten|accept\w*|zulassen|erlauben|accetta\w*|aceit\w*|acepta\w*|разреш\w*|enabled?|enabling|activat\w*|allow\w*|turn(?:ed)?|switch(?:ed)?|on|needs?|needed|necessary|requir\w*|must|have to|support\w*|aktivier\w*|einschalten|eingeschaltet\w*|schalten|benotigt|unterstutzt|activez|activer|active|activa\w*|active|exige|necessite\w*|necesit\w*|necess\w*|requier\w*|habilit\w*|permit\w*|debe|abilit\w*|attiv[aio]\w*|ativ[aeo]\w*|requer|precisa|wlacz\w*|wymaga|schakel|vereist|включ\w*|требу\w*|необходим\w*|functionality|autoris\w*|laisse\w*",
     "disabled": r"disabled?|off|blocked|blocks?|deactivat\w*|deaktiviert|abgeschaltet|ausgeschaltet|desactiv\w*|disattiv\w*|desativ\w*|uitgeschakeld|wylaczon\w*|отключ\w*",
-    "not": r"not|no|cannot|can|could|couldn|doesn|don|didn|isn|won|aren|without|nothing|wrong|invalid|nicht|kein\w*|ohne|pas|ne|plus|sans|sin|senza|sem|non|nao|nie|niet|geen|brak|не|нет|без|never|longer|any|more",
-    "found": r"found|find|exists?|existing|available|lost|missing|gefunden|existiert|erreichbar|verfugbar|gibt|trouv\w*|introuvable|existe\w*|disponib\w*|encontr\w*|hallad\w*|trovat\w*|esiste|znalezion\w*|istnieje|gevonden|bestaat|beschikbaar|наиден\w*|найден\w*|существу\w*|доступ(?:на|ен|но)|reach\w*|load\w*|shown?|display\w*|open\w*|cargar|charg\w*|afficher|anzeigen|ver|view",
-    "error": r"errors?|exceptions?|problems?|issues?|trouble|fail\w*|crash\w*|fehler\w*|interner?|erreurs?|errore|erro|blad|fout|ошибк\w*|unavailable|internal|interno|interne|unexpected|occurred|encounter\w*|happened|opgetreden|aufgetreten|survenue|produjo|ocurrido|ocorreu|verificato|wystapil|произошла|err|bad|status|code|codigo|codice|busy|down|overloaded|maintenance|incident|something|went|goes|unable|temporar\w*|vorubergehend|momentan\w*|indisponib\w*|inesperado",
-    "access": r"access\w*|permissions?|authori[sz]ed?|unauthori[sz]ed|forbidden|denied|restricted|zugriff|zugang|verweigert|berechtigung|rechte|befugnis|acces|refuse|interdit|autorisation|droits?|acceso|denegad\w*|prohibido|permiso|accesso|negat[oa]|acesso|negado|toegang|geweigerd|dostepu|доступа?|запрещен\w*|rights?|allowed",
-    "session": r"sessions?|login|logged|log|sign|signed|tokens?|sitzung|anmeld\w*|melden|connect\w*|verbindung|conexion|connexion|connessione|sesion|sessao|sessione|sessie|sesja|zaloguj|сесси\w*|воидите|войдите|inicie|iniciar|effettua",
-    "expired": r"expired?|expires|timeouts?|timed?|out|inactiv\w*|idle|abgelaufen|zeituberschreitung|expir\w*|depasse|delai|caduc\w*|tardo|scadut[oa]|verlopen|wygasla|истекла|reset|refused|closed|interrupted|long",
-    "server": r"servers?|host|gateway|proxy|upstream|apache|nginx|cloudflare|port|serveur|servidor|serwer|сервер\w*|databases?|backend|requests?|requested|anfrage|angefordert\w*|angefragt\w*|demande\w*|solicitud|solicitad\w*|richiest\w*|opgevraagde|zapytanie|запрашива\w*|response|respond\w*|answer\w*|returned|received|sent|incomplete|api|rate|limits?|exceeded|too|many",
+    "not": r"nessun\w*|nenhum\w*|aucun\w*|ningun\w*|rien|nada|nicht|unable|not|no|cannot|can|could|couldn|doesn|don|didn|isn|won|aren|without|nothing|wrong|invalid|nicht|kein\w*|ohne|pas|ne|plus|sans|sin|senza|sem|non|nao|nie|niet|geen|brak|не|нет|без|never|longer|any|more",
+    "found": r"konnte|konnten|pudo|peut|pu|possible|moglich|posible|possibile|possivel|nalez\w*|возможно|found|find|exists?|existing|available|lost|missing|gefunden|existiert|erreichbar|verfugbar|gibt|trouv\w*|introuvable|existe\w*|disponib\w*|encontr\w*|hallad\w*|trovat\w*|esiste|znalezion\w*|istnieje|gevonden|bestaat|beschikbaar|наиден\w*|найден\w*|существу\w*|доступ(?:на|ен|но)|reach\w*|load\w*|shown?|display\w*|open\w*|cargar|charg\w*|afficher|anzeigen|ver|view",
+    "error": r"broke|broken|inattendu\w*|imprevist\w*|unerwartet\w*|inesperad\w*|temporariamente|temporalmente|temporairement|temporaneamente|chwilowo|временно|недоступ\w*|produite?|passiert|schiefgelaufen|aconteceu|mis|malfunction|overload|outage|hata|fatal|errors?|exceptions?|problems?|issues?|trouble|fail\w*|crash\w*|fehler\w*|interner?|erreurs?|errore|erro|blad|fout|ошибк\w*|unavailable|internal|interno|interne|unexpected|occurred|encounter\w*|happened|opgetreden|aufgetreten|survenue|produjo|ocurrido|ocorreu|verificato|wystapil|произошла|err|bad|status|code|codigo|codice|busy|down|overloaded|maintenance|incident|something|went|goes|unable|temporar\w*|vorubergehend|momentan\w*|indisponib\w*|inesperado",
+    "access": r"gesperrt|bloqueado|bloque|bloccato|blokada|zablokowan\w*|заблокирован\w*|restreint|limitado|access\w*|permissions?|authori[sz]ed?|unauthori[sz]ed|forbidden|denied|restricted|zugriff|zugang|verweigert|berechtigung|rechte|befugnis|acces|refuse|interdit|autorisation|droits?|acceso|denegad\w*|prohibido|permiso|accesso|negat[oa]|acesso|negado|toegang|geweigerd|dostepu|доступа?|запрещен\w*|rights?|allowed",
+    "session": r"einloggen|angemeldet|identifi\w*|credentials?|password|passwort|contrasena|contrasenha|account|conta|konto|compte|cuenta|sessions?|login|logged|log|sign|signed|tokens?|sitzung|anmeld\w*|melden|connect\w*|verbindung|conexion|connexion|connessione|sesion|sessao|sessione|sessie|sesja|zaloguj|сесси\w*|воидите|войдите|inicie|iniciar|effettua",
+    "expired": r"valid\w*|gultig\w*|ungultig\w*|valide|valido|valida|wazny|действител\w*|ended|over|closed|expired?|expires|timeouts?|timed?|out|inactiv\w*|idle|abgelaufen|zeituberschreitung|expir\w*|depasse|delai|caduc\w*|tardo|scadut[oa]|verlopen|wygasla|истекла|reset|refused|closed|interrupted|long",
+    "server": r"antwort\w*|respuesta|reponse|risposta|resposta|odpowied\w*|ответ\w*|отвеча\w*|attempts?|versuche|tentatives?|intentos|traffic|load|hosting|cdn|connection|netzwerk|network|reseau|rete|rede|сеть|servers?|host|gateway|proxy|upstream|apache|nginx|cloudflare|port|serveur|servidor|serwer|сервер\w*|databases?|backend|requests?|requested|anfrage|angefordert\w*|angefragt\w*|demande\w*|solicitud|solicitad\w*|richiest\w*|opgevraagde|zapytanie|запрашива\w*|response|respond\w*|answer\w*|returned|received|sent|incomplete|api|rate|limits?|exceeded|too|many",
     "sorry": r"sorry|oops|whoops|unfortunately|apologi[sz]e|desole|lamentamos|sentimos|leider|entschuldigung|spiacenti|desculp\w*|helaas|przepraszamy|извините|please|bitte|kindly|por|favor|prego|alstublieft|prosze|пожалуиста|пожалуйста|merci|thanks?|thank",
-    "retry": r"try|again|retry|later|reload\w*|refresh\w*|back|return|check|checks|erneut|spater|nochmal|wieder|reessay\w*|ressayer|tard|nouveau|intent\w*|nuevo|tarde|mas|riprova|tardi|tente|novamente|opnieuw|probeer|later|sprobuj|ponownie|pozniei|pozniej|попробуите|попробуйте|позже|снова|minut\w*|seconds?|moments?|shortly|soon|wait|continue|proceed\w*|once|administrator|contact|support",
+    "retry": r"повтор\w*|попытк\w*|reintent\w*|recharg\w*|actualis\w*|actualiz\w*|aggiorn\w*|recarreg\w*|ricaric\w*|обнов\w*|neu|laden|odswiez\w*|ververs\w*|minuten|minutos|instantes|augenblick|try|again|retry|later|reload\w*|refresh\w*|back|return|check|checks|erneut|spater|nochmal|wieder|reessay\w*|ressayer|tard|nouveau|intent\w*|nuevo|tarde|mas|riprova|tardi|tente|novamente|opnieuw|probeer|later|sprobuj|ponownie|pozniei|pozniej|попробуите|попробуйте|позже|снова|minut\w*|seconds?|moments?|shortly|soon|wait|continue|proceed\w*|once|administrator|contact|support",
     "ask": r"looking|look|seek\w*|searching|search|want\w*|recherch\w*|cherch\w*|busca\w*|gesucht\w*|sucht|cercat\w*|cerchi|procur\w*|zoekt|szukasz|ищете|visit\w*|using|use|utiliser|usar|usare|korzystac|mistyped|typed|entered",
     "removed": r"removed?|moved?|deleted?|changed?|renamed|entfernt|geloscht|verschoben|supprime\w*|deplace\w*|eliminad\w*|borrad\w*|cambiado|rimoss[oa]|spostat\w*|removid\w*|verwijderd|verplaatst|usunieta|przeniesiona|удален\w*|перемещен\w*",
     "gone": r"gone",
@@ -112,8 +112,8 @@ CONCEPTS = {
 #: Words without a meaning of their own in messages (fixed values).
 STOP = frozenset(
     "a an the this that these those it its is are was were be been being to of in at by for from with and or if you your yours we our us i my me he she they their there here then than as so but do does did have has had having will would may might should "
-    "s t re ve ll d m http https web www like due just only also very still currently now which who what when where how up down into over before after because while some all any each other "
-    "der die das den dem des ein eine einer eines einem einen und oder ist sind war wird werden wurde zu zum zur im in am an auf von vom mit fur um sie ihr ihre ihren ihrem ihnen wir uns es dass wenn diese dieser dieses nur so kann konnen haben hat sein noch nach bei als aus "
+    "s t re ve ll d m http https web www like due just new one way our own some only also very still currently now which who what when where how up down into over before after because while some all any each other "
+    "konnen bitte dann gerade puis alors entonces ahora poi ora agora entao potem teraz затем сейчас der die das den dem des ein eine einer eines einem einen und oder ist sind war wird werden wurde zu zum zur im in am an auf von vom mit fur um sie ihr ihre ihren ihrem ihnen wir uns es dass wenn diese dieser dieses nur so kann konnen haben hat sein noch nach bei als aus "
     "le la les l un une du de des et ou est sont a au aux en dans sur pour par vous votre vos nous ce cet cette ces que qui il elle se n qu d y été ete peut etre soit "
     "el los las lo unos unas al del y o es son esta este esto estas se su sus que en con para por le ha han hemos ser puede si te tu no "
     "il gli i dello della delle dei degli un uno e ed o per con su da di questa questo che si la le lo e stato stata puo suo sua ha nel nella "
@@ -125,10 +125,10 @@ STOP = frozenset(
 _CONCEPT = [(f"\x01{name}", re.compile(pattern)) for name, pattern in CONCEPTS.items()]
 #: The same for Chinese and Japanese, as parts of a run of characters (fixed values).
 _CJK_CONCEPTS = {
-    "page": "页面|网页|网站|站点|链接|地址|应用|ページ|サイト|アプリ|アドレス|内容|コンテンツ|データ|服务|サービス|系统|システム|資源|资源", "script": "脚本|スクリプト", "browser": "浏览器|ブラウザー?", "enable": "启用|开启|允许|打开|需要|必要|支持|有効|許可|対応",
+    "page": "页面|网页|网站|本站|本网站|站点|链接|地址|应用|ページ|サイト|アプリ|アドレス|内容|コンテンツ|データ|服务|サービス|系统|システム|資源|资源", "script": "脚本|スクリプト", "browser": "浏览器|ブラウザー?", "enable": "启用|开启|打开|オン|つけて|允许|打开|需要|必要|支持|有効|許可|対応",
     "disabled": "禁用|未启用|关闭|無効|停用", "found": "不存在|找不到|未找到|无法找到|见つか|見つかりません|存在しません|存在|見つから|無法|无法|显示|表示|加载|閲覧|浏览|查看|接続|连接",
-    "error": "错误|出错|异常|失败|问题|内部|エラー|発生|故障|代码|编号|繁忙|混み合|暂时|不可用|維護|维护|メンテナンス", "access": "访问|权限|拒绝|アクセス|権限|拒否|禁止", "session": "会话|登录|セッション|ログイン|登錄|验证码|令牌",
-    "expired": "过期|超时|失效|期限|切れ|タイムアウト", "server": "服务器|请求|サーバー?|リクエスト|網關|网关|响应|要求", "sorry": "抱歉|对不起|申し訳|すみません|请|請", "retry": "重试|再试|刷新|稍后|重新|片刻|再度|しばらく|試し|時間をおいて|再読み込み|后", "ask": "您要|要找|お探し|探し|検索|搜索|继续",
+    "error": "错误|出错|集中|障害|不具合|异常|失败|问题|内部|エラー|発生|故障|代码|编号|繁忙|混み合|暂时|不可用|維護|维护|メンテナンス", "access": "访问|权限|拒绝|アクセス|権限|拒否|禁止", "session": "会话|登录|セッション|ログイン|登錄|验证码|令牌",
+    "expired": "过期|超时|失效|期限|切れ|タイムアウト", "server": "服务器|请求|サーバー?|リクエスト|網關|网关|响应|要求", "sorry": "抱歉|对不起|申し訳|すみません|请|請", "retry": "重试|再试|お待ち|待って|等待|刷新|稍后|重新|片刻|再度|しばらく|試し|時間をおいて|再読み込み|后", "ask": "您要|要找|お探し|探し|検索|搜索|继续",
     "removed": "删除|移除|移动|削除|移動|変更", "check": "检查|验证|確認|安全|人机|检测|正在|稍候", "not": "没有|ません|未",
 }
 _CJK_CONCEPT = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in _CJK_CONCEPTS.items()))

@@ -52,3 +52,48 @@ CONTENT = [
     "Try again with a smaller batch; the server answered within 30 ms for 500 rows.", "The notice about cookies was moved to the footer and is now shown once per visitor.", "Items one to three of the agenda were closed; item four was moved to the next meeting.",
     "TBD items of the last review: none. All open questions were answered by the owners.", "Your branch is behind by 3 commits and can be fast-forwarded.",
 ]
+
+# A second set, measured once before the vocabulary of concepts was widened, and again afterwards; the README has all figures.
+FRESH = {
+    "error": [
+        "Not Found\n\nThe requested URL /index.php was not found on this server.", "Something broke on our end. Our team has been notified.", "Hmm. We're having trouble finding that site.", "Access to this resource on the server is denied!",
+        "Sorry, you have been blocked\n\nYou are unable to access example.org", "An error occurred while processing your request.\n\nReference #18.2d351ab8.1557333295", "HTTP ERROR 500\n\nThis page isn't working right now.",
+        "Your session is no longer valid. Please log in again.", "Link expired. Request a new one.", "Too many login attempts. Wait a few minutes before trying again.", "Das Dokument konnte nicht gefunden werden.", "Zugang verweigert. Bitte anmelden.",
+        "Une erreur inattendue s'est produite. Veuillez réessayer.", "El enlace ha caducado o no es válido.", "Si è verificato un problema con il server.", "Página temporariamente indisponível.", "Сервер не отвечает. Повторите попытку позже.",
+        "404，您访问的网页已删除。", "現在アクセスが集中しております。しばらくお待ちください。", "Internal error. Contact the administrator.",
+    ],
+    "notice": [
+        "Please turn JavaScript on and reload the page.", "This website requires a browser with JavaScript support.", "Your browser has cookies disabled. Please enable cookies.", "Verifying you are human. This may take a few seconds.",
+        "Bitte aktivieren Sie Cookies und JavaScript.", "Activez JavaScript puis rechargez la page.", "Necesita habilitar JavaScript para ver esta web.", "请开启JavaScript以正常浏览本站。", "JavaScriptをオンにしてください。",
+    ],
+    "announcement": ["This section is coming soon.", "Content coming soon!", "Page under development.", "Próximamente más información.", "More to come."],
+    "filler": ["Lorem ipsum dolor sit amet, consetetur sadipscing elitr, sed diam nonumy eirmod tempor invidunt ut labore.", "Your content goes here.", "This is placeholder text.", "test test test test test test", "Type your text here"],
+    "slot": ["Hi {{ customer.name }},", "[Your Name]\n[Your Address]", "Dear %NAME%, thank you.", "Insert <your-company> here", "Name: {name}", "Total: ${amount} due on {{date}}"],
+}
+FRESH_CONTENT = [
+    "The server was moved to a new rack and renamed on Monday.", "We log every request that was not found, with its path and the time.", "Access rights are checked once per session and kept for an hour.", "The browser tests need a server with scripts enabled; see the guide.",
+    "Please check the links of the page before the release and report what is broken.", "An unexpected error in the reader stopped the run; a retry with a longer timeout passed.", "Coming soon was the title of the old page; it is gone now.", "The placeholder image has the size of the real one.",
+    "La session est prolongée à chaque requête du navigateur.", "Der Server antwortet erst, wenn alle Dateien gelesen sind.", "服务器每天重启一次，日志保存三十天。", "Sample rates above one percent slow the tracer down.", "Text of the license is in the root folder.", "The name field is required, the title is optional.",
+    "fix: reload page after login", "docs: describe how sessions expire", "Error codes are listed in the appendix.", "Enter the number of workers and press start; the run begins at once.",
+]
+
+# A third one, written after that and measured once: nothing was changed because of it.
+LAST = {
+    "error": [
+        "Oh no! The page you tried to open is missing.", "Gateway timed out. Please refresh in a moment.", "We couldn't load this page.\nReload", "You need to be logged in to see this.", "Access to this file is restricted.",
+        "The certificate of the server has expired.", "Unable to reach the server. Check your connection.", "Whoa! Too many requests. Slow down.", "Service is down for maintenance.", "Diese Adresse wurde nicht gefunden.", "Keine Berechtigung für diese Anwendung.",
+        "Votre session a pris fin, reconnectez-vous.", "Le site est momentanément indisponible.", "No tiene acceso a esta página.", "Ha caducado la sesión.", "Accesso non autorizzato.", "Sessão expirada, entre novamente.", "Доступ к странице ограничен.",
+        "Brak uprawnień do tej strony.", "该链接已失效。", "アクセスできません。権限を確認してください。",
+    ],
+    "notice": [
+        "JavaScript is turned off in your web browser.", "Enable cookies and reload this page.", "We are checking your browser before you access the site.", "Scripts must be allowed to use this application.", "Ihr Browser blockiert JavaScript.",
+        "Merci d'activer JavaScript.", "Active las cookies del navegador.", "JavaScript deve essere attivo nel browser.", "请允许浏览器运行脚本。",
+    ],
+    "announcement": ["Coming very soon.", "This page is still under construction.", "Kommt bald.", "Bald verfügbar.", "Contenido próximamente."],
+    "filler": ["Placeholder text", "Add your own text here.", "Beispieltext.", "blah blah blah blah blah", "Lorem ipsum dolor sit amet consectetur"],
+    "slot": ["Hallo {{ vorname }},", "Ticket: %TICKET%", "[Insert date here]", "Owner: TBD", "<Your Name>"],
+}
+LAST_CONTENT = [
+    "We load the page index once and keep it in memory.", "The browser cache is cleared when a session ends.", "Requests without a token are answered with an error and logged.", "Cookies are not used by the viewer.", "If the connection is lost, the client tries again after two seconds.",
+    "La página de errores ahora enlaza con la guía.", "Die Anmeldung läuft nach einer Stunde ab, danach wird das Token erneuert.", "Le serveur refuse les fichiers trop grands.", "链接检查每晚运行一次。", "The text of the notice was shortened.", "Retry the job with fewer files.", "fix: check session before redirect",
+]
