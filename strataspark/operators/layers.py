@@ -201,35 +201,48 @@ def implicit_interfaces(spark: SparkSession, d: str) -> DataFrame:
 # --- methods that come by embedding, and uses of concrete types ---------------
 
 
-def promoted_methods(own: DataFrame, embeds: DataFrame, depth: int | None = None) -> DataFrame:
-    """(type, method, level): method sets with embedding. `own` has (type, method), `embeds` (type, embedded).
-
-    A method of a shallower level hides deeper ones of its name; one that comes
-    from two embedded types of the same level is ambiguous and left out. Types
-    on an embedding cycle promote nothing.
+def promoted_methods(own: DataFrame, embeds: DataFrame) -> DataFrame:
+    """(type, method, level, by_value): method sets with embedding; `level` counts the embeddings a method has come through.
+
+    `own` has (type, method) and, if known, `pointer`, whether the receiver is
+    one; `embeds` (type, embedded) and, if known, `pointer`. A type's own
+    method hides those of its embedded types; a method that several of them
+    have is ambiguous and left out. Every method is in the set of pointers to a
+    type; by_value tells whether it is in that of values too, to which
+    pointer receivers and pointer embeddings do not lead. Types from which an
+    embedding cycle can be reached promote nothing.
     """
     from strataspark.operators.graph import components
 
-    pairs = embeds.select(F.col("type").alias("src"), F.col("embedded").alias("dst")).where(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
-    cyclic = components(pairs).select(F.col("key").alias("src")).unionByName(pairs.where(F.col("src") == F.col("dst")).select("src")).distinct()
-    pairs = pairs.join(cyclic, "src", "left_anti")
-    mine = own.select("type", "method").where(F.col("method").isNotNull()).distinct()
-    path = pairs.select(F.col("src").alias("type"), F.col("dst").alias("via"), F.lit(1).alias("level"))
-    ways = path
-    level = 1
-    while depth is None or level < depth:  # ends by itself: the types left are on no cycle
-        level += 1
-        path = path.join(pairs.select(F.col("src").alias("via"), "dst"), "via").select("type", F.col("dst").alias("via"), F.lit(level).alias("level"))
-        path = cut(path.distinct())
-        if path.isEmpty():
+    flag = lambda df: F.coalesce(F.col("pointer"), F.lit(False)) if "pointer" in df.columns else F.lit(False)
+    pairs = embeds.where(F.col("type").isNotNull() & F.col("embedded").isNotNull()).groupBy("type", "embedded").agg(F.max(flag(embeds)).alias("by_pointer"))
+    ends = pairs.select(F.col("type").alias("src"), F.col("embedded").alias("dst"))
+    barred = cut(components(ends).select(F.col("key").alias("type")).unionByName(ends.where(F.col("src") == F.col("dst")).select(F.col("src").alias("type"))).distinct())
+    while True:  # what embeds a barred type is barred
+        more = pairs.join(barred.withColumnRenamed("type", "embedded"), "embedded", "left_semi").select("type").distinct().join(barred, "type", "left_anti")
+        if more.isEmpty():
             break
-        ways = ways.unionByName(path)
-    sources = ways.groupBy("type", "via").agg(F.min("level").alias("level"))
-    offered = sources.join(mine.withColumnRenamed("type", "via"), "via").select("type", "method", "level")
-    every = mine.withColumn("level", F.lit(0)).unionByName(offered)
-    least = every.groupBy("type", "method").agg(F.min("level").alias("level"))
-    once = every.groupBy("type", "method", "level").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1)
-    return least.join(once, ["type", "method", "level"]).select("type", "method", "level")
+        barred = cut(barred.unionByName(more))
+    pairs = cut(pairs.join(barred, "type", "left_anti"))
+    mine = own.where(F.col("method").isNotNull()).groupBy("type", "method").agg(F.max(~flag(own)).alias("by_value")).withColumn("level", F.lit(0))
+    mine = cut(mine.select("type", "method", "level", "by_value"))
+    sets = mine
+    while True:  # after n rounds the sets of all types with at most n embeddings below them are final
+        offered = pairs.join(sets.withColumnRenamed("type", "embedded"), "embedded")
+        once = offered.groupBy("type", "method").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("level") + 1).alias("level"), F.max(F.col("by_value") & ~F.col("by_pointer")).alias("by_value"))
+        promoted = once.where(F.col("n") == 1).drop("n").join(mine.select("type", "method"), ["type", "method"], "left_anti")
+        now = cut(mine.unionByName(promoted.select("type", "method", "level", "by_value")))
+        if now.count() == sets.count() and now.exceptAll(sets).isEmpty():
+            return now
+        sets = now
+
+
+def embedded_implementations(sets: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """(type, interface): types whose method set, promoted methods included, has all of an interface's methods by name; `interfaces` has (interface, method). One without methods matches none."""
+    i = interfaces.where(F.col("method").isNotNull()).select("interface", "method").distinct()
+    need = i.groupBy("interface").agg(F.count(F.lit(1)).alias("need"))
+    have = sets.select("type", "method").distinct().join(i, "method").groupBy("type", "interface").agg(F.count(F.lit(1)).alias("have"))
+    return have.join(need, "interface").where(F.col("have") == F.col("need")).select("type", "interface")
 
 
 def field_uses(fields: DataFrame, imports: DataFrame, nodes: DataFrame) -> DataFrame:

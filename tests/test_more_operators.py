@@ -27,6 +27,28 @@ def test_promoted_methods(spark):
     assert not {x for x in got if x[:2] in {("A", "y"), ("T", "y"), ("M", "q")}}  # ambiguous, or from a cycle
 
 
+def test_method_sets_of_values_and_pointers(spark):
+    own = frame(spark, [("B", "val", False), ("B", "ptr", True), ("C", "x", None), ("D", "x", False), ("V", "val", True), ("Loop", "m", False)], "type string, method string, pointer boolean")
+    embeds = frame(
+        spark,
+        [("V", "B", False), ("P", "B", True), ("PP", "P", False), ("Both", "C", False), ("Both", "D", False), ("Over", "Both", False), ("Over", "C", True), ("Loop", "Loop2", False), ("Loop2", "Loop", False), ("Sees", "Loop", False), ("Sees", "B", False),
+         ("Left", "B", False), ("Right", "B", False), ("Diamond", "Left", False), ("Diamond", "Right", False)],
+        "type string, embedded string, pointer boolean",
+    )
+    got = {}
+    sets = layers.promoted_methods(own, embeds)
+    for r in sets.collect():
+        got.setdefault(r.type, set()).add((r.method, r.level, r.by_value))
+    assert got["V"] == {("val", 0, False), ("ptr", 1, False)}  # its own method hides the embedded one
+    assert got["P"] == {("val", 1, False), ("ptr", 1, False)} and got["PP"] == {("val", 2, False), ("ptr", 2, False)}
+    assert got["Left"] == {("val", 1, True), ("ptr", 1, False)}
+    assert "Both" not in got and got["Over"] == {("x", 1, False)}  # ambiguous below, so one way is left
+    assert "Sees" not in got and got["Loop"] == {("m", 0, True)} and "Diamond" not in got
+    faces = frame(spark, [("I", "val"), ("I", "ptr"), ("J", "x"), ("K", None), ("L", "val"), ("L", "none")], "interface string, method string")
+    found = {tuple(r) for r in layers.embedded_implementations(sets, faces).collect()}
+    assert found == {(t, "I") for t in ("B", "V", "P", "PP", "Left", "Right")} | {(t, "J") for t in ("C", "D", "Over")}
+
+
 def test_field_uses(spark):
     fields = frame(spark, [("S", "app", "*store.Repo"), ("S", "app", "[]Local"), ("S", "app", "map[string]*alias.Thing"), ("S", "app", "int"), ("S", "app", None)], "owner string, package string, type_text string")
     imports = frame(spark, [("app", None, "x/store"), ("app", "alias", "y/deep")], "package string, alias string, path string")
@@ -141,4 +163,4 @@ def test_methods_are_promoted_from_any_depth(spark):
 
     own = spark.createDataFrame([("t8", "run")], "type string, method string")
     embeds = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(8)], "type string, embedded string")
-    assert {tuple(r) for r in promoted_methods(own, embeds).collect()} == {(f"t{i}", "run", 8 - i) for i in range(9)}
+    assert {tuple(r) for r in promoted_methods(own, embeds).collect()} == {(f"t{i}", "run", 8 - i, True) for i in range(9)}
