@@ -63,6 +63,12 @@ def dispersion(types: DataFrame, used: DataFrame, least: int = 2, warn: int = 3)
     return out.where(F.col("files") >= least).withColumn("severity", F.when(F.col("files") >= warn, "warning").otherwise("info"))
 
 
+def module_span(files: Column, root: str = "src") -> Column:
+    """The different modules of an array of files: the first folder below a root, which need not be there; files without a folder belong to none."""
+    below = F.transform(files, lambda f: F.regexp_replace(F.when(F.startswith(f, F.lit(root)), F.substring(f, len(root) + 1, F.length(f))).otherwise(f), "^/", ""))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(below, lambda f: F.contains(f, F.lit("/"))), lambda f: F.substring_index(f, "/", 1))))
+
+
 def across_modules(smells: DataFrame) -> DataFrame:
     """Smells that reach more than one module."""
     return smells.where(F.col("modules") >= 2)
@@ -100,17 +106,26 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, imported, target): the first known module of an import.
 
     Candidates are the dotted path without its first 0, 1, ... parts, each
-    shortened from the right, in this order. Imports of __future__ and those
-    that meet no known module are left out. `imports` has (module, imported).
+    shortened from the right, in this order. Leading dots stand for the package
+    of the importing module, every further one for the package above; such an
+    import is the whole path or nothing, and too many dots lead nowhere.
+    Imports of __future__, of the module itself and those that meet no known
+    module are left out. `imports` has (module, imported).
     """
-    parts = F.split("imported", r"\.")
-    i = imports.where(~F.startswith("imported", F.lit("__future__"))).select("module", "imported", parts.alias("p"))
-    left = i.select("*", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("l"))
-    both = left.select("*", F.explode(F.sequence(F.lit(1), F.size("p") - F.col("l") + 1)).alias("r"))
+    dots = F.length(F.regexp_extract("imported", r"^(\.*)", 1))
+    above = F.split("module", r"\.")
+    base = F.slice(above, 1, F.greatest(F.size(above) - dots, F.lit(0)))
+    rest = F.filter(F.split(F.regexp_replace("imported", r"^\.+", ""), r"\."), lambda x: x != "")
+    parts = F.when(dots == 0, F.split("imported", r"\.")).when(dots <= F.size(above), F.concat(base, rest))
+    i = imports.where(~F.col("imported").rlike(r"^__future__(?:\.|$)")).select("module", "imported", parts.alias("p"), (dots > 0).alias("whole")).where(F.size("p") > 0)
+    ones = F.array(F.lit(1))
+    left = i.select("*", F.explode(F.when(F.col("whole"), ones).otherwise(F.sequence(F.lit(1), F.size("p")))).alias("l"))
+    both = left.select("*", F.explode(F.when(F.col("whole"), ones).otherwise(F.sequence(F.lit(1), F.size("p") - F.col("l") + 1))).alias("r"))
     length = F.size("p") - F.col("l") + 2 - F.col("r")
     tried = both.select("module", "imported", F.array_join(F.slice("p", F.col("l"), length), ".").alias("target"), F.struct("l", "r").alias("order"))
     hit = tried.join(modules.select(F.col("module").alias("target")).distinct(), "target")
-    return hit.groupBy("module", "imported").agg(F.min_by("target", "order").alias("target"))
+    best = hit.groupBy("module", "imported").agg(F.min_by("target", "order").alias("target"))
+    return best.where(F.col("target") != F.col("module"))
 
 
 #: Extensions of files and names of marker files of languages (fixed values).

@@ -107,6 +107,16 @@ def covering_tests(tests: DataFrame, entities: DataFrame, imports: DataFrame) ->
     return found.unionByName(imported).groupBy("key").agg(F.sort_array(F.collect_set("test_id")).alias("test_ids"))
 
 
+def package_tests(tests: DataFrame, entities: DataFrame, imports: DataFrame) -> DataFrame:
+    """(scope_key, package, tests): different tests that cover anything of a package, which is a directory. Names and directories of a package's entities are united before tests meet them."""
+    places = lambda df, *keys: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("layer"), F.col(c).alias("place")) for c in ("stem", "dir", "go_dir")])).alias("x")).select(*keys, "x.*")
+    e = source_places(entities).withColumn("package", F.col("go_dir"))
+    mine = places(e, "scope_key", "package").distinct()
+    found = places(test_places(tests), "test_id", "scope_key").join(mine, ["scope_key", "layer", "place"]).select("scope_key", "package", "test_id")
+    imported = imports.select("test_id", "key").join(e.select("key", "scope_key", "package"), "key").select("scope_key", "package", "test_id")
+    return found.unionByName(imported).distinct().groupBy("scope_key", "package").agg(F.count(F.lit(1)).alias("tests"))
+
+
 def issues(tests: DataFrame) -> DataFrame:
     """(test_id, issue, severity) of tests with (test_id, test_type, cases, assertions, skips, covered)."""
     case = F.col("cases") > 0
@@ -234,14 +244,16 @@ def coverage_entities(spark: SparkSession, d: str) -> DataFrame:
     return entity_scores(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_TESTS} SELECT scope_key, go_dir AS package, count(*) AS total, count(*) FILTER (WHERE score > 0) AS covered, round(count(*) FILTER (WHERE score > 0)::DOUBLE / count(*), 6) AS ratio
-    FROM re LEFT JOIN cov USING (key) GROUP BY 1, 2""")
+@query(f"""WITH {_TESTS}, n AS (SELECT scope_key, go_dir AS package, count(DISTINCT test_id) AS tests FROM lay JOIN re USING (key) GROUP BY 1, 2)
+    SELECT a.*, coalesce(tests, 0) AS tests FROM (SELECT scope_key, go_dir AS package, count(*) AS total, count(*) FILTER (WHERE score > 0) AS covered, round(count(*) FILTER (WHERE score > 0)::DOUBLE / count(*), 6) AS ratio
+    FROM re LEFT JOIN cov USING (key) GROUP BY 1, 2) a LEFT JOIN n USING (scope_key, package)""")
 def coverage_packages(spark: SparkSession, d: str) -> DataFrame:
-    """Share of covered entities of every package."""
+    """Share of covered entities of every package, and how many tests cover it."""
     tests, rest, used = _parts(spark, d)
     e = rest.join(covers(tests, rest, used), "key", "left")
     hit = F.count_if(F.col("score") > 0)
-    return e.groupBy("scope_key", dirname(F.col("file")).alias("package")).agg(F.count(F.lit(1)).alias("total"), hit.alias("covered"), F.round(hit / F.count(F.lit(1)), 6).alias("ratio"))
+    g = e.groupBy("scope_key", dirname(F.col("file")).alias("package")).agg(F.count(F.lit(1)).alias("total"), hit.alias("covered"), F.round(hit / F.count(F.lit(1)), 6).alias("ratio"))
+    return g.join(package_tests(tests, rest, used), ["scope_key", "package"], "left").withColumn("tests", F.coalesce("tests", F.lit(0)))
 
 
 @query(f"""WITH {_TESTS}, b AS (SELECT re.key, CASE WHEN round(score, 6) >= 0.7 THEN 'good' WHEN round(score, 6) >= 0.3 THEN 'partial' ELSE 'poor' END AS bucket FROM re LEFT JOIN cov USING (key))

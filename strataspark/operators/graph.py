@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strataspark.functions.text import package_name, plain
 from strataspark.plans.registry import register
 from strataspark.plans.storage import cut
-from strataspark.sources.graph import EDGE, REL, edges, relations
+from strataspark.sources.graph import EDGE, ENT, REL, edges, relations
 from strataspark.sources.tables import current_entities, table
 
 QUERIES: dict = {}
@@ -350,6 +350,15 @@ def top_depended_on(spark: SparkSession, d: str) -> DataFrame:
     return degrees(edges(spark, d)).select("key", "in_degree").orderBy(F.desc("in_degree"), "key").limit(10)
 
 
+@query(f"""WITH {ENT} SELECT key, coalesce(len(list_filter(members, lambda m: m.type IN ('method', 'constructor'))), 0)::INT AS methods FROM ent ORDER BY methods DESC, key LIMIT 10""")
+def top_by_methods(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 entities with most methods."""
+    from strataspark.operators.lookups import count_members
+
+    e = current_entities(spark, d, "members").select("key", count_members("method", "constructor").alias("methods"))
+    return e.orderBy(F.desc("methods"), "key").limit(10)
+
+
 @query(f"WITH {EDGE}, {_DEG} SELECT key, out_degree::BIGINT AS out_degree FROM deg ORDER BY out_degree DESC, key LIMIT 10")
 def top_dependers(spark: SparkSession, d: str) -> DataFrame:
     """The 10 entities with most edges out."""
@@ -383,6 +392,20 @@ def inferred_ratio(spark: SparkSession, d: str) -> DataFrame:
     return r.agg(F.round(F.coalesce(F.avg(F.when(inferred, 1.0).otherwise(0.0)), F.lit(0.0)), 2).alias("ratio"), F.count(F.lit(1)).alias("relations"))
 
 
+def exact_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, ...): relations whose ends are ids of entities themselves; names are not resolved."""
+    ids = current_entities(spark, d, "id").select("key")
+    r = relations(spark, d).withColumnsRenamed({"source": "src", "target": "dst"})
+    return r.join(ids.withColumnRenamed("key", "src"), "src", "left_semi").join(ids.withColumnRenamed("key", "dst"), "dst", "left_semi")
+
+
+@query(f"""WITH RECURSIVE {ENT}, {REL}, edge AS (SELECT rel.*, rel.source AS src, rel.target AS dst FROM rel WHERE source IN (SELECT key FROM ent) AND target IN (SELECT key FROM ent)), {CLOSURE}
+    SELECT component, count(*) AS size FROM cyc GROUP BY 1""")
+def exact_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles of relations between ids, without names."""
+    return components(exact_edges(spark, d)).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+
+
 # --- cycles seen from their edges --------------------------------------------
 
 

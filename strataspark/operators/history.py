@@ -146,6 +146,23 @@ def package_metrics(changes: DataFrame, depth: int = 1) -> DataFrame:
     return sums.join(shas, ["scope_key", "package"])
 
 
+def package_contributors(changes: DataFrame, depth: int = 1) -> DataFrame:
+    """(scope_key, package, email, commits, total, rank, primary_owner): authors of every package by its distinct commits; the owner is that of its file of most commits, of equal ones the first by path."""
+    p = changes.withColumn("package", package_path(F.col("path"), depth))
+    each = p.groupBy("scope_key", "package", "sha").agg(F.max("author").alias("author"))
+    ranked = contributors(each, ["scope_key", "package"])
+    files = file_metrics(changes).select(*FILE, "commit_count").withColumn("package", package_path(F.col("path"), depth))
+    busiest = files.groupBy("scope_key", "package").agg(F.min_by("path", F.struct((-F.col("commit_count")).alias("n"), F.col("path"))).alias("path"))
+    owner = contributors(changes, FILE).where(F.col("rank") == 1).select(*FILE, F.col("email").alias("primary_owner"))
+    return ranked.join(busiest.join(owner, FILE).drop("path"), ["scope_key", "package"])
+
+
+def exists_now(files: DataFrame, present: DataFrame) -> DataFrame:
+    """Files with `currently_exists`: whether they are among the files present (scope_key, path)."""
+    known = present.select(*FILE).distinct().withColumn("__e", F.lit(True))
+    return files.join(known, FILE, "left").withColumn("currently_exists", F.coalesce("__e", F.lit(False))).drop("__e")
+
+
 def package_cochange(changes: DataFrame, depth: int = 2, n: int = NEIGHBORS) -> DataFrame:
     """Packages that change together: joint changes of their files' nearest neighbors over the files' commits, 1 at most, n per package."""
     near = nearest(cochange(changes))
@@ -318,3 +335,33 @@ def history_doc_gap(spark: SparkSession, d: str) -> DataFrame:
     n = nearest(cochange(_c(spark, d)))
     doc = F.startswith("neighbor", F.lit("docs/")) | F.endswith("neighbor", F.lit(".md"))
     return n.groupBy("scope_key", F.col("target").alias("path")).agg(F.round(F.avg(doc.cast("double")), 6).alias("doc_gap"))
+
+
+@query(f"""WITH {CF}, {FM}, {CON}, e AS (SELECT scope_key, {_P2} AS package, sha, coalesce(max(author), 'unknown') AS email FROM cf GROUP BY 1, 2, 3),
+      r AS (SELECT *, sum(commits) OVER (PARTITION BY scope_key, package) AS total, row_number() OVER (PARTITION BY scope_key, package ORDER BY commits DESC, email) AS rank
+        FROM (SELECT scope_key, package, email, count(*) AS commits FROM e GROUP BY 1, 2, 3)),
+      b AS (SELECT scope_key, {_P2} AS package, path, row_number() OVER (PARTITION BY scope_key, {_P2} ORDER BY commit_count DESC, path) AS k FROM fm)
+    SELECT r.scope_key, r.package, r.email, r.commits, r.total::BIGINT AS total, r.rank, con.email AS primary_owner FROM r JOIN b ON b.scope_key = r.scope_key AND b.package = r.package AND k = 1
+      JOIN con ON con.scope_key = b.scope_key AND con.path = b.path AND con.rank = 1 WHERE r.rank <= 5""")
+def history_package_contributors(spark: SparkSession, d: str) -> DataFrame:
+    """The first 5 contributors and the owner of every package."""
+    return package_contributors(_c(spark, d), 2).where(F.col("rank") <= CONTRIBUTORS)
+
+
+@query(f"""WITH {CF} SELECT scope_key, {_P2} AS package, count(DISTINCT sha) AS commit_count FROM cf GROUP BY 1, 2 ORDER BY commit_count DESC, scope_key, package LIMIT 5""")
+def history_top_packages(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 packages of most commits."""
+    return package_metrics(_c(spark, d), 2).select("scope_key", "package", "commit_count").orderBy(F.desc("commit_count"), "scope_key", "package").limit(5)
+
+
+@query(f"""WITH {CF}, {FM}, e AS (SELECT DISTINCT scope_key, source_location.file AS path FROM entities WHERE removed_at IS NULL AND source_location.file IS NOT NULL),
+      x AS (SELECT fm.scope_key, fm.path, commit_count, e.path IS NOT NULL AS currently_exists FROM fm LEFT JOIN e ON e.scope_key = fm.scope_key AND e.path = fm.path)
+    SELECT * FROM (SELECT * FROM x WHERE currently_exists ORDER BY commit_count DESC, scope_key, path LIMIT 5) UNION ALL SELECT * FROM (SELECT * FROM x WHERE NOT currently_exists ORDER BY commit_count DESC, scope_key, path LIMIT 3)""")
+def history_present_and_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most changed files in which entities lie, and the 3 most changed of the others."""
+    from strataspark.sources.tables import table
+
+    present = table(spark, d, "entities").where(F.col("removed_at").isNull()).select("scope_key", F.col("source_location.file").alias("path")).dropna()
+    f = exists_now(file_metrics(_c(spark, d)).select(*FILE, "commit_count"), present)
+    first = lambda there, n: f.where(F.col("currently_exists") == there).orderBy(F.desc("commit_count"), *FILE).limit(n)
+    return first(True, 5).unionByName(first(False, 3))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,6 +41,12 @@ def global_scope(scopes: DataFrame) -> DataFrame:
     return scopes.orderBy(F.desc(F.coalesce(F.col("kind") == "parsed", F.lit(False))), F.desc_nulls_last("entities"), "key").limit(1)
 
 
+def scope_hash(sources: list[str], language: str = "typescript") -> str:
+    """Eight characters that name a scope by its language and sources, in whatever order and with whichever slashes these are given."""
+    told = "|".join(sorted(s.replace("\\", "/") for s in sources))
+    return hashlib.sha256(f"{language}::{told}".encode()).hexdigest()[:8]
+
+
 def merge_manifest(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     """Entries of both, those of `new` where a key is in both."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from strataspark.functions import mining as m
 
 TS = """export type Kind = "a" | "b";
@@ -56,3 +58,15 @@ def test_languages(spark):
     assert got["hidden"] == got["none"] == [("typescript", 0, 1)]
     # of three python names one lies at the root; both files named setup.py are files of python too
     assert got["markers"] == [("python", 40 + 2 * 12 + 2 * 4, 1), ("kotlin", 40 + 2 * 4, 2), ("cpp", 4, 3)]
+
+
+def test_relative_imports(spark):
+    imports = [("a.b.c", ".d"), ("a.b.c", "..x"), ("a.b.c", "..x.y"), ("a.b.c", "...."), ("a.b.c", "."), ("a.b.c", "__future__.x"), ("a.b.c", "a.b.c"), ("a.b.c", "__futures__"), ("a.b.c", "..."), ("a.b.c", ".....z")]
+    known = spark.createDataFrame([(x,) for x in ("a.b.d", "a.x", "a.b", "a.b.c", "__futures__", "z")], "module string")
+    got = {(r.imported, r.target) for r in m.resolve_imports(spark.createDataFrame(imports, "module string, imported string"), known).collect()}
+    assert got == {(".d", "a.b.d"), ("..x", "a.x"), (".", "a.b"), ("__futures__", "__futures__")}
+
+
+def test_module_spans(spark):
+    df = spark.createDataFrame([(["src/b/x.ts", "src/a/y.ts", "/a/z.ts", "root.ts", "src/main.ts", "lib/q.ts"],), ([],), (None,)], "files array<string>")
+    assert [r[0] for r in df.select(m.module_span(F.col("files"))).collect()] == [["a", "b", "lib"], [], None]

@@ -93,3 +93,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "y.txt").write_text("three")
     got = scopes.source_files(spark, str(tmp_path), "*.py", "_test").collect()
     assert [r.text for r in got] == ["one"]
+
+
+def test_scope_hash():
+    h = scopes.scope_hash(["src/b", "src\\a"])
+    assert len(h) == 8 and h == scopes.scope_hash(["src/a", "src/b"]) != scopes.scope_hash(["src/a", "src/b"], "go")
