@@ -41,18 +41,6 @@ def declarations(files: DataFrame, key: str = "file", text: str = "text", rules:
     return out
 
 
-def test_structure(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
-    """(file, cases, assertions, skips, test_type) of test texts of five languages by patterns; cases without assertions make a debug test."""
-    n = lambda p: F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(0)))
-    cases = n(r"\b(?:it|test)\(|\bdef test_\w+|\bfunc Test\w+|@Test\b|\bTEST(?:_F)?\(")
-    asserts = n(r"\bexpect\(|\bassert\w*[ (.]|\bt\.(?:Error|Fatal)\w*\(|\bEXPECT_\w+\(|\bASSERT_\w+\(")
-    skips = n(r"\b(?:it|test|describe)\.skip\(|@pytest\.mark\.skip|@Disabled\b|@Ignore\b|\bt\.Skip\(")
-    s = files.select(F.col(key).alias("file"), cases.alias("cases"), asserts.alias("assertions"), skips.alias("skips"))
-    perf = F.lower("file").rlike(r"bench|perf")
-    kind = F.when(perf, "performance").when((F.col("cases") > 0) & (F.col("assertions") == 0), "debug").when(F.col("file").rlike("integration|e2e"), "integration").otherwise("unit")
-    return s.withColumn("test_type", kind)
-
-
 def first_by_name(entities: DataFrame, keys: list[str], name: str, value: str, ordinal: str) -> DataFrame:
     """(keys, name, value): of entities with the same name the first by ordinal."""
     return entities.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.min_by(value, F.struct(ordinal, value)).alias(value))

@@ -14,6 +14,7 @@ MODULES = [
     "strataspark.operators.coverage",
     "strataspark.operators.health",
     "strataspark.functions.mining",
+    "strataspark.functions.test_texts",
     "strataspark.operators.assembly",
     "strataspark.operators.mapping",
 ]

@@ -3,14 +3,11 @@ from pyspark.sql import functions as F
 from strataspark.operators import assembly as a
 
 
-def test_declarations_and_tests(spark):
+def test_declarations(spark):
     code = "export class A extends B {\nclass C {\ninterface I\nclass P(Q):\nfunc (s *Store) Get(ctx"
     files = spark.createDataFrame([("x", code), ("y", None), ("z", "")], "file string, text string")
     got = {(r.kind, r.name, r.other) for r in a.declarations(files).collect()}
     assert {("class", "A", "B"), ("class", "C", ""), ("interface", "I", ""), ("class", "P", "Q"), ("method", "Store", "Get")} <= got
-    tests = spark.createDataFrame([("a.test.ts", "it('x', () => { expect(1) }); it.skip('y', () => {})"), ("test_b.py", "def test_b():\n    pass"), ("bench_c.py", "def test_c(): pass"), ("d", None)], "file string, text string")
-    s = {r.file: (r.cases, r.assertions, r.skips, r.test_type) for r in a.test_structure(tests).collect()}
-    assert s == {"a.test.ts": (1, 1, 1, "unit"), "test_b.py": (1, 0, 0, "debug"), "bench_c.py": (1, 0, 0, "performance"), "d": (0, 0, 0, "unit")}
 
 
 def test_repairs_and_merges(spark):
