@@ -41,6 +41,37 @@ def declarations(files: DataFrame, key: str = "file", text: str = "text", rules:
     return out
 
 
+#: What a declaration says of others: (relation, pattern with a group for the name and one for the list of the others) (fixed values).
+SUPERTYPES = [
+    ("inheritance", r"\bclass\s+(\w+)(?:<[^<>{}]*>)?\s+extends\s+([\w.]+)"),
+    ("implementation", r"\bclass\s+(\w+)[^{}();]*?\simplements\s+([\w.]+(?:<[^<>{}]*>)?(?:\s*,\s*[\w.]+(?:<[^<>{}]*>)?)*)"),
+    ("inheritance", r"\binterface\s+(\w+)(?:<[^<>{}]*>)?\s+extends\s+([\w.]+(?:<[^<>{}]*>)?(?:\s*,\s*[\w.]+(?:<[^<>{}]*>)?)*)"),
+    ("inheritance", r"\bclass\s+(\w+)\(([\w.]+(?:\s*,\s*[\w.]+)*)(?:\s*,\s*\w+\s*=[^)]*)?\)\s*:"),
+    ("inheritance", r"\bclass\s+(\w+)\s*:\s*(?:public|protected|private)\s+([\w:]+(?:\s*,\s*(?:public|protected|private)\s+[\w:]+)*)"),
+]
+#: Arrows of class diagrams, and what is their source (fixed values).
+ARROWS = [("inheritance", r"(\w+)\s*<\|--\s*(\w+)", 2), ("composition", r"(\w+)\s*\*--\s*(\w+)", 1), ("aggregation", r"(\w+)\s*o--\s*(\w+)", 1), ("dependency", r"(\w+)\s*\.\.>\s*(\w+)", 1), ("association", r"(\w+)\s*-->\s*(\w+)", 1), ("implementation", r"(\w+)\s*<\|\.\.\s*(\w+)", 2)]
+
+
+def text_relations(files: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
+    """(file, rel_type, source, target): what declarations of classes and arrows of class diagrams in texts say, each once per file. Type arguments and access of base classes are left out."""
+    t = files.select(F.col(key).alias("file"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+
+    def found(pattern: str) -> DataFrame:
+        a, b = (F.regexp_extract_all("t", F.lit(pattern), F.lit(i)) for i in (1, 2))
+        return t.select("file", F.explode(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("x")).select("file", "x.a", "x.b")
+
+    out = None
+    for kind, pattern in SUPERTYPES:
+        bare = F.regexp_replace(F.regexp_replace("b", "<[^<>]*>", ""), r"\b(?:public|protected|private)\s+", "")
+        part = found(pattern).select("file", F.lit(kind).alias("rel_type"), F.col("a").alias("source"), F.explode(F.split(bare, r"\s*,\s*")).alias("target"))
+        out = part if out is None else out.unionByName(part)
+    for kind, pattern, source in ARROWS:
+        ends = ("a", "b") if source == 1 else ("b", "a")
+        out = out.unionByName(found(pattern).select("file", F.lit(kind).alias("rel_type"), F.col(ends[0]).alias("source"), F.col(ends[1]).alias("target")))
+    return out.where(F.trim("target") != "").distinct()
+
+
 def first_by_name(entities: DataFrame, keys: list[str], name: str, value: str, ordinal: str) -> DataFrame:
     """(keys, name, value): of entities with the same name the first by ordinal."""
     return entities.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.min_by(value, F.struct(ordinal, value)).alias(value))
@@ -259,6 +290,19 @@ def extracted_declarations(spark: SparkSession, d: str) -> DataFrame:
     return declarations(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("file", "doc_id")
 
 
+_REL_SQL = " UNION ALL ".join(
+    [f"SELECT doc_id, '{k}' AS rel_type, a AS source, unnest(regexp_split_to_array(regexp_replace(regexp_replace(b, '<[^<>]*>', '', 'g'), '\\b(?:public|protected|private)\\s+', '', 'g'), '\\s*,\\s*')) AS target"
+     f" FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{p}', 1)) AS a, unnest(regexp_extract_all(text, '{p}', 2)) AS b FROM documents)" for k, p in SUPERTYPES]
+    + [f"SELECT doc_id, '{k}', unnest(regexp_extract_all(text, '{p}', {s})), unnest(regexp_extract_all(text, '{p}', {3 - s})) FROM documents" for k, p, s in ARROWS]
+)
+
+
+@query(f"SELECT DISTINCT doc_id, rel_type, source, target FROM ({_REL_SQL}) WHERE trim(target) <> ''")
+def extracted_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations that the corpus' texts declare or draw."""
+    return text_relations(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("file", "doc_id")
+
+
 _GROUPS = [("^src/core/", "core", 5), ("^src/(api|cli)/", "surface", 3), ("^src/", "source", 1), (r"\.go$", "go", 3)]
 
 

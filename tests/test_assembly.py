@@ -10,6 +10,25 @@ def test_declarations(spark):
     assert {("class", "A", "B"), ("class", "C", ""), ("interface", "I", ""), ("class", "P", "Q"), ("method", "Store", "Get")} <= got
 
 
+def test_relations_in_texts(spark):
+    texts = {
+        "ts": "export class A<T> extends B<T> implements I, J<K> {}\nexport interface I extends P, Q {}\nclass Lone {}",
+        "py": "class C(Base, abc.ABC, metaclass=Meta):\n    pass\nclass D:\n    pass\nclass E(Base):",
+        "cpp": "class F : public G, private ns::H {};",
+        "md": "classDiagram\n  X <|-- Y\n  X *-- Z : has\n  X o-- W\n  X ..> V\n  X --> U\n  N <|.. M\n  X --> U",
+    }
+    df = spark.createDataFrame([*texts.items(), ("none", None), ("empty", "")], "file string, text string")
+    got = {}
+    for r in a.text_relations(df).collect():
+        got.setdefault(r.file, []).append((r.rel_type, r.source, r.target))
+    assert {f: sorted(x) for f, x in got.items()} == {
+        "ts": [("implementation", "A", "I"), ("implementation", "A", "J"), ("inheritance", "A", "B"), ("inheritance", "I", "P"), ("inheritance", "I", "Q")],
+        "py": [("inheritance", "C", "Base"), ("inheritance", "C", "abc.ABC"), ("inheritance", "E", "Base")],
+        "cpp": [("inheritance", "F", "G"), ("inheritance", "F", "ns::H")],
+        "md": [("aggregation", "X", "W"), ("association", "X", "U"), ("composition", "X", "Z"), ("dependency", "X", "V"), ("implementation", "M", "N"), ("inheritance", "Y", "X")],
+    }
+
+
 def test_repairs_and_merges(spark):
     e = spark.createDataFrame([("p.Base", "p"), ("q.Base", "q"), ("q.r.X", "q")], "key string, package string")
     r = spark.createDataFrame([(1, "p.Base"), (2, "z.Base"), (3, "none.Y"), (4, "q.Base")], "id int, target string")

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 #: Queries for which the smallest data hold nothing; other tests have fixtures for them.
-EMPTY = {"p4_flat_capability_node", "mapped_cpp", "mapped_kotlin", "layer_capabilities", "implicit_interfaces", "literal_comparisons", "literal_dispersion"}
+EMPTY = {"p4_flat_capability_node", "mapped_cpp", "mapped_kotlin", "texts_like_tests", "layer_capabilities", "implicit_interfaces", "literal_comparisons", "literal_dispersion"}
 
 
 def plain(v):
