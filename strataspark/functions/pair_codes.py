@@ -27,6 +27,8 @@ BLOCK = 1024
 RUN = 1 << 20
 #: Wide baskets up to this number are broadcast (24 bytes each); more are joined by a shuffle.
 WIDE = 100_000
+#: Bytes of numbered items up to which they are broadcast; more are joined by a shuffle.
+NEAR = 32 << 20
 #: What stands for a basket and its scope: two 64-bit hashes. Among 10**10 baskets, that two are taken for one has a chance of 10**-19.
 BASKET = ["__b1", "__b2"]
 
@@ -54,6 +56,15 @@ def numbered(items: DataFrame) -> DataFrame:
     return kept.join(F.broadcast(offsets), "__p").withColumn("no", F.col("__o") + F.col("__r")).drop("__p", "__o", "__r")
 
 
+def near(items: DataFrame, *texts: str) -> DataFrame:
+    """Numbered items as a broadcast, if with their texts they have NEAR bytes at most; that is counted first."""
+    width = F.lit(48)
+    for t in texts:
+        width = width + F.octet_length(t)
+    size = items.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(items) if size <= NEAR else items
+
+
 def pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counted runs of pair codes of the baskets' blocks of items."""
     run, size = [], 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataspark.functions.pair_codes import count_pairs, hashed, numbered
+from strataspark.functions.pair_codes import count_pairs, hashed, near, numbered
 from strataspark.functions.text import package_path
 from strataspark.plans.registry import register
 from strataspark.plans.storage import cut
@@ -65,7 +65,7 @@ def cochange(changes: DataFrame, min_joint: int = 1) -> DataFrame:
     """
     c = changes.select("scope_key", "sha", "path").dropna()
     counts = c.groupBy("scope_key", "path").agg(F.count(F.lit(1)).alias("n"))
-    files = numbered(counts)
+    files = near(numbered(counts), "scope_key", "path")
     members = cut(c.join(files.select("scope_key", "path", "no"), ["scope_key", "path"]).select(*hashed("scope_key", "sha"), "no"))
     a = files.select(F.col("no").alias("no_a"), "scope_key", "path", F.col("n").alias("na"))
     b = files.select(F.col("no").alias("no_b"), F.col("path").alias("path2"), F.col("n").alias("nb"))
