@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.functions.pair_codes import BASKET, BLOCK, count_pairs, hashed, numbered
+from strataspark.functions.pair_codes import BASKET, BLOCK, count_pairs, hashed, near, numbered
 from strataspark.plans.storage import cut
 
 
@@ -37,7 +37,7 @@ def frequent_pairs(
     totals = once.groupBy("__s", *BASKET).agg(F.lit(1).alias("one")).groupBy("__s").agg(F.count(F.lit(1)).alias("n_all"))
     counts = once.groupBy("__s", "__i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     items = counts.join(totals, "__s").where(F.col("n") * F.lit(min_lift) <= F.col("n_all"))
-    items = numbered(items.select("__s", "__i", "n", "n_all"))
+    items = near(numbered(items.select("__s", "__i", "n", "n_all")), "__s", "__i")
 
     members = cut(once.join(items.select("__s", "__i", "no"), ["__s", "__i"]).select(*BASKET, "no"))
     pairs = count_pairs(members, block).where(F.col("n_ab") >= min_count)
