@@ -326,7 +326,7 @@ def largest_directories(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, CASE WHEN target IN (SELECT key FROM ent) THEN target ELSE coalesce(repaired, target) END AS target FROM rel LEFT JOIN sh ON sh.short = string_split(target, '.')[-1] WHERE rel_type = 'inheritance'""")
 def repaired_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """Inheritance with targets repaired by their simple name."""
-    r = relations(spark, d).where(F.col("rel_type") == "inheritance").select("id", "target")
+    r = relations(spark, d, "rel_type").where(F.col("rel_type") == "inheritance").select("id", "target")
     return repair_targets(r, current_entities(spark, d, "id"))
 
 
@@ -354,7 +354,7 @@ _CUSTOM = {"readers": [(None, "Session", None, "session", None, 1), ("emitToken"
       WHEN target_method LIKE '%Order' THEN 'order' END AS protocol FROM edge WHERE rel_type = 'call') WHERE protocol IS NOT NULL GROUP BY 1, 2""")
 def call_protocols(spark: SparkSession, d: str) -> DataFrame:
     """Calls that register an entry point, by framework and protocol, under a project's own patterns beside grpc's."""
-    calls = edges(spark, d).where(F.col("rel_type") == "call").select(
+    calls = edges(spark, d, "target_method").where(F.col("rel_type") == "call").select(
         F.col("target_method").alias("function"), F.lit(None).cast("string").alias("receiver_type"), F.array().cast("array<string>").alias("args")
     )
     return entry_points(calls, ["grpc"], _CUSTOM).groupBy("framework", "protocol").agg(F.count(F.lit(1)).alias("calls"))
@@ -364,7 +364,7 @@ def call_protocols(spark: SparkSession, d: str) -> DataFrame:
     WHERE rel_type = 'call' AND NOT coalesce(regexp_matches(target_method, '{NOISE}'), false) GROUP BY 1, 2""")
 def call_types(spark: SparkSession, d: str) -> DataFrame:
     """Calls of a flow by type, with the confidence a type has."""
-    calls = without_noise(edges(spark, d).where(F.col("rel_type") == "call"), "target_method")
+    calls = without_noise(edges(spark, d, "target_method", "call_type").where(F.col("rel_type") == "call"), "target_method")
     return calls.groupBy("call_type", call_confidence(F.col("call_type")).alias("confidence")).agg(F.count(F.lit(1)).alias("calls"))
 
 
@@ -382,4 +382,4 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
 
     e = current_entities(spark, d, "name", "scope_key", "source_location")
     risks = file_risk(_c(spark, d)).select("scope_key", "path", "risk_score")
-    return cognitive_summary(["FlowLoader0", "SessionPlanner3", "NobodyKnows"], e, edges(spark, d), entity_scores(spark, d), risks)
+    return cognitive_summary(["FlowLoader0", "SessionPlanner3", "NobodyKnows"], e, edges(spark, d, "rel_type"), entity_scores(spark, d), risks)

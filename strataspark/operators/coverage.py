@@ -168,7 +168,7 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     e = e.withColumn("file", F.col("source_location.file"))
     checks = e.where(F.col("name").rlike(_CHECK))
     rest = e.where(~F.col("name").rlike(_CHECK)).select("key", "scope_key", "file")
-    used = edges(spark, d).select(F.col("src").alias("test_id"), F.col("dst").alias("key")).distinct()
+    used = edges(spark, d, "rel_type").select(F.col("src").alias("test_id"), F.col("dst").alias("key")).distinct()
     used = used.join(checks.select(F.col("key").alias("test_id")), "test_id", "left_semi").join(rest.select("key", F.col("file").alias("of")), "key")
     subject = used.groupBy("test_id").agg(F.min_by("of", "key").alias("of"))
     tests = checks.withColumnRenamed("key", "test_id").join(subject, "test_id", "left")

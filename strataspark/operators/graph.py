@@ -244,7 +244,7 @@ def _starts(spark: SparkSession, d: str) -> DataFrame:
 @query(_walk("dst", "src", _SHARED, 3))
 def dependents(spark: SparkSession, d: str) -> DataFrame:
     """Entities that depend on those whose id begins with `commonlib.s`, up to 3 steps away; shared_dependents takes all shared ones."""
-    return reachable(edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), _starts(spark, d), 3)
+    return reachable(edges(spark, d, "rel_type").select(F.col("dst").alias("src"), F.col("src").alias("dst")), _starts(spark, d), 3)
 
 
 @query(f"""WITH RECURSIVE {EDGE}, starts AS (SELECT key FROM ent WHERE contains(key, '.auth.')),
@@ -253,7 +253,7 @@ def dependents(spark: SparkSession, d: str) -> DataFrame:
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
     """What the entities of the auth packages depend on, up to 2 steps away."""
     starts = current_entities(spark, d, "id").where(F.contains("key", F.lit(".auth."))).select("key")
-    return reachable(edges(spark, d), starts, 2)
+    return reachable(edges(spark, d, "rel_type"), starts, 2)
 
 
 @query(f"""WITH {EDGE}, c AS (SELECT DISTINCT src, dst, source_method FROM edge WHERE rel_type = 'call'),
@@ -262,7 +262,7 @@ def dependencies(spark: SparkSession, d: str) -> DataFrame:
     SELECT src AS source, source_method, 1 AS depth FROM l1 UNION ALL SELECT src, source_method, 2 FROM l2""")
 def find_callers(spark: SparkSession, d: str) -> DataFrame:
     """Callers of the entities whose id begins with `commonlib.s`, two levels; shared_callers takes all shared ones."""
-    calls = edges(spark, d).where(F.col("rel_type") == "call").select("src", "dst", "source_method", "target_method")
+    calls = edges(spark, d, "source_method", "target_method").where(F.col("rel_type") == "call").select("src", "dst", "source_method", "target_method")
     return callers(calls, _starts(spark, d), 2)
 
 
@@ -280,7 +280,7 @@ def shared_starts(spark: SparkSession, d: str) -> DataFrame:
     SELECT key, min(depth) AS depth FROM walk WHERE key NOT IN (SELECT key FROM starts) GROUP BY 1""")
 def shared_dependents(spark: SparkSession, d: str) -> DataFrame:
     """Entities that depend on any shared entity, up to 3 steps away."""
-    return reachable(edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), shared_starts(spark, d), 3)
+    return reachable(edges(spark, d, "rel_type").select(F.col("dst").alias("src"), F.col("src").alias("dst")), shared_starts(spark, d), 3)
 
 
 @query(f"""WITH {EDGE}, {_SHARED_SQL}, c AS (SELECT DISTINCT src, dst, source_method FROM edge WHERE rel_type = 'call'),
@@ -289,7 +289,7 @@ def shared_dependents(spark: SparkSession, d: str) -> DataFrame:
     SELECT src AS source, source_method, 1 AS depth FROM l1 UNION ALL SELECT src, source_method, 2 FROM l2""")
 def shared_callers(spark: SparkSession, d: str) -> DataFrame:
     """Callers of all shared entities, two levels."""
-    calls = edges(spark, d).where(F.col("rel_type") == "call").select("src", "dst", "source_method", "target_method")
+    calls = edges(spark, d, "source_method", "target_method").where(F.col("rel_type") == "call").select("src", "dst", "source_method", "target_method")
     return callers(calls, shared_starts(spark, d), 2)
 
 
@@ -300,7 +300,7 @@ CLOSURE = """one AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst),
 
 
 def scc(spark: SparkSession, d: str) -> DataFrame:
-    return components(edges(spark, d))
+    return components(edges(spark, d, "rel_type"))
 
 
 @query(f"WITH RECURSIVE {EDGE}, {CLOSURE} SELECT key, component FROM cyc")
@@ -335,19 +335,19 @@ _DEG = """deg AS (SELECT key, sum(i) AS in_degree, sum(o) AS out_degree FROM
 @query(f"WITH {EDGE}, {_DEG} SELECT key, in_degree::BIGINT AS in_degree, out_degree::BIGINT AS out_degree FROM deg WHERE in_degree + out_degree >= 8")
 def high_coupling(spark: SparkSession, d: str) -> DataFrame:
     """Entities with at least 8 edges."""
-    return degrees(edges(spark, d)).where(F.col("in_degree") + F.col("out_degree") >= 8)
+    return degrees(edges(spark, d, "rel_type")).where(F.col("in_degree") + F.col("out_degree") >= 8)
 
 
 @query(f"WITH {EDGE}, {_DEG} SELECT key FROM ent WHERE key NOT IN (SELECT key FROM deg)")
 def orphan_entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities without any edge."""
-    return current_entities(spark, d, "id").select("key").join(degrees(edges(spark, d)).select("key"), "key", "left_anti")
+    return current_entities(spark, d, "id").select("key").join(degrees(edges(spark, d, "rel_type")).select("key"), "key", "left_anti")
 
 
 @query(f"WITH {EDGE}, {_DEG} SELECT key, in_degree::BIGINT AS in_degree FROM deg ORDER BY in_degree DESC, key LIMIT 10")
 def top_depended_on(spark: SparkSession, d: str) -> DataFrame:
     """The 10 entities with most edges in."""
-    return degrees(edges(spark, d)).select("key", "in_degree").orderBy(F.desc("in_degree"), "key").limit(10)
+    return degrees(edges(spark, d, "rel_type")).select("key", "in_degree").orderBy(F.desc("in_degree"), "key").limit(10)
 
 
 @query(f"""WITH {ENT} SELECT key, coalesce(len(list_filter(members, lambda m: m.type IN ('method', 'constructor'))), 0)::INT AS methods FROM ent ORDER BY methods DESC, key LIMIT 10""")
@@ -362,13 +362,13 @@ def top_by_methods(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EDGE}, {_DEG} SELECT key, out_degree::BIGINT AS out_degree FROM deg ORDER BY out_degree DESC, key LIMIT 10")
 def top_dependers(spark: SparkSession, d: str) -> DataFrame:
     """The 10 entities with most edges out."""
-    return degrees(edges(spark, d)).select("key", "out_degree").orderBy(F.desc("out_degree"), "key").limit(10)
+    return degrees(edges(spark, d, "rel_type")).select("key", "out_degree").orderBy(F.desc("out_degree"), "key").limit(10)
 
 
 @query(f"WITH {EDGE} SELECT rel_type, count(*) AS n FROM edge GROUP BY 1")
 def relation_counts(spark: SparkSession, d: str) -> DataFrame:
     """Resolved edges by type."""
-    return edges(spark, d).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
+    return edges(spark, d, "rel_type").groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {EDGE} SELECT rel.id, rel.source IN (SELECT endpoint FROM ends) AS source_known, rel.target IN (SELECT endpoint FROM ends) AS target_known FROM rel WHERE rel.id NOT IN (SELECT id FROM edge)")
@@ -379,7 +379,7 @@ def dangling_relations(spark: SparkSession, d: str) -> DataFrame:
     ends = resolver(current_entities(spark, d, "name")).select("end")
     a = ends.select(F.col("end").alias("source"), F.lit(True).alias("a"))
     b = ends.select(F.col("end").alias("target"), F.lit(True).alias("b"))
-    r = relations(spark, d).join(a, "source", "left").join(b, "target", "left")
+    r = relations(spark, d, "rel_type").join(a, "source", "left").join(b, "target", "left")
     flags = r.select("id", F.coalesce("a", F.lit(False)).alias("source_known"), F.coalesce("b", F.lit(False)).alias("target_known"))
     return flags.where(~(F.col("source_known") & F.col("target_known")))
 
@@ -388,14 +388,14 @@ def dangling_relations(spark: SparkSession, d: str) -> DataFrame:
 def inferred_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Share of relations that were inferred."""
     inferred = F.col("inference_source").isNotNull() & (F.col("inference_source") != "explicit")
-    r = relations(spark, d)
+    r = relations(spark, d, "inference_source")
     return r.agg(F.round(F.coalesce(F.avg(F.when(inferred, 1.0).otherwise(0.0)), F.lit(0.0)), 2).alias("ratio"), F.count(F.lit(1)).alias("relations"))
 
 
 def exact_edges(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, ...): relations whose ends are ids of entities themselves; names are not resolved."""
     ids = current_entities(spark, d, "id").select("key")
-    r = relations(spark, d).withColumnsRenamed({"source": "src", "target": "dst"})
+    r = relations(spark, d, "rel_type").withColumnsRenamed({"source": "src", "target": "dst"})
     return r.join(ids.withColumnRenamed("key", "src"), "src", "left_semi").join(ids.withColumnRenamed("key", "dst"), "dst", "left_semi")
 
 
@@ -430,7 +430,7 @@ def has_cycle(pairs: DataFrame) -> bool:
 @query(f"""WITH RECURSIVE {EDGE}, {CLOSURE} SELECT DISTINCT e.src, e.dst, a.component FROM edge e JOIN cyc a ON a.key = e.src JOIN cyc b ON b.key = e.dst AND b.component = a.component WHERE e.src <> e.dst""")
 def edges_in_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Edges between entities of the same cycle."""
-    e = edges(spark, d)
+    e = edges(spark, d, "rel_type")
     return cycle_edges(e, components(e))
 
 

@@ -238,7 +238,7 @@ _SPLIT = "2025-07-01"
 
 @query(f"WITH {EDGE} SELECT src, dst, sum({_W}) AS w FROM edge GROUP BY 1, 2")
 def weighted_adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return adjacency(edges(spark, d))
+    return adjacency(edges(spark, d, "rel_type"))
 
 
 @query(f"""WITH {EDGE}, a AS (SELECT src, dst, sum({_W}) AS w FROM edge GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM ent)
@@ -246,7 +246,7 @@ def weighted_adjacency(spark: SparkSession, d: str) -> DataFrame:
 def adjacency_columns(spark: SparkSession, d: str) -> DataFrame:
     from strataspark.sources.tables import current_entities
 
-    s = column_statistics(adjacency(edges(spark, d)), current_entities(spark, d, "id").count())
+    s = column_statistics(adjacency(edges(spark, d, "rel_type")), current_entities(spark, d, "id").count())
     return s.withColumns({c: F.round(c, 9) for c in ("mean", "sd")})
 
 
@@ -258,7 +258,7 @@ def adjacency_columns(spark: SparkSession, d: str) -> DataFrame:
       CASE WHEN drift >= 3 THEN 'critical' WHEN drift >= 1.5 THEN 'significant' WHEN drift >= 0.5 THEN 'moderate' ELSE 'stable' END AS level FROM r""")
 def adjacency_drift(spark: SparkSession, d: str) -> DataFrame:
     """Drift of every entity between its relations up to a day and all of them."""
-    e = edges(spark, d)
+    e = edges(spark, d, "rel_type")
     seen = table(spark, d, "relations").where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by("observed_at", "ingested_at").alias("o"))
     old = e.join(seen.where(F.col("o") < F.lit(_SPLIT).cast("timestamp")).select("id"), "id", "left_semi")
     return drift(adjacency(old), adjacency(e))
@@ -269,7 +269,7 @@ def adjacency_empty_rows(spark: SparkSession, d: str) -> DataFrame:
     """Entities whose row of the adjacency is empty."""
     from strataspark.sources.tables import current_entities
 
-    return current_entities(spark, d, "id").select("key").join(edges(spark, d).select(F.col("src").alias("key")), "key", "left_anti")
+    return current_entities(spark, d, "id").select("key").join(edges(spark, d, "rel_type").select(F.col("src").alias("key")), "key", "left_anti")
 
 
 @query()
@@ -278,7 +278,7 @@ def projected_rows(spark: SparkSession, d: str) -> DataFrame:
     from strataspark.sources.tables import current_entities
 
     k = target_dimension(current_entities(spark, d, "id").count())
-    a = adjacency(edges(spark, d))
+    a = cut(adjacency(edges(spark, d, "rel_type")))  # read by the search for long rows, the projection and the lengths
     p = project(a, k).select("src", F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x).alias("projected"))
     true = a.groupBy("src").agg(F.sum(F.col("w") * F.col("w")).alias("length"))
     return true.join(p, "src").select("src", "length", "projected")
@@ -298,7 +298,7 @@ def cluster_boundaries(spark: SparkSession, d: str) -> DataFrame:
     from strataspark.sources.tables import current_entities
 
     packages = current_entities(spark, d, "id").select("key", F.split("key", r"\.")[1].alias("package")).where(F.col("package").isNotNull())
-    return boundary_report(cut(adjacency(edges(spark, d))), packages, search=False)["scores"]
+    return boundary_report(cut(adjacency(edges(spark, d, "rel_type"))), packages, search=False)["scores"]
 
 
 @query()

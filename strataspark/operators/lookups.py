@@ -188,7 +188,7 @@ def class_scope_relations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {REL} SELECT id, source, target, rel_type FROM rel WHERE rel_type <> 'call'")
 def package_scope_relations(spark: SparkSession, d: str) -> DataFrame:
-    return for_scope(relations(spark, d), "package").select("id", "source", "target", "rel_type")
+    return for_scope(relations(spark, d, "rel_type"), "package").select("id", "source", "target", "rel_type")
 
 
 _EXT = " OR ".join(f"regexp_matches(target, '{p}')" for p in EXTERNAL)
@@ -196,14 +196,14 @@ _EXT = " OR ".join(f"regexp_matches(target, '{p}')" for p in EXTERNAL)
 
 @query(f"WITH {ENT}, {REL} SELECT id, source, target FROM rel WHERE NOT ({_EXT}) OR target IN (SELECT key FROM ent)")
 def project_relations(spark: SparkSession, d: str) -> DataFrame:
-    return without_external(relations(spark, d), current_entities(spark, d, "id")).select("id", "source", "target")
+    return without_external(relations(spark, d, "rel_type"), current_entities(spark, d, "id")).select("id", "source", "target")
 
 
 @query(f"""WITH {REL} SELECT id, source, target FROM rel WHERE NOT (starts_with(source, 'experiments/') OR contains(source, '/experiments/')
     OR starts_with(target, 'experiments/') OR contains(target, '/experiments/'))""")
 def relations_outside_experiments(spark: SparkSession, d: str) -> DataFrame:
     at = lambda c: F.startswith(F.col(c), F.lit("experiments/")) | F.contains(F.col(c), F.lit("/experiments/"))
-    return relations(spark, d).where(~at("source") & ~at("target")).select("id", "source", "target")
+    return relations(spark, d, "rel_type").where(~at("source") & ~at("target")).select("id", "source", "target")
 
 
 _SUB = f"""WITH {ENT}, {REL}, mine AS (SELECT key FROM ent WHERE starts_with(source_location.file, '{PREFIX}')),
@@ -222,26 +222,26 @@ def submodule(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EDGE} SELECT DISTINCT src AS key, dst AS supertype, rel_type FROM edge WHERE rel_type IN ('implementation', 'inheritance')")
 def subtypes(spark: SparkSession, d: str) -> DataFrame:
     """Implementers and subclasses of every entity."""
-    e = edges(spark, d).where(F.col("rel_type").isin("implementation", "inheritance"))
+    e = edges(spark, d, "rel_type").where(F.col("rel_type").isin("implementation", "inheritance"))
     return e.select(F.col("src").alias("key"), F.col("dst").alias("supertype"), "rel_type").distinct()
 
 
 @query(f"""WITH {EDGE} SELECT DISTINCT src AS key FROM edge JOIN ent ON ent.key = dst WHERE rel_type = 'implementation' AND name = 'SessionPlanner3'""")
 def find_implementers(spark: SparkSession, d: str) -> DataFrame:
     named = by_name(current_entities(spark, d, "name"), "SessionPlanner3").select(F.col("key").alias("dst"))
-    e = edges(spark, d).where(F.col("rel_type") == "implementation")
+    e = edges(spark, d, "rel_type").where(F.col("rel_type") == "implementation")
     return e.join(named, "dst", "left_semi").select(F.col("src").alias("key")).distinct()
 
 
 @query(f"WITH {EDGE} SELECT id, src, dst, rel_type FROM edge")
 def resolved_edges(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).select("id", "src", "dst", "rel_type")
+    return edges(spark, d, "rel_type").select("id", "src", "dst", "rel_type")
 
 
 @query(f"""WITH {REL}, e AS (SELECT DISTINCT source, target, rel_type FROM rel) SELECT rel_type, count(*) AS n FROM e GROUP BY 1""")
 def distinct_relations_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Relations once per type and ends, counted by type."""
-    return relations(spark, d).dropDuplicates(["rel_type", "source", "target"]).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
+    return relations(spark, d, "rel_type").dropDuplicates(["rel_type", "source", "target"]).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {ENT} SELECT key, 'missing name' AS issue FROM ent WHERE coalesce(name, '') = '' UNION ALL

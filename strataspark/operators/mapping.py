@@ -337,7 +337,7 @@ def mapped_kotlin(spark: SparkSession, d: str) -> DataFrame:
     SELECT regexp_extract(f, '^(.*)\\.[^.]*$', 1) AS source, regexp_extract(t, '^(.*)\\.[^.]*$', 1) AS target, regexp_extract(f, '[^.]*$') AS source_method, regexp_extract(t, '[^.]*$') AS target_method, x.k AS call_type, x.c AS confidence FROM o""")
 def mapped_flow_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls between methods, put together from a flow's ends."""
-    e = edges(spark, d).where((F.col("rel_type") == "call") & F.col("source_method").isNotNull() & F.col("target_method").isNotNull())
+    e = edges(spark, d, "source_method", "target_method", "call_type", "confidence").where((F.col("rel_type") == "call") & F.col("source_method").isNotNull() & F.col("target_method").isNotNull())
     return flow_calls(e.select(F.concat_ws(".", "src", "source_method").alias("from"), F.concat_ws(".", "dst", "target_method").alias("to"), F.col("call_type").alias("type"), "confidence"))
 
 
@@ -347,7 +347,7 @@ def mapped_field_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls on fields that hold entities whose name begins with Order."""
     e = current_entities(spark, d, "name").select(F.col("key").alias("dst"), F.lower("name").alias("receiver"), "name")
     known = e.where(F.startswith("name", F.lit("Order"))).select(F.col("receiver").alias("name"))
-    sites = edges(spark, d).where(F.col("rel_type") == "call").join(e.drop("name"), "dst").select(F.col("src").alias("id"), F.lit(None).cast("string").alias("package"), F.col("source_method").alias("method"), "receiver", F.col("target_method").alias("called"))
+    sites = edges(spark, d, "source_method", "target_method").where(F.col("rel_type") == "call").join(e.drop("name"), "dst").select(F.col("src").alias("id"), F.lit(None).cast("string").alias("package"), F.col("source_method").alias("method"), "receiver", F.col("target_method").alias("called"))
     return receiver_calls(sites, known, "python")
 
 
@@ -365,4 +365,4 @@ def file_packages(spark: SparkSession, d: str) -> DataFrame:
 def scope_complexity(spark: SparkSession, d: str) -> DataFrame:
     """How complex a diagram of a whole scope would be."""
     e = current_entities(spark, d, "scope_key").where(F.col("scope_key").isNotNull())
-    return complexity(e, edges(spark, d).select("scope_key", F.col("src").alias("source"), F.col("dst").alias("target")), ["scope_key"])
+    return complexity(e, edges(spark, d, "scope_key").select("scope_key", F.col("src").alias("source"), F.col("dst").alias("target")), ["scope_key"])

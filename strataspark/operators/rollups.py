@@ -311,7 +311,7 @@ PS = f"""ps AS (SELECT scope_key, array_to_string(string_split({_DIR}, '/')[1:2]
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return file_stats(current_entities(spark, d, "scope_key", "source_location", "members"), edges(spark, d))
+    return file_stats(current_entities(spark, d, "scope_key", "source_location", "members"), edges(spark, d, "rel_type"))
 
 
 @query(f"WITH {FS} SELECT * FROM fs")
@@ -369,17 +369,17 @@ _GINI_OF = lambda of, v: f"SELECT scope_key, round({_GINI.format(v=v)}, 6) AS gi
       LEFT JOIN gi USING (scope_key) LEFT JOIN gp USING (scope_key) LEFT JOIN r USING (scope_key) LEFT JOIN c USING (scope_key) LEFT JOIN v USING (scope_key)""")
 def metric_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The metric vector of every scope."""
-    e, es = current_entities(spark, d, "scope_key", "source_location", "members"), edges(spark, d)
+    e, es = current_entities(spark, d, "scope_key", "source_location", "members"), edges(spark, d, "rel_type")
     f = file_stats(e, es).where(F.col("scope_key").isNotNull())
     own = e.select("key", "scope_key")
     covered = own.join(coverage.entity_scores(spark, d), "key", "left")
-    return metric_vector(f, package_stats(f), relations(spark, d), own.join(components(es), "key"), covered)
+    return metric_vector(f, package_stats(f), relations(spark, d, "inference_source", "scope_key"), own.join(components(es), "key"), covered)
 
 
 @query(f"""WITH RECURSIVE {EDGE}, {_CLOSURE} SELECT scope_key, source_location.file AS file, count(DISTINCT component) AS cycles FROM cyc JOIN ent USING (key) WHERE source_location.file IS NOT NULL GROUP BY 1, 2""")
 def rollup_file_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Cycles that touch a file."""
-    return file_cycles(current_entities(spark, d, "scope_key", "source_location"), components(edges(spark, d)))
+    return file_cycles(current_entities(spark, d, "scope_key", "source_location"), components(edges(spark, d, "rel_type")))
 
 
 @query(f"""WITH {TREE}, {FS}, n AS (SELECT DISTINCT raw_id, path, json_extract_string(n, '$.id') AS id, json_extract_string(n, '$.type') AS node_type, json_extract_string(n, '$.fileCount')::BIGINT AS file_count FROM package_node),
@@ -399,7 +399,7 @@ PD = f"""{EDGE}, pe AS (SELECT {_DP.format('src')} AS source, {_DP.format('dst')
 
 @query(f"WITH {PD} SELECT * FROM pd")
 def rollup_package_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    return package_dependencies(current_entities(spark, d, "id"), edges(spark, d))
+    return package_dependencies(current_entities(spark, d, "id"), edges(spark, d, "rel_type"))
 
 
 @query(f"""WITH {PD}, nodes AS (SELECT DISTINCT {_DP.format('key')} AS key FROM ent), c AS (SELECT source, target FROM pe WHERE source <> target)
@@ -408,14 +408,14 @@ def rollup_package_dependencies(spark: SparkSession, d: str) -> DataFrame:
 def rollup_package_fan(spark: SparkSession, d: str) -> DataFrame:
     """Edges between packages, in and out, of every package."""
     p = lambda c: dotted_package(F.col(c), 2)
-    pairs = edges(spark, d).select(p("src").alias("source"), p("dst").alias("target")).where(F.col("source") != F.col("target"))
+    pairs = edges(spark, d, "rel_type").select(p("src").alias("source"), p("dst").alias("target")).where(F.col("source") != F.col("target"))
     return fan(pairs, current_entities(spark, d, "id").select(p("key").alias("key")).distinct())
 
 
 @query(f"""WITH {PD}, u AS (SELECT DISTINCT source, target FROM pd) SELECT target AS key, count(*) AS fan_in FROM u GROUP BY 1 ORDER BY fan_in DESC, key LIMIT 5""")
 def influential_packages(spark: SparkSession, d: str) -> DataFrame:
     """The 5 packages most packages depend on."""
-    u = package_dependencies(current_entities(spark, d, "id"), edges(spark, d)).select("source", "target").distinct()
+    u = package_dependencies(current_entities(spark, d, "id"), edges(spark, d, "rel_type")).select("source", "target").distinct()
     return u.groupBy(F.col("target").alias("key")).agg(F.count(F.lit(1)).alias("fan_in")).orderBy(F.desc("fan_in"), "key").limit(5)
 
 
@@ -438,7 +438,7 @@ def rollup_prefixes(spark: SparkSession, d: str) -> DataFrame:
     SELECT source, target, strength, CASE WHEN lo = hi THEN 1.0::DOUBLE WHEN strength >= top THEN 5.0 WHEN strength > mid THEN 3.0 ELSE 1.0 END AS tier FROM z""")
 def package_edge_tiers(spark: SparkSession, d: str) -> DataFrame:
     """Package dependencies with the tier of their strength within the scope."""
-    g = package_dependencies(current_entities(spark, d, "id"), edges(spark, d)).groupBy("source", "target").agg(F.sum("n").alias("strength"))
+    g = package_dependencies(current_entities(spark, d, "id"), edges(spark, d, "rel_type")).groupBy("source", "target").agg(F.sum("n").alias("strength"))
     return tiers(g.withColumn("scope", F.substring_index("source", ".", 1)), ["scope"]).drop("scope")
 
 
@@ -492,7 +492,7 @@ def fitness_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EDGE} SELECT id, source, target FROM rel WHERE regexp_matches(source, '{glob_to_regex('*.core.*')}') AND regexp_matches(target, '{glob_to_regex('*.{{api,cli}}.*'.replace('{{', '{').replace('}}', '}'))}')")
 def fitness_dependencies(spark: SparkSession, d: str) -> DataFrame:
     """Relations that break the rule: nothing of core may use api or cli."""
-    return forbidden(relations(spark, d), "*.core.*", "*.{api,cli}.*").select("id", "source", "target")
+    return forbidden(relations(spark, d, "rel_type"), "*.core.*", "*.{api,cli}.*").select("id", "source", "target")
 
 
 @query(f"""WITH {_NEW} SELECT scope_key, 'feasibility' AS loss, scc_count::DOUBLE AS value, CASE WHEN scc_count <= 0 THEN 'healthy' ELSE 'warning' END AS status FROM sn WHERE rank = 1
@@ -576,7 +576,7 @@ def directory_tree(spark: SparkSession, d: str) -> DataFrame:
     FROM v LEFT JOIN e USING (scope_key) LEFT JOIN l USING (scope_key)""")
 def scope_connectivity(spark: SparkSession, d: str) -> DataFrame:
     """Vertices, edges, isolated vertices and density of every scope."""
-    return connectivity(edges(spark, d), current_entities(spark, d, "scope_key").select("key", "scope_key"))
+    return connectivity(edges(spark, d, "scope_key"), current_entities(spark, d, "scope_key").select("key", "scope_key"))
 
 
 @query(f"""WITH {EDGE}, l AS (SELECT key, CASE WHEN source_location.file LIKE 'src/core/%' THEN 'kernel' WHEN source_location.file LIKE 'src/api/%' THEN 'surface' WHEN source_location.file LIKE 'src/%' THEN 'source'
@@ -586,5 +586,5 @@ def layer_dependencies(spark: SparkSession, d: str) -> DataFrame:
     """Edges between different layers."""
     e = longest_prefix(current_entities(spark, d, "source_location").select("key", F.col("source_location.file").alias("file")), _LAYERS, "file").where(F.col("layer").isNotNull())
     a, b = e.select(F.col("key").alias("src"), F.col("layer").alias("source")), e.select(F.col("key").alias("dst"), F.col("layer").alias("target"))
-    j = edges(spark, d).select("src", "dst").join(a, "src").join(b, "dst").where(F.col("source") != F.col("target"))
+    j = edges(spark, d, "rel_type").select("src", "dst").join(a, "src").join(b, "dst").where(F.col("source") != F.col("target"))
     return j.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))

@@ -13,13 +13,17 @@ from strataspark.functions.text import plain
 from strataspark.sources.tables import current_entities, table
 
 
-def relations(spark: SparkSession, root: str) -> DataFrame:
-    """One row per relation id, ends plain and not empty."""
+#: What a relation says beside its ends and type.
+DETAILS = ("confidence", "inference_source", "source_method", "target_method", "call_type", "scope_key")
+
+
+def relations(spark: SparkSession, root: str, *details: str) -> DataFrame:
+    """One row per relation id with rel_type, source, target and details, ends plain and not empty. Name the details that are needed (default: all): no others are read or shuffled, and `rel_type` stands for none."""
     r = table(spark, root, "relations").withColumns({"source": plain("source"), "target": plain("target")})
     r = r.where((F.col("source") != "") & (F.col("target") != "") & F.col("id").isNotNull())
-    kept = ["rel_type", "source", "target", "confidence", "inference_source", "source_method", "target_method", "call_type", "scope_key"]
-    order = F.struct("ingested_at", "observed_at", "rel_type", "source", "target")
-    return r.groupBy("id").agg(F.max_by(F.struct(*kept), order).alias("r")).select("id", "r.*")
+    more = [c for c in details or DETAILS if c != "rel_type"]
+    newest = F.max(F.struct("ingested_at", "observed_at", "rel_type", "source", "target", *more)).alias("r")
+    return r.groupBy("id").agg(newest).select("id", *(f"r.{c}" for c in ("rel_type", "source", "target", *more)))
 
 
 def resolver(entities: DataFrame) -> DataFrame:
@@ -35,10 +39,10 @@ def resolver(entities: DataFrame) -> DataFrame:
     return ids.unionByName(names.join(ids, "end", "left_anti"))
 
 
-def edges(spark: SparkSession, root: str) -> DataFrame:
-    """Relations whose ends both resolve, as (id, src, dst, rel_type, ...). Targets are uneven: adaptive execution splits the join."""
+def edges(spark: SparkSession, root: str, *details: str) -> DataFrame:
+    """Relations whose ends both resolve, as (id, src, dst, rel_type, details as of `relations`). Targets are uneven: adaptive execution splits the join."""
     ends = resolver(current_entities(spark, root, "name"))
-    r = relations(spark, root)
+    r = relations(spark, root, *details)
     a = ends.select(F.col("end").alias("source"), F.col("key").alias("src"))
     b = ends.select(F.col("end").alias("target"), F.col("key").alias("dst"))
     return r.join(a, "source").join(b, "target").drop("source", "target")

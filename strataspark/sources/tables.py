@@ -27,13 +27,13 @@ def current_entities(spark: SparkSession, root: str, *columns: str) -> DataFrame
     all); the others are then neither read nor shuffled.
     """
     live = all_entities(spark, root).where(F.col("removed_at").isNull() & F.col("id").isNotNull())
-    order = F.struct("first_seen_at", "id", "name", "entity_type", F.col("source_location.file"))
-    return (
-        live.select(plain("id").alias("key"), F.struct(*(columns or live.columns)).alias("row"), order.alias("ord"))
-        .groupBy("key")
-        .agg(F.max_by("row", "ord").alias("row"))
-        .select("key", "row.*")
-    )
+    order = {"first_seen_at": F.col("first_seen_at"), "id": F.col("id"), "name": F.col("name"), "entity_type": F.col("entity_type"), "__file": F.col("source_location.file")}
+    keyed = live.withColumn("key", plain("id"))
+    if columns and "attributes" not in columns:  # maps have no order
+        row = F.struct(*(c.alias(n) for n, c in order.items()), *(c for c in columns if c not in order))
+        return keyed.groupBy("key").agg(F.max(row).alias("row")).select("key", *(f"row.{c}" for c in dict.fromkeys(columns)))
+    newest = F.max_by(F.struct(*(columns or live.columns)), F.struct(*order.values()))
+    return keyed.groupBy("key").agg(newest.alias("row")).select("key", "row.*")
 
 
 def commit_files(spark: SparkSession, root: str) -> DataFrame:
