@@ -79,10 +79,10 @@ def test_all_shared_entities_are_starts(spark, data):
     for level in (1, 2, 3):
         frontier = {a for a, b, _, _ in es if b in frontier} - starts - set(depth)
         depth |= {k: level for k in frontier}
-    assert {r.key: r.depth for r in g.shared_dependents(spark, data).collect()} == depth
+    assert {r.key: r.depth for r in g.dependents(spark, data).collect()} == depth
     want, frontier = [], starts
     for level in (1, 2):
         hits = {(a, m) for a, b, t, m in es if t == "call" and b in frontier}
         want += [(a, m, level) for a, m in hits]
         frontier = {a for a, _ in hits}
-    assert sorted(map(tuple, g.shared_callers(spark, data).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, g.find_callers(spark, data).collect()), key=str) == sorted(want, key=str)
