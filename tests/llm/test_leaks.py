@@ -71,3 +71,103 @@ def test_a_real_corpus_by_both_ways(spark, data, monkeypatch):
     few = [sorted(map(tuple, f(d, i).collect())) for f in (lk.leaks, lk.reparameterised)]
     monkeypatch.setattr(lk, "ITEMS_BROADCAST", 10)
     assert [sorted(map(tuple, f(d, i).collect())) for f in (lk.leaks, lk.reparameterised)] == few
+
+
+def both_ways(spark, monkeypatch, docs, items):
+    d, i = frames(spark, [(*x, None, None) for x in docs], [(*x, "") for x in items])
+    got = []
+    for most in (2000, 0):
+        monkeypatch.setattr(lk, "ITEMS_BROADCAST", most)
+        got.append({r.doc_id: tuple(r)[1:] for r in lk.reparameterised(d, i).collect()})
+    assert got[0] == got[1]
+    return got[0]
+
+
+def test_a_copy_of_one_item_may_refill_another(spark, monkeypatch):
+    other = PASSAGE.replace("1937", "20").replace("ModuleMerger28", "HealthMerger5")
+    third = PASSAGE.replace("1937", "7")
+    n = len(lk.words(PASSAGE)) - lk.WINDOW + 1
+    got = both_ways(spark, monkeypatch, [(1, PASSAGE)], [(1, PASSAGE), (2, other), (3, third), (4, PASSAGE)])
+    exact, template, items = got[1]
+    assert exact == n and items == 2
+    assert template == sum("1937" in lk.words(PASSAGE)[at : at + lk.WINDOW] or "modulemerger28" in lk.words(PASSAGE)[at : at + lk.WINDOW] for at in range(n))
+
+
+def test_names_that_no_item_holds_fill_slots(spark, monkeypatch):
+    n = len(lk.words(PASSAGE)) - lk.WINDOW + 1
+    fresh = PASSAGE.replace("ModuleMerger28", "QueueDrainer").replace("HealthRunner68", "HTTPPumpValve12").replace("BranchLoader17", "xAxis").replace("1937", "4").replace("12 ms", "3 s")
+    doubled = fresh.replace("xAxis", "QueueDrainer")
+    long = PASSAGE.replace("ModuleMerger28", "ModuleHealthMerger28")
+    got = both_ways(spark, monkeypatch, [(1, fresh), (2, fresh.lower()), (3, doubled), (4, long.lower().replace("modulehealthmerger28", "branchloader1"))], [(1, PASSAGE), (2, long)])
+    assert got[1] == (0, n, 2)
+    assert 2 not in got  # neither spelling nor items tell the names
+    assert 0 < got[3][1] < n  # one filling for two slots
+    assert got[4][2] == 2 and got[4][1] > 0
+
+
+def test_a_word_of_an_item_in_camel_case(spark, monkeypatch):
+    plain = PASSAGE.replace("outgoing", "queuedrainer")
+    n = len(lk.words(plain)) - lk.WINDOW + 1
+    docs = [(1, plain.replace("queuedrainer", "QueueDrainer")), (2, plain.replace("queuedrainer", "QueueDrainer").replace("ModuleMerger28", "QueueDrainer")), (3, plain.replace("queuedrainer", "KettleWasher"))]
+    got = both_ways(spark, monkeypatch, docs, [(1, plain)])
+    assert got[1] == (n, 0, 0)
+    assert got[2][0] + got[2][1] == n and got[2][1] > 0
+    assert 3 not in got or got[3][0] + got[3][1] < n  # a word that is none of the item's slots
+
+
+def test_texts_of_one_key_are_counted_together(spark, monkeypatch):
+    a, b = PASSAGE.split(" then ")[0] + " one two three", "one two three " + PASSAGE
+    single = [both_ways(spark, monkeypatch, [(1, x)], [(1, PASSAGE)])[1][0] for x in (a, b)]
+    assert both_ways(spark, monkeypatch, [(1, a), (1, b), (1, a)], [(1, PASSAGE)])[1][0] == sum(single) > max(single)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40) | st.text("aB\u0130\u03a3 '.\u0307K\u212a1_I", max_size=40))
+def test_spelling_has_the_same_words(text):
+    assert [x.lower().replace("ς", "σ") for x in lk.spelled(text)] == [w.replace("ς", "σ") for w in lk.words(text)]
+
+
+def counted(docs, items, names):
+    """The rows by looking at every pair of windows."""
+    plain = lk.Templates(names)
+    vocabulary = {w for _, p in items for w in lk.words(p)}
+
+    def slots(text):
+        ws = lk.words(text)
+        return [[plain.placeholder(w)] if x == w or not plain.named(x, w) else [lk.NAME] + [plain.placeholder(w)] * (w in vocabulary) for x, w in zip(lk.spelled(text), ws)], ws
+
+    def windows(text):
+        types, ws = slots(text)
+        return [(types[at : at + lk.WINDOW], tuple(ws[at : at + lk.WINDOW])) for at in range(len(ws) - lk.WINDOW + 1)]
+
+    def one_to_one(a, b):
+        return len(set(a)) == len(set(b)) == len(set(zip(a, b)))
+
+    known = [(i, tuple(plain.placeholder(x) for x in w), w) for i, p in items for _, w in windows(p)]
+    out = {}
+    for d, text in docs:
+        exact = template = most = 0
+        for types, w in windows(text):
+            own = {i for i, _, v in known if v == w}
+            by_template = {}
+            for i, t, v in known:
+                at = [k for k in range(lk.WINDOW) if t[k][0] == "\x00"]
+                if all(t[k] in types[k] for k in range(lk.WINDOW)) and one_to_one([w[k] for k in at], [v[k] for k in at]):
+                    by_template.setdefault(t, set()).add(i)
+            n = max((len(x - own) if any(v == w and t == u for _, u, v in known) else len(x) for t, x in by_template.items()), default=0)
+            exact, template, most = exact + bool(own), template + (n > 0), max(most, n)
+        if exact or template:
+            out[d] = (exact, template, most)
+    return out
+
+
+def test_counts_are_those_of_all_pairs_of_windows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pool = ["ModuleMerger", "HealthRunner5", "BranchRunner", "holds", "7", "12", "ms", "kb"]
+    more = [*pool, "QueueDrainer", "Holds", "HoLds", "holDs", "kB", "healthmerger", "ModuleHealthRunner", "PumpValve9"]
+    items = [(k, " ".join(rng.choice(pool, 4).tolist() * 4)) for k in range(12)]
+    docs = [(k, " ".join(rng.choice(more, 4).tolist() * 4) if k % 4 else items[k % 12][1]) for k in range(60)]
+    docs += [(100 + k, " ".join({"ModuleMerger": "QueueDrainer", "7": "99", "holds": "HoLds"}.get(w, w) for w in p.split())) for k, p in items]
+    got = both_ways(spark, monkeypatch, docs, items)
+    assert got == counted(docs, items, lk.name_parts([p for _, p in items]))
+    assert sum(t for _, t, _ in got.values()) > 50 and sum(e for e, _, _ in got.values()) > 50
